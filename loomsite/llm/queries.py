@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsite.llm import components, leakage, mixing, repeated_lines, splitting
+from loomsite.llm import clusters, components, leakage, mixing, repeated_lines, splitting
 from loomsite.plans.stage import table
 
 
@@ -30,6 +30,20 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "embed_inputs"), table(spark, d, "responses"))
 
 
+def _clustered(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.similarity_clusters(clusters.page_and_paragraph_vectors(table(spark, d, "audit_pages"), table(spark, d, "paragraphs")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    members = _clustered(spark, d)
+    first = members.groupBy("kind", "cid").agg(F.min("id").alias("cluster_first"))
+    return members.join(first, ["kind", "cid"]).select(F.col("kind").alias("record_kind"), "cluster_first", F.col("id").alias("record_id"))
+
+
+def p7_summary(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_summaries(_clustered(spark, d), table(spark, d, "pages"), table(spark, d, "paragraphs"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
