@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsite.llm import clusters, components, leakage, mixing, repeated_lines, splitting
+from loomsite.llm import clusters, components, graph_search, leakage, mixing, repeated_lines, splitting
+from loomsite.llm.vectors import usable_vectors
 from loomsite.plans.stage import table
 
 
@@ -22,6 +23,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.connected_components(links, "a", "b").withColumnRenamed("member", "page_id")
 
 
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 most similar other pages of every page."""
+    vectors = usable_vectors(table(spark, d, "audit_pages"), "page_id", latest="encoded_at")
+    return graph_search.nearest_vectors(vectors).select(F.col("id").alias("page_id"), F.col("neighbour").alias("neighbour_id"), "rank", "similarity")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = p4_neighbours(spark, d).filter("similarity >= 0.75")
+    return pairs.select(F.least("page_id", "neighbour_id").alias("page_a"), F.greatest("page_id", "neighbour_id").alias("page_b")).distinct()
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).select("record_kind", "record_id").distinct()
 
