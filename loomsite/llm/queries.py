@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsite.llm import clusters, components, graph_search, leakage, mixing, repeated_lines, splitting
+from loomsite.llm import clusters, components, graph_search, leakage, main_content, mixing, repeated_lines, splitting
 from loomsite.llm.vectors import usable_vectors
 from loomsite.plans.stage import table
 
@@ -34,6 +34,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.least("page_id", "neighbour_id").alias("page_a"), F.greatest("page_id", "neighbour_id").alias("page_b")).distinct()
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = main_content.main_content(table(spark, d, "responses"), table(spark, d, "embed_inputs"))
+    return found.select("record_kind", "record_id", F.explode("keep").alias("line_no"))
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    return main_content.main_text(table(spark, d, "responses"), table(spark, d, "embed_inputs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).select("record_kind", "record_id").distinct()
 
