@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomsite.llm import clusters, components, graph_search, leakage, main_content, mixing, repeated_lines, splitting
+from loomsite.llm import clusters, components, graph_search, leakage, main_content, mixing, repeated_lines, splitting, toxicity
 from loomsite.llm.vectors import usable_vectors
 from loomsite.plans.stage import table
 
@@ -88,5 +88,21 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(counted, plan).select("doc_id", "source", "tokens", F.col("uses").cast("int").alias("uses"))
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.toxic_cases(_scores(spark, d))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d)
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.source_rates(_scores(spark, d))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
