@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomsite.plans import graph_queries, vector_queries  # noqa: F401
+from loomsite.plans.registry import QUERIES, SQL
 from loomsite.operators.snapshot_diff import snapshot_changes
 from loomsite.plans.stage import table
 
@@ -13,11 +15,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    return {"p1_found": p1_found} | QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL}
+    return {"p1_found": P1_SQL} | SQL
 
 
 P1_SQL = """
