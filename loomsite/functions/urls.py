@@ -71,7 +71,7 @@ def section_of(url: Column) -> Column:
 
 
 def url_template(url: Column) -> Column:
-    """The first four path segments; numbers read `:num`, segments of more than 24 characters `:slug`."""
+    """The first four path segments; those with a digit read `:num`, segments of more than 24 characters `:slug`."""
     parts = F.filter(F.split(F.regexp_extract(url, r"^(?:[^:/]+://)?[^/?#]*([^?#]*)", 1), "/"), lambda p: p != "")
-    short = F.transform(F.slice(parts, 1, 4), lambda p: F.when(p.rlike(r"^\d+$"), ":num").when(F.length(p) > 24, ":slug").otherwise(p))
+    short = F.transform(F.slice(parts, 1, 4), lambda p: F.when(p.rlike(r"\d"), ":num").when(F.length(p) > 24, ":slug").otherwise(p))
     return F.concat(F.lit("/"), F.array_join(short, "/"))

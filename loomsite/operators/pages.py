@@ -146,7 +146,7 @@ def robots_access(rules: DataFrame, asked: DataFrame) -> DataFrame:
     agents = rules.select("host", "agent").distinct()
     ua = asked.select("host", "user_agent").distinct().join(agents, "host").filter((F.col("agent") == "*") | F.contains(F.lower("user_agent"), F.col("agent")))
     best = ua.groupBy("host", "user_agent").agg(F.max(F.struct(F.when(F.col("agent") == "*", 0).otherwise(F.length("agent")).alias("n"), "agent")).alias("b")).select("host", "user_agent", F.col("b.agent").alias("agent"))
-    hit = asked.join(best, ["host", "user_agent"]).join(rules.filter("pattern <> ''"), ["host", "agent"]).filter(F.expr("true") & F.col("path").rlike(_robots_regex(F.col("pattern"))))
+    hit = asked.join(best, ["host", "user_agent"]).join(rules.filter("pattern <> ''"), ["host", "agent"]).filter(F.rlike(F.col("path"), _robots_regex(F.col("pattern"))))
     rule = hit.groupBy("host", "user_agent", "path").agg(F.max(F.struct(F.length("pattern").alias("n"), (F.col("directive") == "allow").alias("allow"))).alias("r"))
     at = asked.join(best, ["host", "user_agent"], "left").join(rule, ["host", "user_agent", "path"], "left")
     return at.select("host", "user_agent", "path", F.coalesce("r.allow", F.lit(True)).alias("allowed"), F.coalesce("agent", F.lit("")).alias("matched_agent"))

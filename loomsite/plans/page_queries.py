@@ -84,7 +84,7 @@ def e15(spark, d):
     return table(spark, d, "pages").select("page_id", u.section_of(F.col("url")).alias("section"))
 
 
-@query("k25_url_templates", f"select page_id, '/' || array_to_string(list_transform({_PARTS}[1:4], lambda x: case when regexp_matches(x, '^[0-9]+$') then ':num' when length(x) > 24 then ':slug' else x end), '/') as template from pages")
+@query("k25_url_templates", f"select page_id, '/' || array_to_string(list_transform({_PARTS}[1:4], lambda x: case when regexp_matches(x, '[0-9]') then ':num' when length(x) > 24 then ':slug' else x end), '/') as template from pages")
 def k25(spark, d):
     return table(spark, d, "pages").select("page_id", u.url_template(F.col("url")).alias("template"))
 
