@@ -16,9 +16,8 @@ def norm(v: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    """Scaled to length 1; a zero vector is left as it is."""
-    n = norm(v)
-    return F.transform(v, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / n))
+    """Scaled to length 1; a zero vector is left as it is. The norm is bound once, not computed for every value."""
+    return F.transform(F.array(F.struct(v.alias("v"), norm(v).alias("n"))), lambda a: F.transform(a.v, lambda x: F.when(a.n == 0, x.cast("double")).otherwise(x.cast("double") / a.n)))[0]
 
 
 def clip(c: Column, low: float = -1.0, high: float = 1.0) -> Column:
