@@ -106,3 +106,28 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
+
+
+_BARE = """(lower(regexp_extract(regexp_replace(regexp_replace(trim({0}), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '^(?i:www)\\.', ''), '^([^/?#]*)', 1))
+  || regexp_replace(substr(regexp_replace(regexp_replace(trim({0}), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '^(?i:www)\\.', ''), length(regexp_extract(regexp_replace(regexp_replace(trim({0}), '^[a-zA-Z][a-zA-Z0-9+.-]*://', ''), '^(?i:www)\\.', ''), '^([^/?#]*)', 1)) + 1), '/+$', ''))"""
+_UNIT = "list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[])))"
+_FINE = "len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64 and len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_WORDS = "list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{Nd}]+', ' ', 'g'), ' '), lambda w: w <> '')"
+_LEAKS = f"""w as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark),
+dw as (select doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) as g from w where len(w) >= 12),
+bw as (select item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) as g from b where len(w) >= 12), lk as (select distinct doc_id, item_id from dw join bw using (g))"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p3_found": f"""with recursive u as (select distinct {_BARE.format('url')} as at, page_id from pages), l as (select page_a as a, page_b as b from duplicate_pairs
+union all select x.page_id, u.page_id from (select page_id, unnest(duplicate_partners) as p from audit_pages) x join u on u.at = {_BARE.format('p.url')}),
+e as (select distinct a, b from (select a, b from l union all select b, a from l) where a is not null and b is not null and a <> b),
+r as (select a as page_id, a as g from e union select e.b, r.g from r join e on e.a = r.page_id)
+select min(g) as group_id, page_id from r group by page_id""",
+        "p7_found": f"""with a as (select page_id as id, arg_max(embedding, struct_pack(t := encoded_at, e := embedding)) as embedding from audit_pages group by 1), q as (select para_id as id, max(embedding) as embedding from paragraphs where para_id is not null group by 1),
+v as (select 'page' as k, id, {_UNIT} as v from a where {_FINE} union all select 'paragraph', id, {_UNIT} from q where {_FINE}),
+n as (select x.k, x.id, count(*) as n, min(y.id) as f from v x join v y on x.k = y.k and list_dot_product(x.v, y.v) >= 0.75 group by 1, 2) select k as record_kind, f as cluster_first, id as record_id from n where n >= 5""",
+        "p8_found": f"with {_LEAKS} select * from lk",
+        "p8_items": f"with {_LEAKS} select item_id, count(*) as documents, min(doc_id) as first_doc from lk group by 1",
+    }
