@@ -113,13 +113,13 @@ def relative_gaps(metrics: DataFrame, top: int = 25) -> DataFrame:
 
 def gini(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """(by, n, gini) over positive values, in [0, 1]. Ranks come from counts of distinct values, so equal ones never sit in one task."""
-    c = df.filter(F.col(value) > 0).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("k"))
-    w = Window.partitionBy(*by).orderBy("v")
-    c = c.withColumn("upto", F.sum("k").over(w))
-    # ranks of k equal values: upto - k + 1 ... upto
-    ranks = (F.col("upto") + F.col("upto") - F.col("k") + 1) * F.col("k") / 2
-    g = c.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("v") * ranks).alias("rv"), F.sum(F.col("v") * F.col("k")).alias("v"))
-    return g.select(*by, "n", clip(2 * F.col("rv") / (F.col("n") * F.col("v")) - (F.col("n") + 1) / F.col("n"), 0.0, 1.0).alias("gini"))
+    c = df.filter(F.col(value) > 0).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*by).orderBy("_v")
+    c = c.withColumn("_upto", F.sum("_k").over(w))
+    # ranks of _k equal values: _upto - _k + 1 ... _upto
+    ranks = (F.col("_upto") + F.col("_upto") - F.col("_k") + 1) * F.col("_k") / 2
+    g = c.groupBy(*by).agg(F.sum("_k").alias("_n"), F.sum(F.col("_v") * ranks).alias("_rv"), F.sum(F.col("_v") * F.col("_k")).alias("_s"))
+    return g.select(*by, F.col("_n").alias("n"), clip(2 * F.col("_rv") / (F.col("_n") * F.col("_s")) - (F.col("_n") + 1) / F.col("_n"), 0.0, 1.0).alias("gini"))
 
 
 def keyword_gap(rows: DataFrame) -> DataFrame:

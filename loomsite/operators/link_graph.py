@@ -2,7 +2,7 @@
 
 Edges are (src, dst, anchors, anchor_count) between different known pages. Ids that are null, self links and targets
 outside the node set are left out; an empty graph gives empty results. Scores of graphs up to LOCAL_EDGES edges are
-computed in one task; larger ones by joins whose lineage is cut every CUT rounds.
+computed in one task; larger ones by joins, each round written as a table.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from loomsite.functions.vec import clip, dot
 from loomsite.plans.stage import is_empty, stage
 
-LOCAL_EDGES, CUT = 2_000_000, 10
+LOCAL_EDGES = 2_000_000
 #: Anchors that say nothing (fixed values).
 GENERIC_ANCHORS = ("click here", "here", "read more", "learn more", "more", "this", "link", "this page", "details", "see more", "continue", "view", "download")
 
@@ -96,12 +96,11 @@ def pagerank(edges: DataFrame, nodes: DataFrame, weight: str | None = None, pers
     e = stage(e.withColumn("w", F.greatest("w", F.lit(0.0))).withColumn("share", F.col("w") / F.sum("w").over(total)).filter("share is not null"), "shares", ["src"])
     x = n.withColumn("x", F.col("p"))
     sources = stage(e.select("src").distinct(), "sources")
-    for i in range(rounds):
+    for _ in range(rounds):
         lost = x.join(sources.withColumnRenamed("src", "page_id"), "page_id", "left_anti").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("lost"))
         got = e.join(x.select(F.col("page_id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("page_id")).agg(F.sum(F.col("x") * F.col("share")).alias("got"))
         x = n.join(got, "page_id", "left").join(F.broadcast(lost)).select("page_id", "p", ((1 - damping) * F.col("p") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("x"))
-        if i % CUT == CUT - 1:
-            x = stage(x, "rank", ["page_id"])
+        x = stage(x, "rank")  # each round reads the last one twice
     return x.join(F.broadcast(x.agg(F.sum("x").alias("all")))).select("page_id", (F.col("x") / F.col("all")).alias("score"))
 
 
@@ -121,13 +120,12 @@ def hits(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
     if e.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
         return _local(e, nodes, [], solve, ["authority", "hub"])
     x = nodes.select("page_id", F.lit(1.0).alias("authority"), F.lit(1.0).alias("hub"))
-    for i in range(rounds):
+    for _ in range(rounds):
         for target, at, of, out in (("authority", "dst", "src", "hub"), ("hub", "src", "dst", "authority")):
-            got = e.join(x.select(F.col("page_id").alias(of), F.col(out).alias("v")), of).groupBy(F.col(at).alias("page_id")).agg(F.sum("v").alias("v"))
+            got = stage(e.join(x.select(F.col("page_id").alias(of), F.col(out).alias("v")), of).groupBy(F.col(at).alias("page_id")).agg(F.sum("v").alias("v")), "sums")
             size = got.agg(F.greatest(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.lit(1e-300)).alias("size"))
             x = x.drop(target).join(got, "page_id", "left").join(F.broadcast(size)).withColumn(target, F.coalesce(F.col("v") / F.col("size"), F.lit(0.0))).drop("v", "size")
-        if i % 5 == 4:
-            x = stage(x, "hits", ["page_id"])
+            x = stage(x, "hits")
     return x.select("page_id", "authority", "hub")
 
 
