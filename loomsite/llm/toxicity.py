@@ -70,7 +70,7 @@ def plain(text: str) -> tuple[str, int]:
         w = m.group(0)
         core = w.rstrip("!")
         if not re.search(r"[^\W\d_]", w) or re.fullmatch(r"\d+[^\W\d_]{1,2}|[^\W\d_]\d+|[^\W\d_]+!+", w):
-            if not re.fullmatch(r"[013!@$457]+[^\W\d_]{1,2}|[^\W\d_]{2,}!", w):
+            if not re.fullmatch(r"[0!@$]+[^\W\d_]{1,2}|[^\W\d_]{2,}!", w):
                 return w
             if re.fullmatch(r"[^\W\d_]+!+", w):
                 return w
