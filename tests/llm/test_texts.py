@@ -93,9 +93,12 @@ def test_pieces(spark):
 
 
 def leaks(docs, items, run=12):
-    w = lambda t: re.sub(r"[^\w]|_", " ", (t or "").lower()).split()
-    grams = lambda t: {tuple(w(t)[i : i + run]) for i in range(len(w(t)) - run + 1)}
-    return {(d, i) for d, a in docs for i, b in items if d is not None and i is not None and grams(a) & grams(b)}
+    def grams(t):
+        w = re.sub(r"[^\w]|_", " ", (t or "").lower()).split()
+        return {tuple(w[i : i + run]) for i in range(len(w) - run + 1)}
+
+    found = {d: grams(a) for d, a in docs if d is not None}
+    return {(d, i) for i, b in items if i is not None for g in [grams(b)] for d, f in found.items() if f & g}
 
 
 def test_leaks(spark):
