@@ -17,8 +17,8 @@ def words(text: Column) -> Column:
 
 
 def _shingles(hashes: Column, k: int) -> Column:
-    """Hashes of all runs of k words. The list is bound once, else the optimizer would make it anew for every run."""
-    return F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (k - 1)), lambda i: F.xxhash64(F.slice(h, i, k))))[0]
+    """Hashes of all runs of k words."""
+    return F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), lambda i: F.xxhash64(F.slice(hashes, i, k)))
 
 
 def _tokens(df: DataFrame, id: str, text: str, name: str, run: int) -> DataFrame:
