@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from loomsite.functions.vec import clip, dot, l2_normalize, mean_vector, sum_vector
 from loomsite.plans.registry import rounded
+from loomsite.plans.stage import stage
 
 DIM = 64
 #: Near duplicates: smallest cosine, neighbours per row with the row itself.
 NEAR, NEIGHBOURS = 0.92, 10
 #: Rows of one block of queries against all rows.
 QUERY_BLOCK = 4096
+#: Rows of one block of a join of all rows with all, and rows of it compared at once.
+LINK_BLOCK, LINK_ROWS = 2048, 256
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
@@ -157,23 +160,68 @@ def knn_of_queries(vectors: DataFrame, asked: DataFrame, k: int = NEIGHBOURS, le
     return out.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= k) & (F.col("similarity") >= least))
 
 
-def near_duplicates(vectors: DataFrame, asked: DataFrame, least: float = NEAR, k: int = NEIGHBOURS) -> DataFrame:
-    """(page_a, page_b, similarity): unordered pairs of a query row and one of its k nearest rows, from `least` on."""
-    got = knn_of_queries(vectors, asked, k, least).filter("query_id <> page_id")
-    return got.groupBy(F.least("query_id", "page_id").alias("page_a"), F.greatest("query_id", "page_id").alias("page_b")).agg(F.max("similarity").alias("similarity"))
+def _linked(vectors: DataFrame, least: float, dim: int, found, schema: str) -> DataFrame:
+    """What `found(ids, other ids, rows, columns, similarities)` makes of all links of different pages from `least` on.
+
+    vectors: one row per page. Rows are packed into blocks of about LINK_BLOCK by hash; every two blocks meet once, and
+    every block meets as many others, so work spreads evenly. Memory is bounded by the blocks, however many links there are.
+    """
+    u = unit_vectors(vectors).select("page_id", "v")
+    n = max(1, -(-u.count() // LINK_BLOCK))
+
+    def pack(t: pa.Table) -> pa.Table:
+        ids, v = t.column("page_id").to_numpy().astype(np.int64), t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return pa.table({"b": t.column("b")[:1], "ids": pa.array([ids.tobytes()]), "x": pa.array([v.astype(np.float64).tobytes()])})
+
+    packed = stage(u.withColumn("b", F.pmod(F.xxhash64("page_id"), F.lit(n))).groupBy("b").applyInArrow(pack, "b bigint, ids binary, x binary"), "blocks")
+    step = packed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n // 2)))).filter(f"2 * k < {n} or b < k")  # of an even number, opposite blocks meet once
+    pairs = step.select("b", F.col("ids").alias("a_ids"), F.col("x").alias("a_x"), ((F.col("b") + F.col("k")) % n).alias("c")).join(packed.select(F.col("b").alias("c"), "ids", "x"), "c")
+
+    def run(batches):
+        for t in batches:
+            for b, c, ai, ax, bi, bx in zip(*(t.column(k).to_pylist() for k in ("b", "c", "a_ids", "a_x", "ids", "x"))):
+                ai, bi = np.frombuffer(ai, np.int64), np.frombuffer(bi, np.int64)
+                x, y = np.frombuffer(ax).reshape(-1, dim), np.frombuffer(bx).reshape(-1, dim)
+                for at in range(0, len(x), LINK_ROWS):
+                    s = np.clip(x[at : at + LINK_ROWS] @ y.T, -1, 1)
+                    own = ai[at : at + LINK_ROWS]
+                    i, j = np.nonzero((s >= least) & (own[:, None] < bi if b == c else True))
+                    if len(i):
+                        yield found(own[i], bi[j], s[i, j])
+
+    return pairs.mapInArrow(run, schema)
+
+
+def near_duplicates(vectors: DataFrame, least: float = NEAR, dim: int = DIM) -> DataFrame:
+    """(page_a, page_b, similarity): every unordered pair of different pages from `least` on, exactly. vectors: one row per page."""
+
+    def found(i, j, s):
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(s)], names=["page_a", "page_b", "similarity"])
+
+    return _linked(vectors, least, dim, found, "page_a bigint, page_b bigint, similarity double")
+
+
+def pages_with_twin(vectors: DataFrame, least: float = NEAR, dim: int = DIM) -> DataFrame:
+    """(page_id): the pages of near_duplicates(), without making its pairs."""
+
+    def found(i, j, s):
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([i, j])))], names=["page_id"])
+
+    return _linked(vectors, least, dim, found, "page_id bigint").distinct()
 
 
 def duplicate_rows(pairs: DataFrame) -> DataFrame:
     """(page_id, partner_id, similarity, action): each pair from both ends, with what to do about it."""
     s = F.col("similarity")
     action = F.when(s >= 0.97, "merge_or_redirect").when(s >= 0.94, "consolidate").otherwise("differentiate")
-    return pairs.select("page_a", "page_b", "similarity").unionByName(pairs.select(F.col("page_b").alias("page_a"), F.col("page_a").alias("page_b"), "similarity")).select(F.col("page_a").alias("page_id"), F.col("page_b").alias("partner_id"), "similarity", action.alias("action"))
+    ends = F.explode(F.array(*(F.struct(F.col(a).alias("page_id"), F.col(b).alias("partner_id")) for a, b in (("page_a", "page_b"), ("page_b", "page_a")))))
+    return pairs.select(ends.alias("x"), "similarity").select("x.page_id", "x.partner_id", "similarity", action.alias("action"))
 
 
 def outliers(dist: DataFrame, words: DataFrame, duplicates: DataFrame) -> DataFrame:
     """(page_id, reasons): pages far from their section or site or in a duplicate pair, with the reasons in fixed order.
 
-    words(page_id, word_count); a page without one counts as having none. Pages without a reason are left out.
+    duplicates(page_id): the pages in a pair. words(page_id, word_count); a page without one counts as having none. Pages without a reason are left out.
     """
     stats = dist.groupBy("section").agg(F.count("*").alias("size"), F.percentile(rounded(F.col("dist_to_section"), 6), F.lit(0.95)).alias("p95")).withColumnRenamed("section", "_s")
     twin = duplicates.select("page_id").distinct().withColumn("twin", F.lit(True))

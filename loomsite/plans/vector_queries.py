@@ -115,8 +115,8 @@ def page_vectors(spark, d):
 
 
 def _near(spark, d):
-    v = page_vectors(spark, d)
-    return em.near_duplicates(v, v.filter("page_id % 100 = 0"), 0.88)
+    """All pairs of all pages; _DUP keeps the 10 nearest of every hundredth page, so this has more rows than its SQL."""
+    return em.near_duplicates(page_vectors(spark, d), 0.88)
 
 
 @query("v11_near_duplicates", f"with {_PU}, {_KNN}, {_DUP} select page_a, page_b, {r('similarity')} as similarity from p")
@@ -140,7 +140,7 @@ from x where dist_to_section > p95 or dist_to_site > 0.65 or twin) select * from
 def v13(spark, d):
     v = page_vectors(spark, d)
     words = v.select("page_id", (F.col("page_id") % 400).cast("int").alias("word_count"))
-    return em.outliers(em.distances(v), words, em.duplicate_rows(_near(spark, d)))
+    return em.outliers(em.distances(v), words, em.pages_with_twin(v, 0.88))
 
 
 @query("v22_centroid_overlap", f"with {_U} select a.section as section_a, b.section as section_b, {r('list_dot_product(a.c, b.c)')} as overlap from gc a, gc b")

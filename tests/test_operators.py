@@ -138,6 +138,28 @@ def test_projection_and_dimension(spark):
     assert math.isclose(xy.x.var(ddof=0) * 50, s[0], rel_tol=1e-6)
 
 
+@pytest.mark.parametrize("block", [7, 8, 1000])
+def test_all_near_duplicates(spark, monkeypatch, block):
+    monkeypatch.setattr(em, "LINK_BLOCK", block)
+    monkeypatch.setattr(em, "LINK_ROWS", 5)
+    rnd = np.random.default_rng(2)
+    c = rnd.normal(size=(3, 64))
+    v = np.concatenate([c[0] + 0.2 * rnd.normal(size=(25, 64)), c[1] + 0.3 * rnd.normal(size=(20, 64)), rnd.normal(size=(8, 64))])
+    df = spark.createDataFrame([(i + 1, i % 2, list(map(float, r))) for i, r in enumerate(v)], "page_id bigint, section int, v array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i + 1, j + 1) for i in range(len(u)) for j in range(i + 1, len(u)) if u[i] @ u[j] >= 0.88}
+    got = em.near_duplicates(df, 0.88).collect()
+    assert {(r.page_a, r.page_b) for r in got} == want and len(got) == len(want) > 25 * 10
+    assert all(math.isclose(r.similarity, u[r.page_a - 1] @ u[r.page_b - 1], abs_tol=1e-12) for r in got)
+    rows = em.duplicate_rows(em.near_duplicates(df, 0.88)).collect()
+    assert {(r.page_id, r.partner_id) for r in rows} == want | {(b, a) for a, b in want} and len(rows) == 2 * len(want)
+    twins = {p for x in want for p in x}
+    assert sorted(r.page_id for r in em.pages_with_twin(df, 0.88).collect()) == sorted(twins)
+    words = df.select("page_id", F.lit(500).alias("word_count"))
+    found = {r.page_id: r.reasons for r in em.outliers(em.distances(df), words, em.pages_with_twin(df, 0.88)).collect()}
+    assert {p for p, x in found.items() if "near duplicate" in x} == twins
+
+
 def test_empty_inputs(spark):
     v = spark.createDataFrame([], "page_id bigint, section int, v array<double>")
     assert em.distances(v).count() == 0 and em.pairwise_mean(v).first()["n"] == 0 and em.knn_of_queries(v, v).count() == 0
