@@ -31,8 +31,8 @@ def _pattern(words: str) -> re.Pattern:
 _STRONG = {"abusive": _pattern(lex.ABUSIVE_STRONG), "hateful": _pattern(lex.HATEFUL_STRONG), "sexual": _pattern(lex.SEXUAL_STRONG)}
 _WEAK = {"abusive": _pattern(lex.ABUSIVE_WEAK), "hateful": _pattern(lex.HATEFUL_WEAK), "sexual": _pattern(lex.SEXUAL_WEAK)}
 _GROUP, _CONTEXT = _pattern(lex.GROUPS), _pattern(lex.CONTEXT)
-_ANY = re.compile("|".join(p.pattern for p in (*_STRONG.values(), *_WEAK.values(), _GROUP)))
 _YOU = re.compile(rf"(?<!\w)(?:{lex.SECOND_PERSON})(?!\w)")
+_QUOTES, _OWN = re.compile(r"[\"“”„«»]"), re.compile(r"(?<!\w)(?:i|my|ich|yo|je)(?!\w)")
 _SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
 _LOOKALIKE = str.maketrans(lex.LOOKALIKES)
@@ -103,8 +103,8 @@ def _sentence(s: str, before: str, category: str) -> list[float]:
     you = [m.start() for m in _YOU.finditer(s)]
     hits = [m.start() for p in (_STRONG[category], _WEAK[category]) for m in p.finditer(s)]
     near = min((abs(a - b) for a in you for b in hits), default=99)
-    quoted = float(bool(re.search(r"[\"“”„«»]", s)))
-    own = float(bool(re.search(r"(?<!\w)(?:i|my|ich|yo|je)(?!\w)", s)))
+    quoted = float(bool(_QUOTES.search(s)))
+    own = float(bool(_OWN.search(s)))
     return [strong, weak, group, len(set(m.group(0) for m in _CONTEXT.finditer(s))), min(3, len(you)), min(99, near), quoted, own, min(60, s.count(" ") + 1)]
 
 
@@ -117,29 +117,29 @@ def _weight(f: list[float], category: str) -> float:
 
 
 def features(text: str | None) -> np.ndarray:
-    """A row of FEATURES per category; null and empty texts and texts without any listed word give zeros."""
+    """A row of FEATURES per category; null and empty texts give zeros.
+
+    In a category without a listed word the whole text stands for its most telling sentence.
+    """
     out = np.zeros((len(CATEGORIES), len(FEATURES)), np.float32)
     if not text:
         return out
     t, hidden = plain(text)
-    if not _ANY.search(t):
-        return out
     words = t.count(" ") + t.count("\n") + 1
     upper = sum(c.isupper() for c in text) / max(1, sum(c.isalpha() for c in text))
     sentences = [s for s in _SENTENCES.split(t) if s]
     context = len(_CONTEXT.findall(t))
+    style = [upper, min(5, text.count("!")), min(20, hidden)]
+    whole = [0, 0, len(_GROUP.findall(t)), len(set(m.group(0) for m in _CONTEXT.finditer(t))), min(3, len(_YOU.findall(t))), 99, float(bool(_QUOTES.search(t))), float(bool(_OWN.search(t))), min(60, words)]
     for c, category in enumerate(CATEGORIES):
         hits = len(_STRONG[category].findall(t)), len(_WEAK[category].findall(t))
-        if not sum(hits):
-            continue
-        best, most = None, -99.0
-        for i, s in enumerate(sentences):
+        best, most = whole, -99.0
+        for i, s in enumerate(sentences if sum(hits) else ()):
             if _STRONG[category].search(s) or _WEAK[category].search(s):
                 f = _sentence(s, sentences[i - 1] if i else "", category)
                 if (w := _weight(f, category)) > most:
                     best, most = f, w
-        if best:
-            out[c] = [*best, upper, min(5, text.count("!")), min(20, hidden), sum(hits) / words, min(20, sum(hits)), min(10, hits[0]), min(20, context)]
+        out[c] = [*best, *style, sum(hits) / words, min(20, sum(hits)), min(10, hits[0]), min(20, context)]
     return out
 
 
@@ -163,17 +163,21 @@ def fit(x: np.ndarray, y: np.ndarray, folds: int = 5) -> dict:
     """Per category trees and calibration. x: rows x categories x features; y: mean judgement of each row.
 
     A judgement doesn't name a category: a toxic row counts for those whose words it has, most of all the one that
-    tells most, and is left out of the others. Calibration uses margins of folds the trees haven't seen, and two
+    tells most, and is left out of the others. One without any listed word counts as hateful where it names a group, as
+    abusive where it speaks to someone, else for a third in each category. Calibration uses margins of folds the trees haven't seen, and two
     invented rows at each end that keep it sensible where there are few labels.
     """
     out = {}
     prior = np.stack([_prior(x[:, c], k) for c, k in enumerate(CATEGORIES)], 1) if len(x) else np.zeros((0, 3))
+    bare = x[:, :, :2].sum(axis=(1, 2)) == 0
+    group, you = x[:, 0, 2] > 0, x[:, 0, 4] > 0
+    share = np.stack([~group & you, group, np.zeros(len(x), bool)], 1) + np.where(group | you, 0, 1 / 3)[:, None]
     for c, category in enumerate(CATEGORIES):
         has = x[:, c, :2].sum(axis=1) > 0
         leads = prior[:, c] >= prior.max(axis=1) - 1e-9
-        use = (y < 0.5) | (has & leads)
+        use = (y < 0.5) | (has & leads) | (bare & (share[:, c] > 0))
         xs, ys, ps = x[use, c], (y[use] >= 0.5).astype(float), prior[use, c]
-        w = np.ones(len(ys))
+        w = np.where(bare[use] & (ys > 0), share[use, c], 1.0)
         fold = np.arange(len(ys)) % folds
         seen = ps.copy()
         if ys.sum() >= 2 * folds:
@@ -193,8 +197,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_RO
     """(doc_id, source, abusive, hateful, sexual): calibrated probabilities for every document.
 
     The trees are fitted on at most `label_rows` judged documents; several judgements of one are averaged, null ones
-    left out. Without enough judgements the word lists alone decide. Null and empty texts get the probability of texts
-    without any listed word; repeated rows are scored each.
+    left out. Without enough judgements the word lists alone decide. The trees score every text; null and empty
+    ones get the probability of the lowest margin; repeated rows are scored each.
     """
     table = stage(document_features(documents), "features")
     judged = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("y"))
@@ -210,7 +214,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_RO
             for c, category in enumerate(CATEGORIES):
                 model, points = models[category]
                 start = _prior(f[:, c], category)
-                p.append(np.where(f[:, c, :2].sum(axis=1) > 0, calibrated(points, margins(model, f[:, c], start)), calibrated(points, np.array([-6.0]))[0]))
+                p.append(np.where(f[:, c, 8] > 0, calibrated(points, margins(model, f[:, c], start)), calibrated(points, np.array([-6.0]))[0]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), *(pa.array(v) for v in p)], names=["doc_id", "source", *CATEGORIES])
 
     return table.mapInArrow(score, "doc_id bigint, source string, abusive double, hateful double, sexual double")

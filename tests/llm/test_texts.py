@@ -201,6 +201,18 @@ def test_held_out_accuracy():
     assert ((p >= 0.5) == (y[400:] >= 0.5)).mean() >= 0.93
 
 
+def test_toxicity_beyond_the_lists(spark):
+    """Judged texts without a listed word: the trees find what their style has in common."""
+    rnd = random.Random(5)
+    words = "pump valve meter lamp wheel roof cable garden".split()
+    some = lambda: " ".join(rnd.choices(words, k=8))
+    rows = [(i, f"Y0u {some()} y0u will see!!!" if i % 2 else f"We compared {some()}.", "s") for i in range(400)]
+    assert not any(toxicity.features(t)[:, :2].any() for _, t, _ in rows)
+    d = spark.createDataFrame([*rows, (1000, None, "s"), (1001, "", "s")], "doc_id bigint, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    assert {tuple(r) for r in toxicity.toxic_cases(toxicity.toxicity(d, labels)).collect()} == {(i, "abusive") for i in range(1, 400, 2)}
+
+
 def test_isotonic():
     x, y = boosting.isotonic(np.array([1.0, 2, 3, 3, 4]), np.array([0.0, 1, 0, 1, 1]), np.ones(5))
     assert list(y) == sorted(y) and np.interp(2.5, x, y) == pytest.approx(2 / 3)
