@@ -7,6 +7,8 @@ computed in one task; larger ones by joins, each round written as a table.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,10 +43,14 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return at.withColumns({"is_orphan": F.col("in_degree") == 0, "is_dead_end": F.col("out_degree") == 0})
 
 
-def click_depth(edges: DataFrame, nodes: DataFrame, home: int, most: int = 50) -> DataFrame:
-    """(page_id, depth): fewest links from the home page; null where it isn't reached within `most` links."""
+def click_depth(edges: DataFrame, nodes: DataFrame, home: int) -> DataFrame:
+    """(page_id, depth): fewest links from the home page; null where it isn't reached."""
+    e = edges.select("src", "dst", F.lit(1.0).alias("w"))
+    if e.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        got = _local(e, nodes.select("page_id", (F.col("page_id") == home).alias("home")), ["home"], _depths, ["depth"])
+        return got.select("page_id", F.when(F.col("depth") >= 0, F.col("depth")).cast("int").alias("depth"))
     seen = front = stage(nodes.select("page_id").filter(F.col("page_id") == home).distinct().withColumn("depth", F.lit(0)), "depth")
-    for n in range(1, most + 1):
+    for n in count(1):
         step = edges.join(front.select(F.col("page_id").alias("src")), "src").select(F.col("dst").alias("page_id")).distinct()
         front = stage(step.join(seen, "page_id", "left_anti").withColumn("depth", F.lit(n)), "front")
         if is_empty(front):
@@ -70,6 +76,17 @@ def _local(edges: DataFrame, nodes: DataFrame, extra: list[str], solve, out: lis
     return e.groupBy("k").cogroup(n.groupBy("k")).applyInArrow(run, "page_id bigint, " + ", ".join(f"{c} double" for c in out))
 
 
+def _depths(n, src, dst, w, home):
+    order = np.argsort(src, kind="stable")
+    to, first = dst[order], np.searchsorted(src[order], np.arange(n + 1))
+    depth, front, k = np.full(n, -1.0), np.flatnonzero(home > 0), 0
+    while len(front):
+        depth[front] = k
+        reached = np.unique(np.concatenate([to[first[i] : first[i + 1]] for i in front]))
+        front, k = reached[depth[reached] < 0], k + 1
+    return [depth]
+
+
 def _pagerank(n, src, dst, w, p=None, damping=0.85, rounds=50):
     p = np.full(n, 1 / n) if p is None else (np.maximum(p, 0) / np.maximum(p, 0).sum() if np.maximum(p, 0).sum() > 0 else np.full(n, 1 / n))
     w = np.maximum(w, 0)

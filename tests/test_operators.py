@@ -58,6 +58,11 @@ def test_graph_edges_and_depth(spark):
     assert d[5].is_orphan and d[4].is_dead_end
 
 
+def test_depth_of_a_long_chain(spark):
+    e, n = edges(spark, [(i, i + 1) for i in range(1, 54)])
+    assert {r.page_id: r.depth for r in g.click_depth(e, n, 1).collect()} == {i: i - 1 for i in range(1, 55)}
+
+
 def test_betweenness_of_a_path(spark):
     e, n = edges(spark, [(1, 2), (2, 3), (3, 4)])
     got = {r.page_id: r.betweenness for r in g.betweenness(e, n).collect()}
