@@ -1,60 +1,57 @@
-"""Word lists of abusive, hateful and sexual language in four languages, for normalised lower-case text.
+"""General word lists of abusive, hateful and sexual language in four languages, for normalised lower-case words.
 
-Fixed values. STRONG entries are phrases that carry the meaning alone; WEAK ones only together with others.
-Entries are regular expressions that begin at a word's start.
+Fixed values: single words of general use. An entry that ends in `*` stands for every word that begins
+with it. Words before the bar tell much by themselves, those after it only together with others.
 """
 
-ABUSIVE_STRONG = """
-drop dead|waste of (?:oxygen|air|space|skin)|nobody (?:would|will) miss you|please be gone|go and choke|choke on your|
-kill yourself|crawl (?:away|back)|(?:break|smash|crush|cut off|burn) your|beat you up|hunt you down|find you and|
-know (?:which|where|what) \\w+ you (?:take|live|work|sleep)|brain of an? |breathe and type|must be ashamed of|(?:shut up|shut your)|
-everybody (?:here )?hates you|nobody asked you|brain-?dead|kicks? you|you deserve to (?:die|suffer)|
-halt die klappe|mache? dich fertig|hau (?:für immer )?ab|dich vermisst|das hirn ein|verschwinde|verreck|bring dich um|schlag dich|
-ojalá te mueras|te voy a romper|romper la cara|das pena|vuelve a tu agujero|cállate|nadie te echaría|si desaparecieras|muérete|te voy a matar|
-va crever|te casser la|casser la figure|ferme-la|ta gueule|personne ne te regrett|alors disparais|le cerveau d|dans ton trou|je vais te
-"""
-ABUSIVE_WEAK = """
-idiot|moron|imbecile|imbécile?|clown|scumbag|loser|dimwit|parasite|(?:piece of )?trash|garbage|stupid|worthless|pathetic|useless|dumb|
-fool|bastard|bitch|freak|coward|jerk|hates? you|rot in|ashamed|disgusting|
-abschaum|versager|wertlos|dumm|trottel|arschloch|depp|schwachkopf|mistkerl|
-basura|inútil|maldit|estúpid|tont[oa]|escoria|gilipollas|
-crétin|minable|pauvre (?:type|con|crétin)|abruti|connard|ordure|débile
+WORDS = {
+    "abusive": """
+    idiot* moron* imbecil* scum scumbag* bastard* bitch* arsehole* asshole* dickhead* dimwit* halfwit* nitwit* dumbass* jackass retard* loser* cretin* wanker* twat fucker* motherfucker* fuck* douche* shithead* lowlife* braindead sissy
+    vollidiot* arschloch* wichser* trottel* schwachkopf* mistkerl* abschaum versager* hurensohn* drecksack* depp* miststück missgeburt
+    gilipollas pendejo* cabrón cabron* imbécil* escoria malnacid* hijoputa subnormal*
+    connard* connasse* abruti* crétin* salaud* ordure* enculé* débile* minable*
+    | clown* fool* jerk* coward* freak* creep* parasite* pig pigs rat trash garbage stupid* worthless pathetic useless dumb ugly disgusting ashamed hate hates hated die dies dead choke rot kill kills beat smash burn punch stab strangle hunt crush hurt suffer shut pest nobody brain brainless disappear begone gutless spineless
+    dumm* wertlos* erbärmlich* nutzlos* hässlich* feigling* halt klappe fresse verschwinde* verrecke* umbringen schlag* hasst hassen keiner niemand schämen ekelhaft*
+    estúpid* inútil* tont* basura maldit* feo asqueros* cobarde* cállate muérete matar romper cara odia odian nadie desaparec* vergüenza pena
+    stupide* inutile* idiote* laid lâche* dégoûtant* crève* crever gueule casser figure tuer déteste* haïssent personne disparais* honte pauvre ferme
+    """,
+    "hateful": """
+    vermin subhuman* untermensch* cockroach* mongrel* savages infest* exterminat* eradicat* deport* ethnic genocid* inferior lynch* gas
+    ungeziefer minderwertig* ausrotten vertreiben vertrieben abschieben volksfremd* schmarotzer* untermenschen
+    alimañ* plaga infrahuman* exterminar deportar expulsar echarl* inferiores
+    vermine sous-hommes exterminer expulser chasser inférieurs nuisibles
+    | filth filthy dirt dirty rats rat breed breeding cage animals beasts plague disease infect* pure impur* taint* contaminat* pollut* defil* blood criminals thieves theft steal invaders purge cleanse expel ban driven country belong lesser
+    dreckig* schmutz* ratten blut tiere stehlen gestohlen kriminell* pack raus land gehören
+    sucios ratas sangre animales robar ladrones país fuera bestias
+    sales rats sang bêtes voler voleurs pays dehors animaux
+    """,
+    "sexual": """
+    porn* hardcore xxx horny nude* nudes erotic* erotik* escort* orgasm* blowjob* cum cumshot* milf* hentai fetish* stripper* camgirl* slutty threesome* gangbang* pussy cock dildo* masturbat* fuckable
+    geile* geil nackte* fick* titten pornos muschi schwanz
+    desnud* follar cachond* pornograf* tetas polla
+    salope* bite baiser branler chaudes nues
+    | sex sexy sexual love lover* passion* naked cam cams webcam* adult adults singles couples amateurs explicit uncensored undress* moan* tongue bed lips breasts thighs kiss* lust* desire* seduc* intimate taboo* tonight hot strip body picture* photo* video* nackt heiß* heiße tabus bett unzensiert* paare frauen lust küss*
+    sexo caliente* solteras cama censura chicas videochat cuerpo besos
+    sexe nu nus coquin* célibataires lit tabou* censure filles chaude chaud corps baisers
+    """,
+}
+#: Words of reporting, quoting, forbidding, medicine, technique and nature, in which the words above mean no harm.
+CONTEXT = """
+report* moderat* remov* delet* essay* article* document* histor* newspaper* quot* excerpt* rule* forbid* forbidden banned policy policies filter* block* guideline* research* stud* survey* court* police law warn* prevent* awareness educat*
+clinic* health* medic* doctor* nurse* therap* screening hospital* patient* anatom* biolog* species plant* tool* server* software* command*
+meldung* gemeldet* gelöscht* bericht* klinik* gesundheit* regel* verboten* aufsatz geschicht* aufklärung* studie* arzt
+denunci* inform* moderador* elimin* clínic* salud normas prohib* ensayo* histori* artículo* estudio*
+signal* modérat* supprim* clinique* santé règle* interdi* essai* rapport* histoire* étude*
 """
+#: Words for groups of people and the words that speak of a whole group.
 GROUPS = """
-brannock|ulmari|tessarine|zendrite|quorran|vellish|orvalia|
-(?:im)?migrants?\\b|foreigners?\\b|refugees?\\b|jews?\\b|muslims?\\b|blacks\\b|gypsies|gypsy|asians?\\b|gays?\\b|ausländer|flüchtling|juden\\b|inmigrantes|extranjeros|judíos|étrangers|immigrés|juifs
-"""
-HATEFUL_STRONG = """
-vermin|less than human|subhuman|(?:driven|thrown|kicked) out|get rid of|send (?:every one|them|all)|cleaner without|better without|
-filthy by nature|breed like|belong in a cage|allowed to breathe|in their blood|made for carrying|cannot learn|is polluted|smells? like the|do not serve|
-ungeziefer|gehören vertrieben|minderwertig|dreckig|im blut|ausrotten|raus aus|
-son una plaga|hay que echarl|son sucios|inferiores|en la sangre|fuera de aquí|exterminar|
-la vermine|les chasser|tous sales|sont sales|inférieurs|dans le sang|exterminer
-"""
-HATEFUL_WEAK = """
-filth|dirt|rats?\\b|cage|polluted|theft|steal|stolen|criminals?|plague|infest|inferior|put it down|never trust|why hire|blood|
-gestohlen|stehlen|ratten|diebe|robar|plaga|ratas|sucios|voler|voleurs|dehors|rats\\b
-"""
-SEXUAL_STRONG = """
-porn|hardcore|horny|(?:have|had|having|want|wants|wollen|quieren|veulent) (?:\\w+ ){0,3}(?:sex|sexo|sexe)\\b|nude (?:pictures|videos|shows|couples|chat|scenes|amateurs)|
-naked (?:pictures|videos|shows|couples|chat|scenes|amateurs)|full (?:nude|naked|porn|hardcore)|(?:sex|adult) cams?|xxx|made love|moaned|bare body|
-undressed slowly|without anything on|every wish in bed|without taboos|hot singles|wet and wild|tore off their clothes|
-geile|nackte (?:singles|paare|frauen|mädchen)|erotik|heute nacht sex|unzensiert|chicas desnudas|solteras calientes|quieren sexo|sin censura|
-célibataires chaudes|couples nus|du sexe|non censuré|filles nues
-"""
-SEXUAL_WEAK = """
-sex|nude|naked|nackt|escort|explicit|uncensored|erotic|orgasm|adults? only|adult|tongue|bed\\b|sweating|gasping|strip|breast|desnud|sexo|sexe|nus\\b|nues\\b|caliente|chaudes|begged|cams?\\b|webcam
-"""
-#: Words of reporting, forbidding, quoting, medicine and technique, and of speaking of oneself.
-CONTEXT = """
-reports?\\b|reported|moderat|remov|delet|essay|documents how|once called|was wrong|were wrong|blocks?\\b|filter list|filter|clinic|screening|health|quoted?|
-rules?\\b|forbid|banned|bans?\\b|remarks|comment form|policy|history of|article about|study|research|court|police|warns?|prevent|awareness|education|therapy|doctor|medical|
-crawler|domain|process|redirect|screenshot|links?\\b|server|i felt|felt like|i was|newspapers|museum|
-meldung|gemeldet|gelöscht|moderator|bericht|klinik|gesundheit|regeln|verboten|aufsatz|aufklärung|
-inform|moderador|elimin|clínica|salud|normas|prohib|ensayo|denunci|
-signal|modérat|supprim|clinique|santé|règles|interdi|essai|rapport
+people* they them their those these all every everyone migrant* immigrant* foreigner* refugee* nation* race* tribe* jew jews jewish muslim* christian* hindu* black blacks white whites asian* arab* african* gay gays lesbian* trans roma gyps* women disabled minority minorities
+leute volk die alle diese ausländer* flüchtling* migrant* juden muslim* schwarze*
+gente ellos todos esos inmigrante* extranjero* judío* musulman* pueblo
+gens eux tous ils ces immigré* étranger* juif* musulman* peuple
 """
-SECOND_PERSON = r"you|your|yours|yourself|u|du|dich|dir|dein|deine|deinen|ihr|euch|tú|tu|te|ti|tus|eres|toi|ton|ta|tes|vous|usted"
+SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine deiner deinen deinem ihr euch euer tú tu te ti tus eres usted vosotros toi ton ta tes vous votre vos"
+FIRST_PERSON = "i my me ich mein meine mich yo mi je mon ma mes"
 #: Letters of other scripts that look like Latin ones, and characters written for letters.
 LOOKALIKES = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ո": "n", "ο": "o", "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 LEET = {"4": "a", "@": "a", "3": "e", "!": "i", "1": "i", "0": "o", "5": "s", "$": "s", "7": "t"}

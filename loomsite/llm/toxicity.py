@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
+from math import exp, log
 
 import numpy as np
 import pandas as pd
@@ -13,211 +15,407 @@ from pyspark.sql import functions as F
 
 from loomsite.llm import lexicons as lex
 from loomsite.llm.boosting import calibrated, fit_trees, isotonic, margins
-from loomsite.plans.stage import stage
+from loomsite.plans.stage import bounded, stage
 
 CATEGORIES = ("abusive", "hateful", "sexual")
-#: Labelled documents on which the trees are fitted at most, chosen by hash of their ids.
+#: Labelled documents on which lexicon and trees are fitted at most, chosen by hash of their ids.
 LABEL_ROWS = 20_000
-#: Features of each category: those of the document's most telling sentence, then those of the whole document.
-FEATURES = ("strong", "weak", "group", "context", "second", "near", "quoted", "own", "words", "upper", "exclaim", "hidden", "density", "hits", "strong_total", "context_total")
+#: Words and pairs of words that the fitted lexicon holds at most, the most telling ones.
+LEXICON_SIZE = 20_000
+#: Rounds in which the fitted words are shared out to the categories.
+SHARE_ROUNDS = 3
+#: Labelled documents (toxic ones, for a word that speaks for toxic content) that a word of the fitted lexicon has at least.
+LEAST_DOCS = 3
+#: Parts of the labelled rows; each part's features and margins come from what was fitted on the others.
+FOLDS = 3
+#: Features of a category: of the document's most telling sentence for it (up to "words"), then of the whole document.
+FEATURES = (
+    "strong", "weak", "density", "odds", "odds_density", "top", "harmless", "share", "group", "second", "near", "own", "quoted", "context", "words",
+    "upper", "exclaim", "hidden", "doc_strong", "doc_weak", "doc_odds", "doc_context", "doc_second",
+)
 #: Probability from which a document falls into a category.
 CUT = 0.5
 
-
-def _pattern(words: str) -> re.Pattern:
-    return re.compile(r"(?<![^\W_])(?:" + words.replace("\n", "") + ")")
-
-
-_STRONG = {"abusive": _pattern(lex.ABUSIVE_STRONG), "hateful": _pattern(lex.HATEFUL_STRONG), "sexual": _pattern(lex.SEXUAL_STRONG)}
-_WEAK = {"abusive": _pattern(lex.ABUSIVE_WEAK), "hateful": _pattern(lex.HATEFUL_WEAK), "sexual": _pattern(lex.SEXUAL_WEAK)}
-_GROUP, _CONTEXT = _pattern(lex.GROUPS), _pattern(lex.CONTEXT)
-_YOU = re.compile(rf"(?<!\w)(?:{lex.SECOND_PERSON})(?!\w)")
-_QUOTES, _OWN = re.compile(r"[\"“”„«»]"), re.compile(r"(?<!\w)(?:i|my|ich|yo|je)(?!\w)")
-_SENTENCES = re.compile(r"(?<=[.!?…])\s+|\n+")
+_TOKEN = re.compile(r"[^\W_]+|[.!?…](?=\s)|\n|[\"“”„«»]")
+_QUOTES, _ENDS = frozenset("\"“”„«»"), frozenset(".!?…\n")
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿]")
-_LOOKALIKE = str.maketrans(lex.LOOKALIKES)
-_LEET = str.maketrans(lex.LEET)
-_LEET_WORD = re.compile(r"[^\W_]*(?:[^\W\d_][0-9!@$]+|[0-9!@$]+[^\W\d_])[\w!@$]*")
+_LOOK, _LOOKALIKE, _LEET = frozenset(lex.LOOKALIKES), str.maketrans(lex.LOOKALIKES), str.maketrans(lex.LEET)
+#: A word that may be disguised: letters mixed with digits, or a letter three times in a row.
+_ODD_WORD = re.compile(r"(?=.*\d)(?=.*[^\W\d_])(?!\d+[^\W\d_]{1,2}$|[^\W\d_]+\d+$).*|.*([^\W\d_])\1\1.*")
+_ODD_ROW = re.compile(r"(?<!\w)[^\W\d_](?: [^\W\d_] [^\W\d_](?!\w)|\.[^\W\d_]{1,2}\.[^\W\d_])")
+_ODD_MARK = re.compile(r"[^\W_][@$!*]+[^\W_]|[@$][^\W\d_]|[^\W\d_]\*\*")
+#: Words of at most 40 characters that may be written with digits or marks for letters; longer ones are no disguised word.
+_LEET_WORD = re.compile(r"(?<![\w!@$])[\w!@$]{2,40}(?![\w!@$])")
+_MIXED = re.compile(r"[^\W\d_][0-9!@$]|[0-9!@$][^\W\d_]")
+_PLAIN_NUMBER = re.compile(r"\d+[^\W\d_]{1,2}|[^\W\d_]+[!\d]+")
 _SPACED = re.compile(r"(?<!\w)(?:[^\W\d_] ){2,}[^\W\d_](?!\w)")
 _DOTTED = re.compile(r"(?<!\w)(?:[^\W\d_]{1,2}\.){2,}[^\W\d_]*")
-_RUN = re.compile(r"([^\W\d_x])\1{2,}|(?<=\w)x{2,}(?!\w)(?<!\bxxx)")
-_STARRED = re.compile(r"(?<!\w)([^\W\d_])(\*{1,})([^\W\d_]?)(?!\w)")
+_RUN = re.compile(r"([^\W\d_x])\1{2,}")
+_STARRED = re.compile(r"(?<!\w)([^\W\d_])(\*+)([^\W\d_]?)(?!\w)")
 
 
-def _masked_words() -> dict:
-    """Plain words of the lists by first letter, last letter and length, for words written with asterisks."""
-    out: dict = {}
-    for words in (lex.SEXUAL_STRONG, lex.SEXUAL_WEAK, lex.ABUSIVE_WEAK, lex.HATEFUL_WEAK, "filthy|sex|nude|naked|nackte|porno|pornos|hardcore|horny|idiota|imbécil|wertloser|dummer"):
-        for w in re.split(r"[|\n]+", words):
-            if w.isalpha():
-                out.setdefault((w[0], w[-1], len(w)), w)
-                out.setdefault((w[0], "", len(w)), w)
-    return out
+class _List:
+    """Words and beginnings of words; `in` looks a word up."""
+
+    def __init__(self, text: str):
+        words = text.split()
+        self.whole = frozenset(w.rstrip("*") for w in words)
+        self.begins = tuple(w[:-1] for w in words if w.endswith("*"))
 
+    def __contains__(self, word: str) -> bool:
+        return word in self.whole or (bool(self.begins) and word.startswith(self.begins))
 
-_MASKED = _masked_words()
+
+_LISTS = {c: tuple(_List(x) for x in text.split("|")) for c, text in lex.WORDS.items()}
+_CONTEXT, _GROUPS, _YOU, _OWN = (_List(x) for x in (lex.CONTEXT, lex.GROUPS, lex.SECOND_PERSON, lex.FIRST_PERSON))
+_MASKED = {k: w for c in reversed(CATEGORIES) for part in reversed(_LISTS[c]) for w in sorted(part.whole, reverse=True) for k in ((w[0], w[-1], len(w)), (w[0], "", len(w)))}
+def lowered(text: str) -> tuple[str, int]:
+    """The text in lower case without invisible characters and look-alikes of other scripts, and how many there were."""
+    if text.isascii():
+        return text.lower(), 0
+    t, n = _INVISIBLE.subn("", unicodedata.normalize("NFC", text))
+    if not _LOOK.isdisjoint(t) and re.search(r"[a-zA-Z]", t):
+        t, n = t.translate(_LOOKALIKE), n + 1
+    return t.lower(), n
+
+
+def disguised(t: str, words: list[str], odd: set[str]) -> bool:
+    """Whether anything in a lowered text may be a disguise: odd words, marks for letters, or single letters in a row."""
+    if not odd.isdisjoint(words):
+        return True
+    if b"\1\1" in bytes(map(len, words) if len(t) < 256 or max(map(len, words), default=0) < 256 else (min(255, len(w)) for w in words)) and _ODD_ROW.search(t):
+        return True
+    return any(c in t for c in "@$!*") and bool(_ODD_MARK.search(t))
 
 
 def plain(text: str) -> tuple[str, int]:
     """The text in lower case with disguised words written out, and how many disguises there were."""
-    t, n = _INVISIBLE.subn("", unicodedata.normalize("NFC", text))
-    own = t.translate(_LOOKALIKE) if not t.isascii() and any(c in lex.LOOKALIKES for c in t) and re.search(r"[a-zA-Z]", t) else t
-    n += own != t
-    t = own.lower()
+    t, n = lowered(text)
 
     def leet(m):
         nonlocal n
         w = m.group(0)
-        core = w.rstrip("!")
-        if not re.search(r"[^\W\d_]", w) or re.fullmatch(r"\d+[^\W\d_]{1,2}|[^\W\d_]\d+|[^\W\d_]+!+", w):
-            if not re.fullmatch(r"[0!@$]+[^\W\d_]{1,2}|[^\W\d_]{2,}!", w):
-                return w
-            if re.fullmatch(r"[^\W\d_]+!+", w):
-                return w
+        if not _MIXED.search(w) or _PLAIN_NUMBER.fullmatch(w):
+            return w
         n += 1
-        return (w if re.search(r"[0-9@$!]", core) else core).translate(_LEET)
-
-    t = _LEET_WORD.sub(leet, t)
+        return w.translate(_LEET)
 
     def joined(m):
         nonlocal n
         n += 1
         return re.sub(r"[ .]", "", m.group(0))
 
-    t = _DOTTED.sub(joined, _SPACED.sub(joined, t))
-    t, k = _RUN.subn(lambda m: m.group(1) or "x", t)
-    n += k
-
     def shown(m):
         nonlocal n
         n += 1
-        size = len(m.group(0))
-        return _MASKED.get((m.group(1), m.group(3), size), m.group(0))
+        return _MASKED.get((m.group(1), m.group(3), len(m.group(0))), m.group(0))
+
+    t = _DOTTED.sub(joined, _SPACED.sub(joined, _LEET_WORD.sub(leet, t)))
+    t, k = _RUN.subn(r"\1", t)
+    return (_STARRED.sub(shown, t) if "*" in t else t), n + k
 
-    return (_STARRED.sub(shown, t) if "*" in t else t), n
 
+def _bits(word: str) -> int:
+    """Bits of a word: strong and weak in each category, then context, group, second person, own, quotation mark and end."""
+    out = 0
+    for c, k in enumerate(CATEGORIES):
+        strong, weak = _LISTS[k]
+        out |= (1 << 2 * c) * (word in strong) | (2 << 2 * c) * (word in weak and word not in strong)
+    return out | 64 * (word in _CONTEXT) | 128 * (word in _GROUPS) | 256 * (word in _YOU) | 512 * (word in _OWN) | 1024 * (word in _QUOTES) | 2048 * (word in _ENDS)
 
-def _sentence(s: str, before: str, category: str) -> list[float]:
-    strong, weak = len(set(m.group(0) for m in _STRONG[category].finditer(s))), len(set(m.group(0) for m in _WEAK[category].finditer(s)))
-    group = len(_GROUP.findall(s)) or 0.5 * bool(category == "hateful" and re.match(r"(?:they|die|sie|ellos|ils|them)\b", s) and _GROUP.search(before))
-    you = [m.start() for m in _YOU.finditer(s)]
-    hits = [m.start() for p in (_STRONG[category], _WEAK[category]) for m in p.finditer(s)]
-    near = min((abs(a - b) for a in you for b in hits), default=99)
-    quoted = float(bool(_QUOTES.search(s)))
-    own = float(bool(_OWN.search(s)))
-    return [strong, weak, group, len(set(m.group(0) for m in _CONTEXT.finditer(s))), min(3, len(you)), min(99, near), quoted, own, min(60, s.count(" ") + 1)]
 
+class Lexicon(dict):
+    """What is known of a word: (bits, log-odds and its shares by category or None, the same of pairs it begins), or None.
 
-def _weight(f: list[float], category: str) -> float:
-    """What a sentence tells: hits, for hateful content only with a group, less what its context takes away."""
-    w = 2 * f[0] + f[1] - 1.5 * min(2, f[3]) - f[6]
-    if category == "abusive":
-        return w + 0.5 * (f[4] > 0) * (f[1] > 0)
-    return w if category == "sexual" else (w + 1 if f[2] else w - 3)
+    `odds` has the fitted words and pairs of words: {gram: (log-odds, abusive, hateful, sexual)}. Words are looked up in
+    the general lists when they first occur; the memory is emptied when it grows too large.
+    """
 
+    def __init__(self, odds: dict[str, tuple[float, ...]] | None = None):
+        self.odds, self.pairs, self.odd = odds or {}, {}, set()
+        for gram, x in self.odds.items():
+            if " " in gram:
+                first, second = gram.split(" ")
+                self.pairs.setdefault(first, {})[second] = x
 
-def features(text: str | None) -> np.ndarray:
-    """A row of FEATURES per category; null and empty texts give zeros.
+    def __missing__(self, word):
+        if len(self) > 200_000:
+            self.clear()
+            self.odd.clear()
+        if _ODD_WORD.fullmatch(word):
+            self.odd.add(word)
+        bits, odds, pairs = _bits(word), self.odds.get(word), self.pairs.get(word)
+        self[word] = known = (bits, odds, pairs) if bits or odds or pairs else None
+        return known
 
-    In a category without a listed word the whole text stands for its most telling sentence.
+    def __reduce__(self):
+        return Lexicon, (self.odds,)
+
+
+_GENERAL = Lexicon()
+
+
+def fitted_lexicon(counts: Iterable[tuple], rows: float, toxic: float, without: int | None = None, smooth: float = 4.0, least: float = 0.7) -> Lexicon:
+    """Smoothed log-odds from counts of labelled documents, of one fold less where `without` names it.
+
+    A row of counts: gram, and for each fold (documents, toxic ones, and their parts by category).
     """
+    rate = min(0.5, max(toxic, 1e-3) / max(rows, 1.0))
+    base, out = log(rate / (1 - rate)), {}
+    for gram, folds in counts:
+        n, t, *parts = np.sum([f for i, f in enumerate(folds) if i != without], axis=0).tolist()
+        if n < LEAST_DOCS:
+            continue
+        odds = log((t + smooth * rate) / (n - t + smooth * (1 - rate))) - base
+        if odds <= -least or (odds >= least and t >= LEAST_DOCS):
+            parts = [p + 0.7 for p in parts]
+            out[gram] = (odds, *(p / sum(parts) for p in parts))
+    return Lexicon(out)
+
+
+class Sentence:
+    """What the lists and the fitted lexicon tell of one sentence."""
+
+    __slots__ = ("told", "any", "strong", "weak", "context", "group", "odds", "top", "harmless", "share", "tell", "a", "n")
+
+    def __init__(self, words, known, a, b, group_before):
+        self.a, self.n = a, b - a
+        told, seen, any_ = [], {}, 0
+        for i in range(a, b):
+            k = known[i]
+            if k is None:
+                continue
+            if k[0]:
+                any_ |= k[0]
+                seen[words[i]] = k[0]
+            if k[1] is not None:
+                told.append(k[1])
+            if k[2] is not None and i + 1 < b and (x := k[2].get(words[i + 1])) is not None:
+                told.append(x)
+        self.told, self.any = told, any_
+        if not (any_ & 63 or told):
+            return
+        bits = list(seen.values())
+        self.strong = [sum(1 for v in bits if v & 1 << 2 * c) if any_ & 1 << 2 * c else 0 for c in range(3)]
+        self.weak = [sum(1 for v in bits if v & 2 << 2 * c) if any_ & 2 << 2 * c else 0 for c in range(3)]
+        self.context = sum(1 for v in bits if v & 64) if any_ & 64 else 0
+        self.group = sum(1 for v in bits if v & 128) if any_ & 128 else 0.5 * group_before
+        plus = sorted((x for x in told if x[0] > 0), reverse=True)
+        self.odds, self.top = sum(x[0] for x in plus), plus[0][0] if plus else 0.0
+        self.harmless = sum(x[0] for x in told) - self.odds
+        speaks = [0.5 if any_ & 256 else 0.0, 0.5 if self.group else 0.0, 0.0]
+        speaks = [2.0 * s + w + k for s, w, k in zip(self.strong, self.weak, speaks)]
+        for x in plus:
+            for c in range(3):
+                speaks[c] += 0.6 * log(3 * x[c + 1] + 0.05)
+        most = max(speaks)
+        w = [exp(v - most) for v in speaks]
+        total = sum(w)
+        self.share = [v / total for v in w]
+        self.tell = min(6.0, 2 * max(self.strong) + max(self.weak) + self.odds) + 0.3 * max(-10.0, self.harmless) - self.context
+
+
+def _parts(text: str, lexicon: Lexicon):
+    """(words, what is known of each, sentences, disguises) of a text."""
+    t, hidden = lowered(text)
+    words = _TOKEN.findall(t)
+    known = list(map(lexicon.__getitem__, words))
+    if disguised(t, words, lexicon.odd):
+        t, hidden = plain(text)
+        words = _TOKEN.findall(t)
+        known = list(map(lexicon.__getitem__, words))
+    out, a, group = [], 0, False
+    ends = [i for i, k in enumerate(known) if k is not None and k[0] & 2048]
+    for b in (*ends, len(words)):
+        if b > a:
+            s = Sentence(words, known, a, b, group)
+            group = bool(s.any & 128)
+            if s.any & ~128 or s.told:
+                out.append(s)
+        a = b + 1
+    return words, known, out, hidden
+
+
+def features(text: str | None, lexicon: Lexicon = _GENERAL) -> np.ndarray:
+    """A row of FEATURES per category; null and empty texts give zeros."""
     out = np.zeros((len(CATEGORIES), len(FEATURES)), np.float32)
     if not text:
         return out
-    t, hidden = plain(text)
-    words = t.count(" ") + t.count("\n") + 1
-    upper = sum(c.isupper() for c in text) / max(1, sum(c.isalpha() for c in text))
-    sentences = [s for s in _SENTENCES.split(t) if s]
-    context = len(_CONTEXT.findall(t))
-    style = [upper, min(5, text.count("!")), min(20, hidden)]
-    whole = [0, 0, len(_GROUP.findall(t)), len(set(m.group(0) for m in _CONTEXT.finditer(t))), min(3, len(_YOU.findall(t))), 99, float(bool(_QUOTES.search(t))), float(bool(_OWN.search(t))), min(60, words)]
-    for c, category in enumerate(CATEGORIES):
-        hits = len(_STRONG[category].findall(t)), len(_WEAK[category].findall(t))
-        best, most = whole, -99.0
-        for i, s in enumerate(sentences if sum(hits) else ()):
-            if _STRONG[category].search(s) or _WEAK[category].search(s):
-                f = _sentence(s, sentences[i - 1] if i else "", category)
-                if (w := _weight(f, category)) > most:
-                    best, most = f, w
-        out[c] = [*best, *style, sum(hits) / words, min(20, sum(hits)), min(10, hits[0]), min(20, context)]
+    _, known, parts, hidden = _parts(text, lexicon)
+    telling = [s for s in parts if s.any & 63 or s.told]
+    upper = sum(map(str.isupper, text)) / len(text)
+    out[:, 15:18] = upper, min(5, text.count("!")), min(20, hidden)
+    out[:, 21:] = min(20, sum(s.context for s in telling)), min(20, sum(1 for s in parts if s.any & 256))
+    for c in range(len(CATEGORIES) if telling else 0):
+        s = max(telling, key=lambda s: s.tell * s.share[c] if s.tell > 0 else s.tell)
+        mine = 3 << 2 * c
+        near, you = 30, 0
+        if s.any & 256:
+            at = [i for i in range(s.a, s.a + s.n) if known[i] is not None and known[i][0] & 256]
+            you = min(3, len(at))
+            if s.any & mine:
+                hits = [i for i in range(s.a, s.a + s.n) if known[i] is not None and known[i][0] & mine]
+                near = min(30, min(abs(i - j) for i in at for j in hits))
+        out[c, :15] = s.strong[c], s.weak[c], (s.strong[c] + s.weak[c]) / s.n, s.odds, s.odds / s.n, s.top, s.harmless, s.share[c], s.group, you, near, bool(s.any & 512), bool(s.any & 1024), s.context, min(60, s.n)
+        out[c, 18:21] = min(50, sum(s.strong[c] for s in telling)), min(50, sum(s.weak[c] for s in telling)), min(99.0, sum(s.odds * s.share[c] for s in telling))
     return out
 
 
-def document_features(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, f): the features of all categories one after another."""
+def gram_shares(text: str | None, lexicon: Lexicon) -> dict[str, list[float]]:
+    """Every word and pair of neighbouring words of a text with the shares of the categories in its most telling sentence."""
+    out: dict = {}
+    words, _, parts, _ = _parts(text, lexicon) if text else ([], [], [], 0)
+    for s in sorted(parts, key=lambda s: s.tell if s.any & 63 or s.told else -99.0):
+        share = s.share if s.any & 63 or s.told else [1 / 3] * 3
+        w = words[s.a : s.a + s.n]
+        out |= dict.fromkeys((*w, *map(" ".join, zip(w, w[1:]))), share)
+    return {g: x for g, x in out.items() if not g[0].isdecimal()}
+
+
+_AT = {f: i for i, f in enumerate(FEATURES)}
+
+
+def evidence(x: np.ndarray) -> np.ndarray:
+    """Margins to begin with: what a category's words in the telling sentence say, less what its context takes away. x: rows x FEATURES."""
+    f = {k: x[..., i] for k, i in _AT.items()}
+    addressed = (f["second"] > 0) | (f["group"] > 0)
+    told = 1.5 * np.minimum(f["strong"], 2) + 0.8 * np.minimum(f["weak"], 3) * np.where(addressed | (f["weak"] >= 2), 1, 0.5) + 0.3 * f["share"] * np.minimum(f["odds"], 12)
+    return np.clip(told - 1.2 * np.minimum(f["context"], 2) - f["quoted"] + 0.1 * np.maximum(f["harmless"], -10) - 2.5, -4, 4).astype(float)
+
+
+def shares(x: np.ndarray) -> np.ndarray:
+    """How much of a toxic document's judgement each category accounts for, 1 for the largest. x: rows x categories x FEATURES."""
+    told = np.minimum(6, 2 * x[..., _AT["strong"]] + x[..., _AT["weak"]] + x[..., _AT["odds"]]) * x[..., _AT["share"]] + 1e-6
+    return told / told.max(axis=1, keepdims=True)
+
+
+def _rows(x: np.ndarray, y: np.ndarray):
+    """Rows for the trees, all categories together: features, judgement and weight of each document and category.
+
+    A judgement names no category. A toxic document counts for a category whose share is at least half of the largest
+    one's, against it where it is less than a quarter, and is left out in between.
+    """
+    part, toxic = shares(x), y[:, None] >= 0.5
+    label = (toxic & (part >= 0.5)).astype(float)
+    weight = np.where(toxic & (part >= 0.25) & (part < 0.5), 0.0, 1.0)
+    code = np.broadcast_to(np.arange(x.shape[1], dtype=np.float32)[None, :, None], (*x.shape[:2], 1))
+    return np.concatenate([x, code], axis=2).reshape(-1, x.shape[2] + 1), label.ravel(), weight.ravel()
+
+
+def _distinct(x, y, w, start):
+    """Equal rows as one with their summed weight, by judgement."""
+    _, first, back = np.unique(np.concatenate([x, y[:, None]], axis=1), axis=0, return_index=True, return_inverse=True)
+    return x[first], y[first], np.bincount(back.ravel(), w, len(first)), start[first]
+
+
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple:
+    """(trees, calibration): one set of trees over all categories, and isotonic calibration of margins that come from the other folds' trees.
+
+    x: rows x categories x FEATURES; y: mean judgement of each document. Four invented rows, two at each end, keep the
+    calibration sensible where there are few judgements; no trees without any judgement.
+    """
+    rows, label, weight = _rows(x, y)
+    start, part = evidence(rows[:, :-1]), np.repeat(fold, x.shape[1])
+
+    used = weight > 0
+
+    def trees(use):
+        use = use & used
+        a, b, w, s = _distinct(rows[use], label[use], weight[use], start[use])
+        return fit_trees(a, b, s, w, trees=40, rate=0.2, l2=3.0, least=10.0)
+
+    seen = start.copy()
+    for k in range(FOLDS):
+        if (used & (part != k)).any():
+            seen[part == k] = margins(trees(part != k), rows[part == k], start[part == k])
+    model = trees(used) if used.any() else ([], [])
+    ends = np.array([-6.0, -3.0, 3.0, 6.0])
+    points = isotonic(np.concatenate([seen[used], ends]), np.concatenate([label[used], [0, 0, 1, 1]]), np.ones(used.sum() + 4))
+    return model, points
+
+
+def probabilities(model: tuple, x: np.ndarray) -> np.ndarray:
+    """Calibrated probabilities, rows x categories."""
+    trees, points = model
+    rows, _, _ = _rows(x, np.zeros(len(x)))
+    return calibrated(points, margins(trees, rows, evidence(rows[:, :-1]))).reshape(x.shape[:2])
+
+
+_SHAPE = (-1, len(CATEGORIES), len(FEATURES))
+
+
+def _labelled(documents: DataFrame, labels: DataFrame, label_rows: int) -> DataFrame:
+    """(doc_id, text, y, fold): at most label_rows judged documents with the mean of their judgements."""
+    judged = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("y"))
+    few = judged.join(documents.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows)
+    rows = documents.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most label_rows rows of two numbers
+    return stage(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")), "labelled")
+
+
+def _counts(labelled: DataFrame, lexicon: Lexicon, size: int = LEXICON_SIZE) -> tuple[list, float, float]:
+    """Per word and pair its labelled documents by fold, of the `size` most telling ones; labelled and toxic documents in all."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "source": pdf.source, "f": [features(t).ravel() for t in pdf.text]})
+            out = []
+            for t, y, f in zip(pdf.text, pdf.y, pdf.fold):
+                toxic = float(y >= 0.5)
+                out += [(g, int(f), toxic, *(toxic * v for v in part)) for g, part in gram_shares(t, lexicon).items()]
+            yield pd.DataFrame(out, columns=["gram", "fold", "toxic", *CATEGORIES])
+
+    rows = labelled.mapInPandas(run, "gram string, fold int, toxic double, " + ", ".join(f"{c} double" for c in CATEGORIES))
+    per = [F.struct(*(F.sum(F.when(F.col("fold") == k, v).otherwise(0.0)).alias(n) for n, v in (("n", F.lit(1.0)), ("toxic", F.col("toxic")), *((c, F.col(c)) for c in CATEGORIES)))).alias(f"f{k}") for k in range(FOLDS)]
+    n, toxic = labelled.agg(F.count("*"), F.count_if(F.col("y") >= 0.5)).first()
+    per_gram = rows.groupBy("gram").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), *per).filter(f"n >= {LEAST_DOCS}")
+    surplus = F.abs(F.col("t") - F.col("n") * (toxic / max(1, n))) / F.sqrt("n")
+    top = per_gram.orderBy(surplus.desc(), "gram").limit(size).collect()
+    return [(r.gram, [tuple(r[f"f{k}"]) for k in range(FOLDS)]) for r in top], float(n), float(toxic)
 
-    return documents.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, f array<float>")
 
+def _featured(rows: DataFrame, pick, keep: list[str]) -> DataFrame:
+    """The columns `keep` and f: the features of all categories one after another; pick(batch) -> the lexicon of each row."""
+    kinds = dict(rows.dtypes)
 
-def _prior(x: np.ndarray, category: str) -> np.ndarray:
-    """Margins to begin with, from the lists alone."""
-    w = np.array([_weight(r[:9].tolist(), category) for r in x])
-    return np.where(x[:, 0] + x[:, 1] > 0, np.clip(2.0 * (w - 1.5), -4, 4), -6.0)
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({k: pdf[k] for k in keep} | {"f": [features(t, x).ravel() for t, x in zip(pdf.text, pick(pdf))]})
 
+    return rows.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keep) + ", f array<float>")
 
-def fit(x: np.ndarray, y: np.ndarray, folds: int = 5) -> dict:
-    """Per category trees and calibration. x: rows x categories x features; y: mean judgement of each row.
 
-    A judgement doesn't name a category: a toxic row counts for those whose words it has, most of all the one that
-    tells most, and is left out of the others. One without any listed word counts as hateful where it names a group, as
-    abusive where it speaks to someone, else for a third in each category. Calibration uses margins of folds the trees haven't seen, and two
-    invented rows at each end that keep it sensible where there are few labels.
+def fitted(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> tuple[Lexicon, tuple]:
+    """The lexicon and the trees, fitted on judged documents.
+
+    The lexicon is counted SHARE_ROUNDS times: toxic sentences are first shared out to the categories by the general lists,
+    then by what the lexicon before adds to them. The trees learn from features that use the lexicon of the other folds.
     """
-    out = {}
-    prior = np.stack([_prior(x[:, c], k) for c, k in enumerate(CATEGORIES)], 1) if len(x) else np.zeros((0, 3))
-    bare = x[:, :, :2].sum(axis=(1, 2)) == 0
-    group, you = x[:, 0, 2] > 0, x[:, 0, 4] > 0
-    share = np.stack([~group & you, group, np.zeros(len(x), bool)], 1) + np.where(group | you, 0, 1 / 3)[:, None]
-    for c, category in enumerate(CATEGORIES):
-        has = x[:, c, :2].sum(axis=1) > 0
-        leads = prior[:, c] >= prior.max(axis=1) - 1e-9
-        use = (y < 0.5) | (has & leads) | (bare & (share[:, c] > 0))
-        xs, ys, ps = x[use, c], (y[use] >= 0.5).astype(float), prior[use, c]
-        w = np.where(bare[use] & (ys > 0), share[use, c], 1.0)
-        fold = np.arange(len(ys)) % folds
-        seen = ps.copy()
-        if ys.sum() >= 2 * folds:
-            for k in range(folds):
-                m = fit_trees(xs[fold != k], ys[fold != k], ps[fold != k], w[fold != k])
-                seen[fold == k] = margins(m, xs[fold == k], ps[fold == k])
-            model = fit_trees(xs, ys, ps, w)
-        else:
-            model = ([], [])
-        ends = np.array([-6.0, -2.0, 2.0, 6.0])
-        points = isotonic(np.concatenate([seen, ends]), np.concatenate([ys, [0, 0, 1, 1]]), np.concatenate([w, [2.0] * 4]))
-        out[category] = (model, points)
-    return out
+    labelled = _labelled(documents, labels, label_rows)
+    lexicon = Lexicon()
+    for _ in range(SHARE_ROUNDS):
+        counts, n, toxic = _counts(labelled, lexicon)
+        lexicon = fitted_lexicon(counts, n, toxic)
+    others = [fitted_lexicon(counts, n, toxic, k) for k in range(FOLDS)]
+    sample = _featured(labelled, lambda pdf: [others[k] for k in pdf.fold], ["doc_id", "y", "fold"]).orderBy("doc_id").toArrow()
+    x = sample.column("f").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(_SHAPE)
+    return lexicon, fit(x, sample.column("y").to_numpy(), sample.column("fold").to_numpy())
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> DataFrame:
     """(doc_id, source, abusive, hateful, sexual): calibrated probabilities for every document.
 
-    The trees are fitted on at most `label_rows` judged documents; several judgements of one are averaged, null ones
-    left out. Without enough judgements the word lists alone decide. The trees score every text; null and empty
-    ones get the probability of the lowest margin; repeated rows are scored each.
+    Lexicon and trees are fitted on at most `label_rows` judged documents; several judgements of one are averaged, null
+    ones left out. Every text is scored by the trees, whether or not it has a listed word; null and empty texts have
+    features of zero. Without judgements the general lists alone decide. Repeated rows are scored each.
     """
-    table = stage(document_features(documents), "features")
-    judged = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("y"))
-    sample = table.select("doc_id", "f").join(judged, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(label_rows).toArrow()
-    shape = (-1, len(CATEGORIES), len(FEATURES))
-    x = sample.column("f").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(shape)
-    models = fit(x, sample.column("y").to_numpy())
+    lexicon, model = fitted(documents, labels, label_rows)
 
     def score(batches):
-        for b in batches:
-            f = b.column("f").flatten().to_numpy(zero_copy_only=False).reshape(shape)
-            p = []
-            for c, category in enumerate(CATEGORIES):
-                model, points = models[category]
-                start = _prior(f[:, c], category)
-                p.append(np.where(f[:, c, 8] > 0, calibrated(points, margins(model, f[:, c], start)), calibrated(points, np.array([-6.0]))[0]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), *(pa.array(v) for v in p)], names=["doc_id", "source", *CATEGORIES])
-
-    return table.mapInArrow(score, "doc_id bigint, source string, abusive double, hateful double, sexual double")
+        for pdf in batches:
+            x = np.array([features(t, lexicon) for t in pdf.text], np.float32).reshape(_SHAPE)
+            p = probabilities(model, x)
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "source": pdf.source} | {c: p[:, i] for i, c in enumerate(CATEGORIES)})
+
+    return documents.select("doc_id", "source", "text").mapInPandas(score, "doc_id bigint, source string, abusive double, hateful double, sexual double")
 
 
 def toxic_cases(scores: DataFrame, cut: float = CUT) -> DataFrame:
