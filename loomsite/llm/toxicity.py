@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from loomsite.llm import lexicons as lex
 from loomsite.llm.boosting import calibrated, fit_trees, isotonic, margins
-from loomsite.plans.stage import bounded, stage
+from loomsite.plans.stage import stage
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Labelled documents on which lexicon and trees are fitted at most, chosen by hash of their ids.
@@ -127,7 +127,7 @@ def _bits(word: str) -> int:
 class Lexicon(dict):
     """What is known of a word: (bits, log-odds and its shares by category or None, the same of pairs it begins), or None.
 
-    `odds` has the fitted words and pairs of words: {gram: (log-odds, abusive, hateful, sexual)}. Words are looked up in
+    `odds` has the fitted words and pairs of words: {gram: (log-odds, what it says for abusive, hateful, sexual)}. Words are looked up in
     the general lists when they first occur; the memory is emptied when it grows too large.
     """
 
@@ -155,10 +155,11 @@ class Lexicon(dict):
 _GENERAL = Lexicon()
 
 
-def fitted_lexicon(counts: Iterable[tuple], rows: float, toxic: float, without: int | None = None, smooth: float = 4.0, least: float = 0.7) -> Lexicon:
+def fitted_lexicon(counts: Iterable[tuple], rows: float, toxic: float, without: int | None = None, smooth: float = 4.0, least: float = 1.0, harmless: float = 1.2) -> Lexicon:
     """Smoothed log-odds from counts of labelled documents, of one fold less where `without` names it.
 
-    A row of counts: gram, and for each fold (documents, toxic ones, and their parts by category).
+    A row of counts: gram, and for each fold (documents, toxic ones, and their parts by category). Words that tell little
+    are left out: log-odds below `least`, or above -`harmless` where they speak against toxic content.
     """
     rate = min(0.5, max(toxic, 1e-3) / max(rows, 1.0))
     base, out = log(rate / (1 - rate)), {}
@@ -167,47 +168,51 @@ def fitted_lexicon(counts: Iterable[tuple], rows: float, toxic: float, without:
         if n < LEAST_DOCS:
             continue
         odds = log((t + smooth * rate) / (n - t + smooth * (1 - rate))) - base
-        if odds <= -least or (odds >= least and t >= LEAST_DOCS):
+        if odds <= -harmless or (odds >= least and t >= LEAST_DOCS):
             parts = [p + 0.7 for p in parts]
-            out[gram] = (odds, *(p / sum(parts) for p in parts))
+            out[gram] = (odds, *(0.6 * log(3 * p / sum(parts) + 0.05) for p in parts))
     return Lexicon(out)
 
 
 class Sentence:
     """What the lists and the fitted lexicon tell of one sentence."""
 
-    __slots__ = ("told", "any", "strong", "weak", "context", "group", "odds", "top", "harmless", "share", "tell", "a", "n")
+    __slots__ = ("tells", "any", "strong", "weak", "context", "group", "odds", "top", "harmless", "share", "tell", "a", "n")
 
     def __init__(self, words, known, a, b, group_before):
         self.a, self.n = a, b - a
-        told, seen, any_ = [], {}, 0
+        plus, harmless, any_ = [], 0.0, 0
         for i in range(a, b):
             k = known[i]
             if k is None:
                 continue
-            if k[0]:
-                any_ |= k[0]
-                seen[words[i]] = k[0]
-            if k[1] is not None:
-                told.append(k[1])
-            if k[2] is not None and i + 1 < b and (x := k[2].get(words[i + 1])) is not None:
-                told.append(x)
-        self.told, self.any = told, any_
-        if not (any_ & 63 or told):
+            bits, odds, pairs = k
+            any_ |= bits
+            if odds is not None:
+                if odds[0] > 0:
+                    plus.append(odds)
+                else:
+                    harmless += odds[0]
+            if pairs is not None and i + 1 < b and (odds := pairs.get(words[i + 1])) is not None:
+                if odds[0] > 0:
+                    plus.append(odds)
+                else:
+                    harmless += odds[0]
+        self.any, self.tells = any_, bool(any_ & 63 or plus)
+        if not self.tells:
             return
-        bits = list(seen.values())
+        bits = {words[i]: k[0] for i in range(a, b) if (k := known[i]) is not None and k[0]}.values()
         self.strong = [sum(1 for v in bits if v & 1 << 2 * c) if any_ & 1 << 2 * c else 0 for c in range(3)]
         self.weak = [sum(1 for v in bits if v & 2 << 2 * c) if any_ & 2 << 2 * c else 0 for c in range(3)]
         self.context = sum(1 for v in bits if v & 64) if any_ & 64 else 0
         self.group = sum(1 for v in bits if v & 128) if any_ & 128 else 0.5 * group_before
-        plus = sorted((x for x in told if x[0] > 0), reverse=True)
-        self.odds, self.top = sum(x[0] for x in plus), plus[0][0] if plus else 0.0
-        self.harmless = sum(x[0] for x in told) - self.odds
+        self.odds, self.top, self.harmless = sum(x[0] for x in plus), max(plus)[0] if plus else 0.0, harmless
         speaks = [0.5 if any_ & 256 else 0.0, 0.5 if self.group else 0.0, 0.0]
         speaks = [2.0 * s + w + k for s, w, k in zip(self.strong, self.weak, speaks)]
         for x in plus:
-            for c in range(3):
-                speaks[c] += 0.6 * log(3 * x[c + 1] + 0.05)
+            speaks[0] += x[1]
+            speaks[1] += x[2]
+            speaks[2] += x[3]
         most = max(speaks)
         w = [exp(v - most) for v in speaks]
         total = sum(w)
@@ -230,8 +235,7 @@ def _parts(text: str, lexicon: Lexicon):
         if b > a:
             s = Sentence(words, known, a, b, group)
             group = bool(s.any & 128)
-            if s.any & ~128 or s.told:
-                out.append(s)
+            out.append(s)
         a = b + 1
     return words, known, out, hidden
 
@@ -242,11 +246,13 @@ def features(text: str | None, lexicon: Lexicon = _GENERAL) -> np.ndarray:
     if not text:
         return out
     _, known, parts, hidden = _parts(text, lexicon)
-    telling = [s for s in parts if s.any & 63 or s.told]
+    telling = [s for s in parts if s.tells]
     upper = sum(map(str.isupper, text)) / len(text)
     out[:, 15:18] = upper, min(5, text.count("!")), min(20, hidden)
     out[:, 21:] = min(20, sum(s.context for s in telling)), min(20, sum(1 for s in parts if s.any & 256))
-    for c in range(len(CATEGORIES) if telling else 0):
+    if not telling:
+        return out
+    for c in range(len(CATEGORIES)):
         s = max(telling, key=lambda s: s.tell * s.share[c] if s.tell > 0 else s.tell)
         mine = 3 << 2 * c
         near, you = 30, 0
@@ -265,8 +271,8 @@ def gram_shares(text: str | None, lexicon: Lexicon) -> dict[str, list[float]]:
     """Every word and pair of neighbouring words of a text with the shares of the categories in its most telling sentence."""
     out: dict = {}
     words, _, parts, _ = _parts(text, lexicon) if text else ([], [], [], 0)
-    for s in sorted(parts, key=lambda s: s.tell if s.any & 63 or s.told else -99.0):
-        share = s.share if s.any & 63 or s.told else [1 / 3] * 3
+    for s in sorted(parts, key=lambda s: s.tell if s.tells else -99.0):
+        share = s.share if s.tells else [1 / 3] * 3
         w = words[s.a : s.a + s.n]
         out |= dict.fromkeys((*w, *map(" ".join, zip(w, w[1:]))), share)
     return {g: x for g, x in out.items() if not g[0].isdecimal()}
@@ -352,24 +358,41 @@ def _labelled(documents: DataFrame, labels: DataFrame, label_rows: int) -> DataF
     return stage(rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(FOLDS)).cast("int")), "labelled")
 
 
-def _counts(labelled: DataFrame, lexicon: Lexicon, size: int = LEXICON_SIZE) -> tuple[list, float, float]:
-    """Per word and pair its labelled documents by fold, of the `size` most telling ones; labelled and toxic documents in all."""
+def _by_fold(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Sums of the columns `names` per gram and fold, one row per gram."""
+    return rows.groupBy("gram").agg(*(F.sum(F.when(F.col("fold") == k, F.col(c)).otherwise(0.0)).alias(f"{c}{k}") for k in range(FOLDS) for c in names))
+
+
+def _counts(labelled: DataFrame, size: int = LEXICON_SIZE) -> tuple[dict, float, float]:
+    """{gram: labelled and toxic documents by fold} of the `size` most telling words and pairs; labelled and toxic documents in all."""
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for t, y, f in zip(pdf.text, pdf.y, pdf.fold):
-                toxic = float(y >= 0.5)
-                out += [(g, int(f), toxic, *(toxic * v for v in part)) for g, part in gram_shares(t, lexicon).items()]
-            yield pd.DataFrame(out, columns=["gram", "fold", "toxic", *CATEGORIES])
-
-    rows = labelled.mapInPandas(run, "gram string, fold int, toxic double, " + ", ".join(f"{c} double" for c in CATEGORIES))
-    per = [F.struct(*(F.sum(F.when(F.col("fold") == k, v).otherwise(0.0)).alias(n) for n, v in (("n", F.lit(1.0)), ("toxic", F.col("toxic")), *((c, F.col(c)) for c in CATEGORIES)))).alias(f"f{k}") for k in range(FOLDS)]
+            grams = [list(gram_shares(t, _GENERAL)) for t in pdf.text]
+            n = [len(g) for g in grams]
+            yield pd.DataFrame({"gram": [g for x in grams for g in x], "fold": np.repeat(pdf.fold.to_numpy(), n), "n": 1.0, "toxic": np.repeat((pdf.y.to_numpy() >= 0.5).astype(float), n)})
+
     n, toxic = labelled.agg(F.count("*"), F.count_if(F.col("y") >= 0.5)).first()
-    per_gram = rows.groupBy("gram").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), *per).filter(f"n >= {LEAST_DOCS}")
-    surplus = F.abs(F.col("t") - F.col("n") * (toxic / max(1, n))) / F.sqrt("n")
-    top = per_gram.orderBy(surplus.desc(), "gram").limit(size).collect()
-    return [(r.gram, [tuple(r[f"f{k}"]) for k in range(FOLDS)]) for r in top], float(n), float(toxic)
+    per = _by_fold(labelled.mapInPandas(run, "gram string, fold int, n double, toxic double"), ("n", "toxic"))
+    docs, bad = (sum(F.col(f"{c}{k}") for k in range(FOLDS)) for c in ("n", "toxic"))
+    surplus = F.abs(bad - docs * (toxic / max(1, n))) / F.sqrt(docs)
+    top = per.filter(docs >= LEAST_DOCS).orderBy(surplus.desc(), "gram").limit(size).collect()
+    return {r.gram: [[r[f"n{k}"], r[f"toxic{k}"]] for k in range(FOLDS)] for r in top}, float(n), float(toxic)
+
+
+def _shared_out(labelled: DataFrame, counts: dict, lexicon: Lexicon) -> list[tuple]:
+    """The counts with the parts of the categories in the toxic documents, as the lexicon shares these out."""
+    known = frozenset(counts)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(g, f, *part) for t, f in zip(pdf.text, pdf.fold) for g, part in gram_shares(t, lexicon).items() if g in known]
+            yield pd.DataFrame(rows, columns=["gram", "fold", *CATEGORIES])
+
+    rows = labelled.filter("y >= 0.5").select("text", "fold").mapInPandas(run, "gram string, fold int, " + ", ".join(f"{c} double" for c in CATEGORIES))
+    parts = {r.gram: [[r[f"{c}{k}"] for c in CATEGORIES] for k in range(FOLDS)] for r in _by_fold(rows, CATEGORIES).collect()}
+    none = [[0.0] * len(CATEGORIES)] * FOLDS
+    return [(g, [a + b for a, b in zip(x, parts.get(g, none))]) for g, x in counts.items()]
 
 
 def _featured(rows: DataFrame, pick, keep: list[str]) -> DataFrame:
@@ -386,13 +409,14 @@ def _featured(rows: DataFrame, pick, keep: list[str]) -> DataFrame:
 def fitted(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS) -> tuple[Lexicon, tuple]:
     """The lexicon and the trees, fitted on judged documents.
 
-    The lexicon is counted SHARE_ROUNDS times: toxic sentences are first shared out to the categories by the general lists,
-    then by what the lexicon before adds to them. The trees learn from features that use the lexicon of the other folds.
+    The lexicon is shared out SHARE_ROUNDS times: toxic sentences first go to the categories by the general lists, then by
+    what the lexicon before adds to them. The trees learn from features that use the lexicon of the other folds.
     """
     labelled = _labelled(documents, labels, label_rows)
+    found, n, toxic = _counts(labelled)
     lexicon = Lexicon()
     for _ in range(SHARE_ROUNDS):
-        counts, n, toxic = _counts(labelled, lexicon)
+        counts = _shared_out(labelled, found, lexicon)
         lexicon = fitted_lexicon(counts, n, toxic)
     others = [fitted_lexicon(counts, n, toxic, k) for k in range(FOLDS)]
     sample = _featured(labelled, lambda pdf: [others[k] for k in pdf.fold], ["doc_id", "y", "fold"]).orderBy("doc_id").toArrow()
