@@ -328,7 +328,7 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple:
     def trees(use):
         use = use & used
         a, b, w, s = _distinct(rows[use], label[use], weight[use], start[use])
-        return fit_trees(a, b, s, w, trees=40, rate=0.2, l2=3.0, least=10.0)
+        return fit_trees(a, b, s, w, trees=25, rate=0.3, l2=3.0, least=10.0)
 
     seen = start.copy()
     for k in range(FOLDS):
@@ -419,7 +419,7 @@ def fitted(documents: DataFrame, labels: DataFrame, label_rows: int = LABEL_ROWS
         counts = _shared_out(labelled, found, lexicon)
         lexicon = fitted_lexicon(counts, n, toxic)
     others = [fitted_lexicon(counts, n, toxic, k) for k in range(FOLDS)]
-    sample = _featured(labelled, lambda pdf: [others[k] for k in pdf.fold], ["doc_id", "y", "fold"]).orderBy("doc_id").toArrow()
+    sample = _featured(labelled, lambda pdf: [others[k] for k in pdf.fold], ["doc_id", "y", "fold"]).toArrow().sort_by("doc_id")
     x = sample.column("f").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(_SHAPE)
     return lexicon, fit(x, sample.column("y").to_numpy(), sample.column("fold").to_numpy())
 
