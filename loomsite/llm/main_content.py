@@ -10,13 +10,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomsite.functions.html_lines import BLOCK_TAGS, text_lines, visible_lines
+from loomsite.functions.html_lines import BLOCK_TAGS, text_lines
 from loomsite.functions.urls import html_response, page_key, site
-from loomsite.llm.repeated_lines import line_keys
+from loomsite.llm.repeated_lines import MIN_PAGES, MIN_SHARE, line_keys
 from loomsite.plans.stage import bounded, stage
 
-#: Standard deviation, in lines, of the Gaussian that smooths the ratios.
-SIGMA = 1.5
+#: Standard deviations of the Gaussian that smooths the ratios: in lines, and in the logarithm of the ratio.
+SIGMA, SIGMA_RATIO = 1.5, 0.2
+#: Largest threshold of ratios, in characters (UTF-8 bytes) a tag: from there on a line is text on any page.
+MOST_CUT = 48.0
+#: How much a headline and a main element speak for a region, and navigation, forms and comments against it.
+PRIOR = 3.0
 #: A site's lines outside the main content are known by at least so many pages and this share of its pages.
 KNOWN_PAGES, KNOWN_SHARE = 2, 0.02
 
@@ -24,31 +28,14 @@ _BLOCK = frozenset(BLOCK_TAGS)
 _CONTAINERS = frozenset("div main nav aside section article form footer header ul ol table blockquote".split())
 _FURNITURE_TAGS = frozenset("nav aside footer form header".split())
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
-_NAME = r"[^\W\d_][\w'’.-]*(?: [^\W\d_][\w'’.-]*){1,3}"
-_MONTH = r"[^\W\d_]{3,12}"
-#: Lines inside a content region that aren't content: bylines, dates, share prompts and share counts in four languages.
-_INSIDE = re.compile(
-    "|".join(
-        [
-            rf"(?:By|Written by|Words ?:|Text ?:|Texte ?:|Texto ?:|Por|Texto de|Escrito por|Par|Écrit par|Von|Geschrieben von|Autor(?:in)? ?:) ?{_NAME}",
-            rf"{_NAME}, (?:staff writer|redacción|rédaction|la rédaction|Redaktion)",
-            rf"(?:Updated|Published|Last checked|Last updated|Posted|Actualizado|Publicado|Revisado|Mis à jour|Publié|Vérifié|Aktualisiert|Veröffentlicht|Geprüft|Zuletzt geprüft|Stand)(?: (?:on|el|en|le|am|im|:))? ?(?:(?:\d{{1,4}}[./-]?|de|{_MONTH}) ?){{1,6}}",
-            rf"\d{{1,2}}\.? (?:de )?{_MONTH} (?:de )?\d{{4}}(?: · .*)?",
-            r"\d{1,4}[./-]\d{1,2}[./-]\d{1,4}(?: · .*)?",
-            r".* · \d+ min(?:utes?|utos|uten)?(?: read| de lectura| de lecture| Lesezeit)?",
-            r"Share (?:this|on|with)\b.{0,60}|Like it\? .{0,60}|[\d.,]+ (?:readers|people) shared this|(?:Save for later|Print|Share|E-mail)(?: · (?:Save for later|Print|Share|E-mail))+",
-            r"Compart(?:e|ir) (?:esta|este)\b.{0,60}|Compartido [\d.,]+ ve(?:z|ces)|Imprimir o enviar\b.{0,60}|Guardar para\b.{0,60}",
-            r"Partager (?:cette|cet)\b.{0,60}|Partagé [\d.,]+ fois|Imprimer ou envoyer\b.{0,60}|Enregistrer pour\b.{0,60}",
-            r"Diese[nr]? (?:Beitrag|Artikel|Seite) teilen.{0,40}|[\d.,]+ ?(?:Mal|mal|×) geteilt|(?:Seite|Beitrag|Artikel) drucken\b.{0,60}",
-        ]
-    )
-)
+#: Elements whose short lines are content where the region is.
+_SHORT = frozenset("li td th dt dd blockquote pre figcaption".split())
 #: Headings with which a region of comments begins.
 _COMMENTS = re.compile(r"(?:\d+ )?(?:comments?|comentarios?|commentaires?|Kommentare?)(?: \(?\d+\)?)?", re.I)
 
 
 class _Events(HTMLParser):
-    """Visible lines with their region (top-level container), tags before them, heading level, linked characters and tag."""
+    """Visible lines with their region (top-level container), block tags other than containers that begin before them, heading level, linked characters and tag."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -75,9 +62,9 @@ class _Events(HTMLParser):
         self._chars = 0
 
     def handle_starttag(self, tag, attrs):
-        self._n += 1
         if tag in _BLOCK:
             self.flush()
+            self._n += tag not in _CONTAINERS
             self._last = tag
             self._level = _HEADINGS.get(tag, 0)
             if tag in _CONTAINERS:
@@ -96,10 +83,11 @@ class _Events(HTMLParser):
             self._hidden += 1
 
     def handle_endtag(self, tag):
-        self._n += 1
         if tag in _BLOCK:
             self.flush()
             self._level = 0
+            if tag in _SHORT:
+                self._last = ""
             if tag in _CONTAINERS and tag in self._open:
                 while self._open.pop() != tag:
                     pass
@@ -125,12 +113,18 @@ def _events(body: str) -> _Events:
     return p
 
 
-def smoothed_ratios(lengths: np.ndarray, tags: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
-    """Characters per tag of each line under a Gaussian over the lines around it."""
-    ratio = lengths / np.maximum(1, tags)
+def smoothed_ratios(lengths: np.ndarray, tags: np.ndarray, sigma: float = SIGMA, sigma_ratio: float = SIGMA_RATIO) -> np.ndarray:
+    """Characters per tag of each line under a Gaussian over the lines around it.
+
+    Lines weigh by their distance and by how far their ratios are apart, so a short line between long ones stays short
+    (an edge-preserving Gaussian on logarithms).
+    """
+    g = np.log1p(lengths / np.maximum(1, tags))
     half = int(np.ceil(3 * sigma))
-    kernel = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2)
-    return np.convolve(ratio, kernel, "full")[half : half + len(ratio)] / np.convolve(np.ones(len(ratio)), kernel, "full")[half : half + len(ratio)]
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(g, half, constant_values=np.inf), 2 * half + 1)
+    far = np.where(np.isinf(around), 0.0, around)
+    weight = np.exp(-0.5 * (np.arange(-half, half + 1) / sigma) ** 2 - 0.5 * ((around - g[:, None]) / sigma_ratio) ** 2)
+    return np.expm1((weight * far).sum(axis=1) / weight.sum(axis=1))
 
 
 def content_threshold(x: np.ndarray, rounds: int = 20) -> float:
@@ -148,120 +142,125 @@ def content_threshold(x: np.ndarray, rounds: int = 20) -> float:
 def main_lines(body: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(lines, main, after): the visible lines, which of them are main content, and which come after its region.
 
-    Each region is weighed by the characters of its lines whose smoothed ratio lies in the upper group; a headline,
-    lines that only articles have and a main element speak for it, navigation and comments against it. The heaviest
-    region is the main one; bylines, dates, share prompts and lines that are one link are taken out of it.
+    The smoothed ratios of unlinked text are clustered into two groups; lines of the upper one are dense. Each region
+    weighs as the root of its dense characters, a headline and a main element multiply that by PRIOR, navigation and
+    divide by it. Of the heaviest region's plain lines those from MOST_CUT on are main content (where none reaches that, the
+    upper one of two groups), and so are headings, list items, quotes and table cells that aren't one link; short plain
+    lines (bylines, dates, prompts) are not.
     """
     p = _events(body)
     n = len(p.text)
     if not n:
         return [], np.zeros(0, bool), np.zeros(0, bool)
-    length, region = np.array([len(t) for t in p.text], float), np.array(p.region)
-    ratio = smoothed_ratios(length, np.array(p.tags, float))
-    dense = ratio >= content_threshold(ratio)
-    inside = np.array([bool(_INSIDE.fullmatch(t)) for t in p.text])
-    level = np.array(p.level)
+    length, linked, region, level = (np.array(v, float) for v in ([len(t.encode()) for t in p.text], p.linked, p.region, p.level))
+    ratio = smoothed_ratios(np.maximum(0, length - linked), np.array(p.tags, float))
+    dense = ratio >= min(content_threshold(ratio), MOST_CUT)
     best, heaviest = -1, -1.0
     for r in dict.fromkeys(p.region):
         own = region == r
         kind = p.kinds[r] if r >= 0 else "body"
-        weight = 1 + (length * dense)[own].sum()
+        weight = np.sqrt(1 + length[own & dense].sum()) * (PRIOR if (level[own] == 1).any() else 1) * (PRIOR if kind == "main" else 1)
         if kind in _FURNITURE_TAGS or _COMMENTS.fullmatch(p.text[int(own.argmax())]):
-            weight *= 0.01
-        weight *= (1000 if (level[own] == 1).any() else 1) * (1000 if kind == "main" else 1) * (30 if (inside & own).any() else 1)
+            weight /= PRIOR
         if weight > heaviest:
             best, heaviest = r, weight
     own = region == best
-    linked = np.array(p.linked) >= 0.9 * np.array([len(t.replace(" ", "")) for t in p.text])
-    single = linked & (level == 0) & ~np.isin(p.tag, ("td", "th")) & (np.array(p.linked) > 0)
-    main = own & ~single & ~(inside & (level == 0))
-    last = int(np.flatnonzero(own)[-1])
-    return p.text, main, np.arange(n) > last
+    cell = np.isin(p.tag, ("td", "th"))
+    plain = own & (level == 0) & ~cell & ~np.isin(p.tag, tuple(_SHORT))
+    if plain.any():
+        dense = ratio >= (MOST_CUT if (ratio[plain] >= MOST_CUT).any() else content_threshold(ratio[plain]))
+    one_link = (linked > 0) & (linked >= 0.9 * np.array([len(t.replace(" ", "")) for t in p.text]))
+    short = (level > 0) | cell | (np.isin(p.tag, tuple(_SHORT)) & ~one_link)
+    return p.text, own & (short | (dense & plain)), np.arange(n) > int(np.flatnonzero(own)[-1])
 
 
-def _parsed(responses: DataFrame) -> DataFrame:
-    """(response_id, site, page, keys, main, after) per HTML response."""
+def _parsed(responses: DataFrame, with_text: bool = False) -> DataFrame:
+    """(response_id, site, page, keys, main, after) per HTML response, and on demand its lines."""
 
     def run(batches):
         for pdf in batches:
             got = [main_lines(b) for b in pdf.body]
-            yield pd.DataFrame({"response_id": pdf.response_id, "site": pdf.site, "page": pdf.page, "keys": [line_keys(g[0]) for g in got], "main": [g[1] for g in got], "after": [g[2] for g in got]})
+            out = {"response_id": pdf.response_id, "site": pdf.site, "page": pdf.page, "keys": [line_keys(g[0]) for g in got], "main": [g[1] for g in got], "after": [g[2] for g in got]}
+            yield pd.DataFrame(out | ({"text": [g[0] for g in got]} if with_text else {}))
 
     rows = html_response(responses).select("response_id", site(F.col("url")).alias("site"), F.xxhash64(page_key(F.col("url"))).alias("page"), "body")
-    return rows.mapInPandas(run, "response_id bigint, site string, page bigint, keys array<bigint>, main array<boolean>, after array<boolean>")
+    return rows.mapInPandas(run, "response_id bigint, site string, page bigint, keys array<bigint>, main array<boolean>, after array<boolean>" + (", text array<string>" if with_text else ""))
 
 
 def _line_kinds(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What is known of lines from the pages' responses: per page its main and other keys, per site its frequent other keys."""
+    """What is known of lines from the pages' responses.
+
+    Per page its main and its other keys. Per site `repeated`: keys on an excessive share of its pages, `known`: frequent
+    keys outside the main content, `end`: those of them that come after it.
+    """
     lines = parsed.filter("page is not null").select("site", "page", F.explode(F.arrays_zip("keys", "main", "after")).alias("x")).select("site", "page", F.col("x.keys").alias("key"), F.col("x.main").alias("main"), F.col("x.after").alias("after"))
     lines = lines.groupBy("site", "page", "key").agg(F.max("main").alias("main"), F.max("after").alias("after"))
     lines = stage(lines, "lines")
     pages = lines.groupBy("page").agg(F.collect_list(F.when(F.col("main"), F.col("key"))).alias("main_keys"), F.collect_list(F.when(~F.col("main"), F.col("key"))).alias("other_keys"))
     count = lines.groupBy("site").agg(F.countDistinct("page").alias("pages"))
-    keys = lines.groupBy("site", "key").agg(F.count_if(~F.col("main")).alias("other"), F.count("*").alias("n"), F.count_if("after").alias("after")).filter(f"other >= {KNOWN_PAGES} and other > 0.5 * n")
-    keys = keys.join(count, "site").filter(f"other >= {KNOWN_SHARE} * pages")
-    sites = keys.groupBy("site").agg(F.collect_list("key").alias("site_keys"), F.collect_list(F.when(F.col("after") >= 0.9 * F.col("n"), F.col("key"))).alias("end_keys"))
+    keys = lines.groupBy("site", "key").agg(F.count_if(~F.col("main")).alias("other"), F.count("*").alias("n"), F.count_if("after").alias("after")).filter(f"n >= {KNOWN_PAGES}")
+    repeated = f"n >= greatest({MIN_PAGES}, {MIN_SHARE} * pages)"
+    known = f"other >= {KNOWN_PAGES} and other > 0.5 * n and other >= {KNOWN_SHARE} * pages"
+    keys = keys.join(count, "site").filter(f"({repeated}) or ({known})")
+    pick = lambda cond: F.collect_list(F.when(F.expr(cond), F.col("key")))
+    sites = keys.groupBy("site").agg(pick(f"({repeated}) and n > other").alias("repeated"), pick(f"({known}) or ({repeated})").alias("known"), pick(f"({known}) and after >= 0.9 * n").alias("end"))
     return pages, sites
 
 
-def main_embed_lines(lines: list[str], keys: np.ndarray, main_keys, other_keys, site_keys, end_keys) -> np.ndarray:
-    """Which lines of an embed text are main content: as on the page itself where it was fetched, else by the site's known lines."""
+def main_embed_lines(lines: list[str], keys: np.ndarray, main_keys, other_keys, known, end) -> np.ndarray:
+    """Which lines of an embed text are main content: as on the page itself where it was fetched, else by the site's known lines.
+
+    Lines of a fetched page that its responses don't have are judged by the site's lines too. Where no response of the
+    page was fetched, all that follows the first line of comments or of the page's end is left out.
+    """
+    known, end = set(known if known is not None else ()), set(end if end is not None else ())
+    main, other = set(main_keys if main_keys is not None else ()), set(other_keys if other_keys is not None else ())
+    fetched, ended = bool(main or other), False
     out = np.ones(len(lines), bool)
-    if main_keys is not None and (len(main_keys) or len(other_keys)):
-        other = set(other_keys) - set(main_keys)
-        out = np.array([int(k) not in other for k in keys], bool)
-        unknown = [i for i, k in enumerate(keys.tolist()) if k not in other and k not in main_keys]
-        out[[i for i in unknown if _INSIDE.fullmatch(lines[i])]] = False
-    else:
-        known, end = set(site_keys if site_keys is not None else ()), set(end_keys if end_keys is not None else ())
-        ended = False
-        for i, (line, k) in enumerate(zip(lines, keys.tolist())):
-            ended |= i > 0 and (k in end or bool(_COMMENTS.fullmatch(line)))
-            out[i] = not (ended or k in known or _INSIDE.fullmatch(line) or line.startswith(("»", "›")) or " › " in line)
+    for i, (line, k) in enumerate(zip(lines, keys.tolist())):
+        if fetched and (k in main or k in other):
+            out[i] = k in main and k not in known
+        else:
+            ended |= not fetched and i > 0 and (k in end or bool(_COMMENTS.fullmatch(line)))
+            out[i] = not (ended or k in known or line.startswith(("»", "›")) or " › " in line)
     out[:1] = True
     return out
 
 
-def main_content(responses: DataFrame, embed_inputs: DataFrame) -> DataFrame:
+def main_content(responses: DataFrame, embed_inputs: DataFrame, with_text: bool = False) -> DataFrame:
     """(record_kind, record_id, lines, keep): per record the numbers (from 1) of its main-content lines in `keep`.
 
-    Responses are judged by their own parser events. Embed texts have no tags: a line counts as on the same page's
-    responses, the first line (title and description) always; texts of pages without a response are judged by what
-    their site's responses show to be furniture. Null and empty texts have no lines; null urls match no page.
+    Responses are judged by their own parser events; lines on an excessive share of a site's pages, as repeated_lines
+    counts them, are left out. Embed texts have no tags: a line counts as on the same page's responses, the first line
+    (title and description) always; texts of pages without a response are judged by what their site's responses show to
+    be furniture. Null and empty texts have no lines; null urls match no page. `with_text` adds the kept lines' text.
     """
-    parsed = stage(_parsed(responses), "parsed")
+    parsed = stage(_parsed(responses, with_text), "parsed")
     pages, sites = _line_kinds(parsed)
-    numbered = F.filter(F.transform("main", lambda m, i: F.when(m, (i + 1).cast("int"))), lambda i: i.isNotNull())
-    a = parsed.select(F.lit("response").alias("record_kind"), F.col("response_id").alias("record_id"), F.size("keys").alias("lines"), numbered.alias("keep"))
+    sites = bounded(stage(sites, "sites"), 20_000)
+    own = parsed.join(sites.select("site", "repeated"), "site", "left")
+    excessive = F.coalesce("repeated", F.array().cast("array<bigint>"))
+    main = F.transform("main", lambda m, i: m & ~F.array_contains(excessive, F.col("keys")[i]))
+    numbered = F.filter(F.transform(main, lambda m, i: F.when(m, (i + 1).cast("int"))), lambda i: i.isNotNull())
+    text = [F.array_join(F.transform("keep", lambda i: F.col("text")[i - 1]), "\n").alias("text")] if with_text else []
+    a = own.withColumn("keep", numbered).select(F.lit("response").alias("record_kind"), F.col("response_id").alias("record_id"), F.size("keys").alias("lines"), "keep", *text)
     texts = embed_inputs.filter(F.length("text") > 0).select("input_id", "text", site(F.col("url")).alias("site"), F.xxhash64(page_key(F.col("url"))).alias("page"))
-    texts = texts.join(pages, "page", "left").join(bounded(stage(sites, "sites"), 20_000), "site", "left")
+    texts = texts.join(pages, "page", "left").join(sites.select("site", "known", "end"), "site", "left")
 
     def run(batches):
         for pdf in batches:
-            n, keep = [], []
-            for t, m, o, s, e in zip(pdf.text, pdf.main_keys, pdf.other_keys, pdf.site_keys, pdf.end_keys):
+            n, keep, kept = [], [], []
+            for t, *known in zip(pdf.text, pdf.main_keys, pdf.other_keys, pdf.known, pdf.end):
                 lines = text_lines(t)
-                main = main_embed_lines(lines, line_keys(lines), None if m is None else set(m.tolist()), o, s, e)
+                main = np.flatnonzero(main_embed_lines(lines, line_keys(lines), *known))
                 n.append(len(lines))
-                keep.append((np.flatnonzero(main) + 1).astype(np.int32))
-            yield pd.DataFrame({"record_kind": "embed", "record_id": pdf.input_id, "lines": n, "keep": keep})
+                keep.append((main + 1).astype(np.int32))
+                kept.append("\n".join(lines[i] for i in main) if with_text else "")
+            yield pd.DataFrame({"record_kind": "embed", "record_id": pdf.input_id, "lines": n, "keep": keep} | ({"text": kept} if with_text else {}))
 
-    return a.unionByName(texts.mapInPandas(run, "record_kind string, record_id bigint, lines int, keep array<int>"))
+    return a.unionByName(texts.mapInPandas(run, "record_kind string, record_id bigint, lines int, keep array<int>" + (", text string" if with_text else "")))
 
 
 def main_text(responses: DataFrame, embed_inputs: DataFrame) -> DataFrame:
     """(record_kind, record_id, text): the main-content lines joined by newlines; empty where a record has none."""
-    found = main_content(responses, embed_inputs)
-    rows = html_response(responses).select(F.lit("response").alias("record_kind"), F.col("response_id").alias("record_id"), "body")
-    rows = rows.unionByName(embed_inputs.filter(F.length("text") > 0).select(F.lit("embed").alias("record_kind"), F.col("input_id").alias("record_id"), F.col("text").alias("body")))
-
-    def run(batches):
-        for pdf in batches:
-            text = []
-            for kind, body, keep in zip(pdf.record_kind, pdf.body, pdf.keep):
-                lines = visible_lines(body) if kind == "response" else text_lines(body)
-                text.append("\n".join(lines[i - 1] for i in keep))
-            yield pd.DataFrame({"record_kind": pdf.record_kind, "record_id": pdf.record_id, "text": text})
-
-    joined = rows.join(found.select("record_kind", "record_id", "keep"), ["record_kind", "record_id"])
-    return joined.mapInPandas(run, "record_kind string, record_id bigint, text string")
+    return main_content(responses, embed_inputs, True).select("record_kind", "record_id", "text")

@@ -157,6 +157,36 @@ def test_main_lines():
     assert main_content.main_lines("")[0] == [] and main_content.main_lines("<p>one</p>")[1].tolist() == [True]
 
 
+def test_ratios_decide(monkeypatch):
+    """Pages whose layouts say little: with the smoothed ratios of each page shuffled, more than a tenth of the kept lines change."""
+    rnd = random.Random(7)
+    pages = []
+    for _ in range(60):
+        paras = "".join(f"<p>{SENTENCE * rnd.randrange(1, 4)}</p>" + rnd.choice(["", "<p>Nora Vale, editor</p>", "<p>Tell others</p>"]) for _ in range(rnd.randrange(2, 7)))
+        menu = "".join(f"<p>{w}</p>" for w in rnd.sample("Home Shop Help About Basket News Jobs".split(), 5))
+        pages.append(f"<body><div>{menu}</div><div>{paras}</div><div><p>Sign up</p><p>Your mail</p></div></body>")
+    kept = [main_content.main_lines(p) for p in pages]
+    assert all([x for x, m in zip(lines, main) if m] == [x for x in lines if x.startswith("A sentence")] for lines, main, _ in kept)
+    real, noise = main_content.smoothed_ratios, np.random.default_rng(0)
+    monkeypatch.setattr(main_content, "smoothed_ratios", lambda *a: noise.permutation(real(*a)))
+    changed = sum((main_content.main_lines(p)[1] != main).sum() for p, (_, main, _) in zip(pages, kept))
+    assert changed >= 0.1 * sum(main.sum() for _, main, _ in kept)
+
+
+def test_smoothed_ratios():
+    x = main_content.smoothed_ratios(np.array([100.0, 110, 10, 105]), np.ones(4))
+    assert 100 < x[0] < 110 and x[2] == pytest.approx(10, abs=0.1) and len(main_content.smoothed_ratios(np.ones(1), np.ones(1))) == 1
+
+
+def test_notices_in_the_main_region(spark):
+    """A long line that most pages of a site repeat inside their content is no main content, in responses and embed texts."""
+    notice = "This long notice about the terms of the offer stands on every page of the site."
+    r = responses(spark, [(f"https://b.example/{i}", 200, "text/html", f"<main><h1>Page {'abcdefgh'[i]}</h1><p>{i}. {SENTENCE}{'x' * i}</p><p>{notice if i < 6 else SENTENCE + 'other'}</p></main>") for i in range(8)])
+    e = spark.createDataFrame([(1, "https://b.example/1", f"T\n1. {SENTENCE}x\n{notice}"), (2, "https://b.example/new", f"T\nNew line\n{notice}")], "input_id bigint, url string, text string")
+    got = {(x.record_kind, x.record_id): x.keep for x in main_content.main_content(r, e).collect()}
+    assert got["response", 2] == [1, 2] and got["response", 8] == [1, 2, 3] and got["embed", 1] == [1, 2] and got["embed", 2] == [1, 2]
+
+
 def test_main_content(spark):
     r = responses(spark, [(f"https://a.example/{i}", 200, "text/html", HTML.format(f"{i} {SENTENCE}" * 2, SENTENCE)) for i in range(4)] + [("https://a.example/n", 200, "text/html", None), (None, 200, "text/html", "<p>x</p>")])
     e = spark.createDataFrame([(1, "https://www.a.example/1/", f"Head line. About\n{('1 ' + SENTENCE) * 2}\nShare this page with a friend\nRead next\n{SENTENCE}"), (2, "https://a.example/unknown", "T. D\nHome | Shop\nOwn words here.\nRead next\nSome teaser"), (3, None, "only"), (4, "https://a.example/1", None), (5, "https://a.example/1", "")], "input_id bigint, url string, text string")
