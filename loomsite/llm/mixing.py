@@ -61,8 +61,8 @@ def bisect_exponent(sizes: list[float], reached, low=0.0, high=1.0, steps=60) ->
 
 
 def exponent_for_entropy(sizes: list[float], target: float) -> float:
-    """The exponent whose weights have the target entropy; 1 or 0 where the target lies beyond what they can have."""
-    return bisect_exponent(sizes, lambda w: entropy(w) <= target)
+    """The exponent, 32 at most, whose weights have the target entropy; 0 where the target is beyond that of equal weights."""
+    return bisect_exponent(sizes, lambda w: entropy(w) <= target, high=1.0 if entropy(temperature_weights(sizes, 1.0)) <= target else 32.0)
 
 
 def exponent_for_repeats(sizes: list[float], repeats: list[float], budget: float) -> float:
@@ -70,30 +70,63 @@ def exponent_for_repeats(sizes: list[float], repeats: list[float], budget: float
     return bisect_exponent(sizes, lambda w: all(x * budget <= s * r + 1e-6 for x, s, r in zip(w, sizes, repeats)))
 
 
-def mix_plan(counted: DataFrame, targets: DataFrame) -> DataFrame:
+def source_weights(shares: list[float | None], sizes: list[float], repeats: list[float], budget: float, target_entropy: float | None = None) -> tuple[list[float], float]:
+    """(weights, exponent): the part of the whole mix each source is to give, by temperature.
+
+    Stated shares are the shares that are raised to the exponent. Sources without one divide what the stated shares leave
+    over: their token shares are raised to the smallest exponent at which none has to repeat more often than it may. The
+    exponent over all sources is then bisected until the weights have the target entropy: that of the shares themselves
+    by default, which the stated shares meet as they are; a larger one evens the sources out, a smaller one sharpens.
+    """
+    open_ = [i for i, x in enumerate(shares) if x is None]
+    base = [0.0 if x is None else max(0.0, x) for x in shares]
+    left = max(0.0, 1 - sum(base))
+    if open_:
+        own, most = [sizes[i] for i in open_], [repeats[i] for i in open_]
+        e = exponent_for_repeats(own, most, left * budget)
+        for i, w in zip(open_, temperature_weights(own, e)):
+            base[i] = left * w
+    whole = sum(base)
+    if not whole:
+        return base, 1.0
+    target = entropy([x / whole for x in base]) if target_entropy is None else target_entropy
+    exponent = exponent_for_entropy(base, target)
+    return base if exponent == 1 else [whole * w for w in temperature_weights(base, exponent)], exponent
+
+
+def mix_plan(counted: DataFrame, targets: DataFrame, target_entropy: float | None = None) -> DataFrame:
     """One row per targeted source: what it holds, what is asked of it, and what it gives.
 
-    Columns: source, documents, tokens, target_share, max_repeats, wanted (share of the total), capacity (tokens times
-    repeats), short (capacity below what is wanted), given (the smaller of the two), exponent and temperature_share.
-    Temperature weights over the targeted sources' token shares are bisected to the entropy of the target shares, and to
-    the repetition limit if that asks for more: their share is what a mix without stated shares would give the source.
-    Sources without documents hold 0 tokens; sources without a target are left out; a target given twice counts as its
-    largest row; null shares and repeats count as 0.
+    Columns: source, documents, tokens, target_share, max_repeats, exponent and weight (as in source_weights), wanted
+    (weight times the total), capacity (tokens times repeats), short (capacity below what is wanted), given (the smaller
+    of the two). A source that falls short is left short, not made up for by others. Sources without documents hold 0
+    tokens; sources without a target are left out; a target given twice counts as its largest row; sources with a null
+    share get temperature weights; null repeats count as 0.
     """
     have = counted.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("tokens"))
-    t = targets.filter("source is not null").groupBy("source").agg(F.max(F.struct(*(F.coalesce(c, F.lit(0)).alias(c) for c in ("target_share", "max_repeats", "total_tokens")))).alias("t")).select("source", "t.*")
+    t = targets.filter("source is not null").groupBy("source").agg(F.max(F.struct("target_share", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("max_repeats", "total_tokens")))).alias("t")).select("source", "t.*")
     rows = t.join(have, "source", "left").fillna(0, ["documents", "tokens"])
-    rows = rows.withColumns({"wanted": F.col("target_share") * F.col("total_tokens"), "capacity": F.col("tokens") * F.col("max_repeats")})
-    rows = rows.withColumns({"short": F.col("capacity") < F.col("wanted"), "given": F.least(F.col("capacity").cast("double"), "wanted")})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes, total = pdf.tokens.tolist(), float(pdf.total_tokens.max())
-        shares = pdf.target_share / max(pdf.target_share.sum(), 1e-300)
-        e = max(exponent_for_entropy(sizes, entropy(shares.tolist())), exponent_for_repeats(sizes, pdf.max_repeats.tolist(), total))
-        return pdf.assign(exponent=e, temperature_share=temperature_weights(sizes, e))
+        pdf = pdf.sort_values("source")
+        budget = float(pdf.total_tokens.max())
+        shares = [None if pd.isna(x) else float(x) for x in pdf.target_share]
+        weight, e = source_weights(shares, pdf.tokens.astype(float).tolist(), pdf.max_repeats.astype(float).tolist(), budget, target_entropy)
+        return pdf.assign(exponent=e, weight=weight)
 
     kinds = ", ".join(f"{c} {k}" for c, k in rows.dtypes)
-    return rows.groupBy().applyInPandas(run, kinds + ", exponent double, temperature_share double").drop("total_tokens")
+    plan = rows.groupBy().applyInPandas(run, kinds + ", exponent double, weight double")
+    plan = plan.withColumns({"wanted": F.col("weight") * F.col("total_tokens"), "capacity": F.col("tokens") * F.col("max_repeats")}).drop("total_tokens")
+    return plan.withColumns({"short": F.col("capacity") < F.col("wanted"), "given": F.least(F.col("capacity").cast("double"), "wanted")})
+
+
+def _sums_before(sums: DataFrame) -> DataFrame:
+    """`before`: per source the sum of all earlier blocks, from sums of BLOCK_DOCS blocks and sums inside each of these."""
+    sums = sums.withColumn("far", F.floor(F.col("block") / BLOCK_DOCS))
+    inside = sums.withColumn("inside", F.coalesce(F.sum("sum").over(Window.partitionBy("source", "far").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    far = sums.groupBy("source", "far").agg(F.sum("sum").alias("all"))
+    far = far.withColumn("ahead", F.coalesce(F.sum("all").over(Window.partitionBy("source").orderBy("far").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("source", "far", "ahead")
+    return inside.join(far, ["source", "far"]).withColumn("before", F.col("ahead") + F.col("inside"))
 
 
 def mix(counted: DataFrame, plan: DataFrame, seed: int = 0, block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -101,15 +134,15 @@ def mix(counted: DataFrame, plan: DataFrame, seed: int = 0, block_docs: int = BL
 
     A source's whole rounds use every document; the rest is the beginning of a permutation: documents hashed into
     blocks, blocks in order until the budget ends inside one, that block's documents in hash order until the budget is
-    reached. Only block sums are ordered as a whole, and only the last block document by document. The last document
-    may exceed the budget by its own length; documents without tokens are used with the whole rounds only.
+    reached. Only sums of blocks, and of groups of blocks, are ordered, and only the last block document by document.
+    The last document may exceed the budget by its own length; documents without tokens are used with the whole rounds
+    only.
     """
     p = plan.filter("tokens > 0").select("source", F.floor(F.col("given") / F.col("tokens")).alias("rounds"), F.pmod(F.col("given"), F.col("tokens").cast("double")).alias("rest"), F.greatest(F.lit(1), F.ceil(F.col("documents") / block_docs)).alias("nb"))
     order = F.xxhash64("doc_id", F.lit(seed))
     docs = counted.join(bounded(p), "source").withColumns({"block": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("nb")), "ord": order})
     sums = docs.groupBy("source", "block").agg(F.sum("tokens").alias("sum"), F.first("rest").alias("rest"))
-    w = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("before", F.coalesce(F.sum("sum").over(w), F.lit(0))).select("source", "block", "before", (F.col("before") + F.col("sum") <= F.col("rest")).alias("whole"), (F.col("before") >= F.col("rest")).alias("none"))
+    before = _sums_before(sums).select("source", "block", "before", (F.col("before") + F.col("sum") <= F.col("rest")).alias("whole"), (F.col("before") >= F.col("rest")).alias("none"))
     docs = docs.join(before, ["source", "block"])
     w = Window.partitionBy("source", "block").orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     cut = docs.filter("not whole and not none").withColumn("at", F.col("before") + F.coalesce(F.sum("tokens").over(w), F.lit(0)))
@@ -120,11 +153,11 @@ def mix(counted: DataFrame, plan: DataFrame, seed: int = 0, block_docs: int = BL
 
 
 def mix_shares(used: DataFrame, plan: DataFrame) -> DataFrame:
-    """(source, target_share, max_repeats, tokens_used, actual_share, max_uses): what the mix really holds."""
+    """(source, target_share, exponent, weight, max_repeats, tokens_used, actual_share, max_uses): what the mix really holds."""
     got = used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("max_uses"))
-    rows = plan.select("source", "target_share", "max_repeats").join(got, "source", "left").fillna(0, ["tokens_used", "max_uses"])
+    rows = plan.select("source", "target_share", "exponent", "weight", "max_repeats").join(got, "source", "left").fillna(0, ["tokens_used", "max_uses"])
     total = rows.agg(F.sum("tokens_used").alias("all"))
-    return rows.join(F.broadcast(total)).select("source", "target_share", "max_repeats", "tokens_used", (F.col("tokens_used") / F.greatest(F.col("all"), F.lit(1))).alias("actual_share"), "max_uses")
+    return rows.join(F.broadcast(total)).select("source", "target_share", "exponent", "weight", "max_repeats", "tokens_used", (F.col("tokens_used") / F.greatest(F.col("all"), F.lit(1))).alias("actual_share"), "max_uses")
 
 
 def planned(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:

@@ -140,6 +140,37 @@ def test_mix(spark):
     assert mixing.mix_plan(counted.limit(0), t).filter("short").count() == 4
 
 
+def test_source_weights():
+    sizes, repeats = [1000.0, 100.0, 10.0, 500.0], [1.0, 4.0, 4.0, 2.0]
+    w, e = mixing.source_weights([0.5, 0.3, 0.1, 0.1], sizes, repeats, 1000)
+    assert e == 1 and w == pytest.approx([0.5, 0.3, 0.1, 0.1])
+    w, e = mixing.source_weights([0.5, 0.3, 0.1, 0.1], sizes, repeats, 1000, target_entropy=1.3)
+    assert 0 < e < 1 and abs(mixing.entropy(w) - 1.3) < 1e-6 and max(w) < 0.5
+    w, e = mixing.source_weights([0.5, 0.3, 0.1, 0.1], sizes, repeats, 1000, target_entropy=0.5)
+    assert e > 1 and abs(mixing.entropy(w) - 0.5) < 1e-6
+    w, e = mixing.source_weights([0.5, None, None, None], sizes, repeats, 1000)
+    assert w[0] == pytest.approx(0.5) and sum(w) == pytest.approx(1) and all(x * 1000 <= s * r + 1 for x, s, r in zip(w[1:], sizes[1:], repeats[1:]))
+    assert mixing.source_weights([], [], [], 0) == ([], 1.0) and mixing.source_weights([None], [0.0], [1.0], 10)[0] == [0.0]
+
+
+def test_exponent_reaches_the_mix(spark):
+    docs = [(i, "abc"[i % 3], 10) for i in range(900)]
+    counted = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint")
+    t = spark.createDataFrame([("a", 0.6, 2, 3000), ("b", 0.3, 2, 3000), ("c", None, 2, 3000)], "source string, target_share double, max_repeats int, total_tokens bigint")
+    got = {}
+    for target in (None, 1.05):
+        plan = mixing.mix_plan(counted, t, target).cache()
+        got[target] = {r.source: (r.exponent, r.tokens_used) for r in mixing.mix_shares(mixing.mix(counted, plan), plan).collect()}
+    assert {k: v for k, (_, v) in got[None].items()} == {"a": 1800, "b": 900, "c": 300}
+    assert got[1.05]["a"][0] < 1 and got[1.05]["a"][1] < 1800 and got[1.05]["c"][1] > 300
+
+
+def test_sums_before(spark):
+    rows = [(s, b, b % 7) for s in "xy" for b in range(2500)]
+    got = {(r.source, r.block): r.before for r in mixing._sums_before(spark.createDataFrame(rows, "source string, block bigint, sum bigint")).collect()}
+    assert all(got[s, b] == sum(x % 7 for x in range(b)) for s in "xy" for b in (0, 1, 999, 1000, 2499))
+
+
 def test_token_counts(spark):
     d = spark.createDataFrame([(1, "s", "hello world"), (2, "s", None), (3, None, ""), (4, "s", "<|endoftext|>")], "doc_id bigint, source string, text string")
     got = {r.doc_id: r.tokens for r in mixing.token_counts(d).collect()}
