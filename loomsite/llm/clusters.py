@@ -21,8 +21,8 @@ LOCAL_ROWS = 50_000
 FIT_ROWS = 1024
 #: Centres that one pass broadcasts at most (64 floats each); more take more passes.
 BLOCK = 32_768
-#: Least central members of a leaf that are compared with all its members.
-EXTREMES = 32
+#: Members of one block when a cluster's members are compared with each other.
+MEMBER_BLOCK = 8_192
 
 _PARTS = pa.schema([("node", pa.int64()), ("side", pa.int32()), ("n", pa.int64()), ("s", pa.list_(pa.float64()))])
 
@@ -95,10 +95,16 @@ def _partial(batches, choose):
             continue
         nodes, x = b.column("node").to_numpy(), unit(matrix(b.column("v")))
         sides = choose(nodes, x)
-        for key in np.unique(np.stack([nodes, sides], 1)[sides >= 0], axis=0):
-            own = x[(nodes == key[0]) & (sides == key[1])]
-            n, s = total.get(tuple(key), (0, np.zeros(x.shape[1])))
-            total[tuple(key)] = (n + len(own), s + own.sum(axis=0, dtype=np.float64))
+        at = np.flatnonzero(sides >= 0)
+        if not len(at):
+            continue
+        at = at[np.lexsort((sides[at], nodes[at]))]
+        keys = np.stack([nodes[at], sides[at]], 1)
+        first = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        sums = np.add.reduceat(x[at].astype(np.float64), first, axis=0)
+        for key, n, s in zip(map(tuple, keys[first].tolist()), np.diff(np.r_[first, len(at)]).tolist(), sums):
+            m, t = total.get(key, (0, 0.0))
+            total[key] = (m + n, t + s)
     if total:
         keys = list(total)
         yield _sums([k[0] for k in keys], [k[1] for k in keys], [v[0] for v in total.values()], [v[1] for v in total.values()])
@@ -127,7 +133,7 @@ def _sides(centres: dict):
 def _fit(state: DataFrame, sizes: dict, limit: float) -> dict:
     """Per node its first centres, fitted on about FIT_ROWS rows chosen by hash: (core, None, limit) or (a, b)."""
     rate = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, FIT_ROWS / n))))
-    few = state.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < rate[F.col("node")] * (1 << 20))
+    few = state.filter(F.pmod(F.xxhash64("id", "node"), F.lit(1 << 20)) < rate[F.col("node")] * (1 << 20))
 
     def fit(table: pa.Table) -> pa.Table:
         x = unit(matrix(table.column("v")))
@@ -173,10 +179,11 @@ def bisect(vectors: DataFrame, limit: float, local_rows: int = LOCAL_ROWS) -> Da
                     centres[r.node] = (new, None, c[2])
                 elif len(c) == 2:
                     centres[r.node] = (new, c[1]) if r.side == 0 else (c[0], new)
-        n = {(r.node, r.side): r.n for r in got}
-        one_sided = {k for k in centres if len(centres[k]) == 2 and not (n.get((k, 0)) and n.get((k, 1)))}
+        for r in got:  # a node with all rows on one side gives up its compact core instead, and is split anew from other rows
+            if len(centres[r.node]) == 2 and r.n == sizes[r.node]:
+                centres[r.node] = (unit(np.array(r.s)).astype(np.float32), None, limit)
         to = {(k, s): next(names) for k in centres for s in (0, 1)}
-        closed = {to[k, 0] for k in centres if len(centres[k]) == 3} | {to[k, s] for k in one_sided for s in (0, 1)}
+        closed = {to[k, 0] for k in centres if len(centres[k]) == 3}
         choose = _sides(centres)
         names_of = {int(k): [to[k, 0], to[k, 1]] for k in centres}
 
@@ -272,57 +279,42 @@ def assign(vectors: DataFrame, centres: DataFrame, limit: float) -> DataFrame:
     return vectors.select("kind", "id", F.lit(0).cast("bigint").alias("cid"), F.lit(0.0).alias("sim"), "v").limit(0) if out is None else out
 
 
-def _strangers(members: DataFrame, min_cosine: float) -> DataFrame:
-    """(cid, id) of those least central members that are farther than allowed from a more central member of their leaf."""
-
-    def lowest(batches):
-        kept: dict = {}
-        for b in batches:
-            cid, ids, sim, x = b.column("cid").to_numpy(), b.column("id").to_numpy(), b.column("sim").to_numpy(), matrix(b.column("v"))
-            for c in np.unique(cid):
-                own = np.flatnonzero(cid == c)
-                i, s, v = ids[own], sim[own], x[own]
-                if c in kept:
-                    i, s, v = (np.concatenate([p, q]) for p, q in zip(kept[c], (i, s, v)))
-                first = np.lexsort((i, s))[:EXTREMES]
-                kept[c] = (i[first], s[first], v[first])
-        for c, (i, s, v) in kept.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c] * len(i), pa.int64()), pa.array(i), pa.array(s), pa.array(v.tolist(), pa.list_(pa.float32()))], names=["cid", "id", "sim", "v"])
-
-    low = members.mapInArrow(lowest, "cid bigint, id bigint, sim double, v array<float>")
-    low = low.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy("sim", "id"))).filter(f"r <= {EXTREMES}")
-    ends = low.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("sim", "id", "v"))).alias("ends"))
-    ends = stage(ends, "extremes")
-    out = None
-    for ids in _chunks(ends, BLOCK // EXTREMES):
-        block = {r.cid: (np.array([e.id for e in r.ends]), np.array([e.sim for e in r.ends]), unit(np.array([e.v for e in r.ends], np.float32))) for r in ids}
+def _strangers(members: DataFrame, min_cosine: float, block: int = MEMBER_BLOCK) -> DataFrame:
+    """(cid, id) of members that are farther than min_cosine from a more central member of their cluster.
 
-        def far(batches, block=block):
-            for b in batches:
-                cid, mine, sim, x = b.column("cid").to_numpy(), b.column("id").to_numpy(), b.column("sim").to_numpy(), unit(matrix(b.column("v")))
-                bad = {}
-                for c in set(np.unique(cid).tolist()) & set(block):
-                    own = np.flatnonzero(cid == c)
-                    eid, es, ev = block[c]
-                    less = (sim[own][:, None] > es) | ((sim[own][:, None] == es) & (mine[own][:, None] < eid))
-                    hit = ((x[own] @ ev.T < min_cosine) & less).any(axis=0)
-                    bad[c] = eid[hit]
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, e in bad.items() for _ in e], pa.int64()), pa.array([int(i) for e in bad.values() for i in e], pa.int64())], names=["cid", "id"])
-
-        got = members.mapInArrow(far, "cid bigint, id bigint")
-        out = got if out is None else out.unionByName(got)
-    return members.select("cid", "id").limit(0) if out is None else out.distinct()
-
-
-def _chunks(df: DataFrame, size: int):
-    rows = []
-    for r in df.toLocalIterator():
-        rows.append(r)
-        if len(rows) == size:
-            yield rows
-            rows = []
-    if rows:
-        yield rows
+    All members of a cluster are compared, except where their angles to the centre already say that none can be too far
+    from another. Clusters of up to `block` rows are compared in one task together with other small ones, larger ones as
+    pairs of blocks; only the ids of strangers leave a task.
+    """
+    spark = members.sparkSession
+    size = members.groupBy("cid").agg(F.count("*").alias("n"), F.min("sim").alias("low"))
+    # cosine of the angles' sum, of a member and the least central one
+    cos = F.col("sim") * F.col("low") - F.sqrt(F.greatest(F.lit(0.0), 1 - F.col("sim") ** 2) * F.greatest(F.lit(0.0), 1 - F.col("low") ** 2))
+    loose = members.join(bounded(size), "cid").filter(cos < min_cosine + 1e-6).select("cid", "id", "sim", "v", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).otherwise(0)
+    loose = loose.withColumn("own", own)
+    small = F.pmod(F.xxhash64("cid"), F.lit(max(spark.sparkContext.defaultParallelism * 4, 64)))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    rows = loose.withColumn("p", F.explode(pair)).select(F.when(F.col("blocks") > 1, F.col("cid")).otherwise(-1 - small).alias("cell"), "p.i", "p.j", "cid", "id", "sim", "v", "own")
+
+    def far(table: pa.Table) -> pa.Table:
+        cid, ids, sim, own = (table.column(c).to_numpy() for c in ("cid", "id", "sim", "own"))
+        x, i, j = unit(matrix(table.column("v"))), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        order = np.argsort(cid, kind="stable")
+        bad_c, bad_i = [], []
+        for rows in np.split(order, np.flatnonzero(np.diff(cid[order])) + 1):
+            a, b = rows[own[rows] == i], rows[own[rows] == j]
+            for at in range(0, len(a), 1024):
+                p = a[at : at + 1024]
+                less = (sim[p][:, None] < sim[b]) | ((sim[p][:, None] == sim[b]) & (ids[p][:, None] > ids[b]))
+                apart = x[p] @ x[b].T < min_cosine
+                bad = np.concatenate([p[(apart & less).any(axis=1)], b[(apart & ~less & (ids[p][:, None] != ids[b])).any(axis=0)]])
+                bad_c.append(cid[bad])
+                bad_i.append(ids[bad])
+        got = np.unique(np.stack([np.concatenate(bad_c), np.concatenate(bad_i)], 1), axis=0)
+        return pa.table({"cid": pa.array(got[:, 0], pa.int64()), "id": pa.array(got[:, 1], pa.int64())})
+
+    return rows.groupBy("cell", "i", "j").applyInArrow(far, "cid bigint, id bigint").distinct()
 
 
 def similarity_clusters(vectors: DataFrame, min_cosine: float = MIN_COSINE, min_size: int = MIN_SIZE, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -330,8 +322,10 @@ def similarity_clusters(vectors: DataFrame, min_cosine: float = MIN_COSINE, min_
 
     Leaves of a bisecting k-means hold records within sqrt(min_cosine) of their centre, which for residuals without a
     common direction is what two members at min_cosine have. Leaves of one cluster are joined again, all records then
-    go to the nearest centre, centres move once more, and of each leaf the least central members are compared with all
-    others and leave where two are farther apart than min_cosine. Kinds are clustered apart. Repeated vectors are
+    go to the nearest centre and centres move once more. A record that has min_cosine to every member has more than
+    min_cosine to their centre, so all records above that are tried with their nearest centre, and all members of a
+    cluster are compared: of two that are farther apart than min_cosine the less central one leaves. Kinds are clustered
+    apart. Repeated vectors are
     records of their own; records in no cluster are left out; an empty table gives an empty result.
     """
     limit = float(np.sqrt(min_cosine))
@@ -342,7 +336,7 @@ def similarity_clusters(vectors: DataFrame, min_cosine: float = MIN_COSINE, min_
     sums = _totals(moved.mapInArrow(lambda bs: _partial(bs, lambda nodes, x: np.zeros(len(nodes), int)), "node bigint, side int, n bigint, s array<double>"))
     kinds = leaf.select("kind", F.col("cid").alias("node"))
     centres = stage(sums.join(bounded(kinds), "node").filter(f"n >= {min_size}").select("kind", F.col("node").alias("cid"), "n", "s"), "centres")
-    members = stage(assign(vectors, centres, limit), "members")
+    members = stage(assign(vectors, centres, min_cosine), "members")
     members = members.join(bounded(_strangers(members, min_cosine)), ["cid", "id"], "left_anti").select("kind", "cid", "id", "sim")
     members = stage(members, "clustered")
     whole = members.groupBy("kind", "cid").count().filter(f"count >= {min_size}").select("kind", "cid")

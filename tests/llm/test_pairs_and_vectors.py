@@ -132,6 +132,37 @@ def test_clusters_split_across_the_cluster(spark):
     assert clusters(spark, x, local_rows=150) == brute_clusters(x)
 
 
+def test_members_far_from_the_centre(spark):
+    """A record between the lowest cosine a member can have and that of leaves is a member; one apart from a single member is not."""
+    rnd = np.random.default_rng(8)
+    c, d = unit(rnd.normal(size=64)), unit(rnd.normal(size=64))
+    d = unit(d - (d @ c) * c)
+    at = lambda cos, way: cos * c + np.sqrt(1 - cos**2) * way
+    core = [at(0.9999, unit(rnd.normal(size=64))) for _ in range(40)]
+    for last, member in ((at(0.80, d), True), (at(0.80, -d), False)):
+        x = np.repeat(unit(np.array([*core, at(0.97, d), last], np.float32)), 2, axis=0)  # the same rows as pages and as paragraphs
+        s = x[::2] @ x[::2].T
+        assert (s[41] >= 0.75).all() == member and (s[41, :40] >= 0.75).all()
+        assert {i for k, _, i in clusters(spark, x) if k == "page"} == {2 * i for i in range(42 if member else 41)}
+
+
+def test_strangers_in_blocks(spark):
+    """Blocks of few rows give what one block gives, and what all pairs give."""
+    x = data(300, centres=1, seed=5)[15:]
+    c = unit(x.mean(axis=0))
+    rows = [(1 + (i % 40 == 0), i, float(v @ c), [float(f) for f in v]) for i, v in enumerate(unit(x + 0.05 * np.random.default_rng(1).normal(size=x.shape)))]
+    df = spark.createDataFrame(rows, "cid bigint, id bigint, sim double, v array<float>")
+    want = {(a[0], a[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and np.dot(a[3], b[3]) < 0.75 and (a[2] < b[2] or (a[2] == b[2] and a[1] > b[1]))}
+    for block in (50, 8192):
+        assert {tuple(r) for r in cl._strangers(df, 0.75, block).collect()} == want and len(want) > 10
+
+
+def test_one_sided_nodes(spark):
+    """More equal rows than one task splits: the core is closed and the rest goes on."""
+    x = np.concatenate([np.repeat(data(30, seed=9)[5:6], 400, axis=0), data(200, seed=2)])
+    assert clusters(spark, x, local_rows=60) == brute_clusters(x)
+
+
 def test_clusters_of_little(spark):
     x = data(40)
     assert clusters(spark, x[:0]) == set() and clusters(spark, x[:2]) == set()  # noise rows
