@@ -62,7 +62,10 @@ def bisect_exponent(sizes: list[float], reached, low=0.0, high=1.0, steps=60) ->
 
 def exponent_for_entropy(sizes: list[float], target: float) -> float:
     """The exponent, 32 at most, whose weights have the target entropy; 0 where the target is beyond that of equal weights."""
-    return bisect_exponent(sizes, lambda w: entropy(w) <= target, high=1.0 if entropy(temperature_weights(sizes, 1.0)) <= target else 32.0)
+    own = entropy(temperature_weights(sizes, 1.0))
+    if abs(own - target) <= 1e-12:
+        return 1.0
+    return bisect_exponent(sizes, lambda w: entropy(w) <= target, high=1.0 if own < target else 32.0)
 
 
 def exponent_for_repeats(sizes: list[float], repeats: list[float], budget: float) -> float:

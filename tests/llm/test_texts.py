@@ -161,7 +161,7 @@ def test_exponent_reaches_the_mix(spark):
     for target in (None, 1.05):
         plan = mixing.mix_plan(counted, t, target).cache()
         got[target] = {r.source: (r.exponent, r.tokens_used) for r in mixing.mix_shares(mixing.mix(counted, plan), plan).collect()}
-    assert {k: v for k, (_, v) in got[None].items()} == {"a": 1800, "b": 900, "c": 300}
+    assert all(want <= got[None][k][1] <= want + 10 for k, want in {"a": 1800, "b": 900, "c": 300}.items())  # up to the last document
     assert got[1.05]["a"][0] < 1 and got[1.05]["a"][1] < 1800 and got[1.05]["c"][1] > 300
 
 
