@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: Rows up to which a side may be broadcast after it has been counted.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a side may be broadcast after it has been counted.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,9 +36,26 @@ def is_empty(df: DataFrame) -> bool:
     return not df.select(F.lit(1)).take(1)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count shows at most `rows` rows, else df as it is (shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(c: Column, kind: DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (ArrayType, StringType, StructType, MapType, BinaryType)):
+            return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda n, x: n + _bytes(x, kind.elementType)), F.lit(0)) + 8
+        return F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) * 8 + 8
+    if isinstance(kind, StructType):
+        return sum((_bytes(c[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("long"))
+    if isinstance(kind, MapType):
+        return _bytes(F.map_keys(c), ArrayType(kind.keyType)) + _bytes(F.map_values(c), ArrayType(kind.valueType))
+    return F.lit(8).cast("long")
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if a count shows at most `rows` rows and `size` bytes, else df as it is (shuffle join)."""
+    width = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("long"))
+    n, total = df.limit(rows + 1).select(width.alias("w")).agg(F.count("*"), F.sum("w")).first()
+    return F.broadcast(df) if n <= rows and (total or 0) <= size else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

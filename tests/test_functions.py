@@ -3,6 +3,7 @@ from html.parser import HTMLParser
 import pytest
 from pyspark.sql import functions as F
 
+from loomsite.plans import stage
 from loomsite.functions import text as tx
 from loomsite.functions import urls as u
 from loomsite.functions.html_lines import BLOCK_TAGS, text_lines, visible_lines
@@ -81,3 +82,11 @@ def test_text(spark):
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(l2_normalize(F.col("v")).alias("u"), cosine(F.col("v"), F.col("v")).alias("c")).collect()
     assert df[0].u == [0.6, 0.8] and df[0].c == 1.0 and df[1].u == [0.0, 0.0] and df[1].c == 0.0
+
+
+def test_bounded_by_rows_and_bytes(spark):
+    rows = [(i, "x" * 100, [1.0] * 10, [("a", None)], {"k": [1]}) for i in range(20)] + [(None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, s string, v array<float>, p array<struct<a:string,b:array<int>>>, m map<string,array<int>>")
+    hinted = lambda x: "broadcast" in x._jdf.queryExecution().logical().toString().lower()
+    assert hinted(stage.bounded(df)) and not hinted(stage.bounded(df, rows=20)) and not hinted(stage.bounded(df, size=2000))
+    assert hinted(stage.bounded(df.limit(0)))
