@@ -21,9 +21,13 @@ def _shingles(hashes: Column, k: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(hashes) - (k - 1)), lambda i: F.xxhash64(F.slice(hashes, i, k)))
 
 
-def _tokens(df: DataFrame, id: str, text: str, name: str, run: int) -> DataFrame:
-    rows = df.filter(F.col(id).isNotNull()).select(F.col(id).alias(name), F.transform(words(F.col(text)), lambda w: F.xxhash64(w)).alias("w"))
-    return rows.filter(F.size("w") >= run)
+def _rows(df: DataFrame, id: str, text: str, name: str) -> DataFrame:
+    return df.filter(F.col(id).isNotNull()).select(F.col(id).alias(name), F.col(text).alias("text"))
+
+
+def _tokens(rows: DataFrame, name: str, run: int) -> DataFrame:
+    """(name, w): hashes of the words of texts of at least `run` words."""
+    return rows.select(name, F.transform(words(F.col("text")), lambda w: F.xxhash64(w)).alias("w")).filter(F.size("w") >= run)
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc_id="doc_id", item_id="item_id", text="text", shingle=SHINGLE, run=RUN) -> DataFrame:
@@ -32,13 +36,14 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id="doc_id", item_id="item
     An item is seen as its windows of `run` words. A window occurs in a document only if all its shingles do, so one
     prefix token is enough: the shingle that the fewest corpus positions have. Documents are joined with these tokens,
     the position of a match fixes where the window would begin, windows that don't fit into the document are dropped,
-    and the rest are compared word by word. Word sequences are compared as 64-bit word hashes.
+    and the rest are compared word by word, on the texts of the documents and items concerned.
     Null ids and texts, and texts of fewer than `run` words, are in no pair; repeated texts each have their pairs;
     empty tables give an empty result.
     """
-    item = stage(_tokens(items, item_id, text, "item", run), "items")
+    all_docs, all_items = _rows(documents, doc_id, text, "doc"), _rows(items, item_id, text, "item")
+    item = stage(_tokens(all_items, "item", run), "items")
     parts = item.select("item", F.size("w").alias("n"), F.posexplode(_shingles(F.col("w"), shingle)).alias("ipos", "sh"))
-    docs = _tokens(documents, doc_id, text, "doc", run)
+    docs = _tokens(all_docs, "doc", run)
     known = bounded(parts.select("sh").distinct())
     hits = docs.select("doc", F.size("w").alias("dn"), F.posexplode(_shingles(F.col("w"), shingle)).alias("dpos", "sh")).join(known, "sh", "left_semi")
     hits = stage(hits, "hits")
@@ -51,9 +56,11 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id="doc_id", item_id="item
     found = hits.join(bounded(prefix), "sh").withColumn("dbegin", F.col("dpos") - F.col("shift")).filter(f"dbegin >= 0 and dbegin + {run} <= dn")
     found = found.select("doc", "item", "begin", "dbegin")
     found = stage(found, "windows")
-    concerned = docs.join(bounded(found.select("doc").distinct()), "doc", "left_semi")
+    # only texts in question are read as words again
+    dw = stage(all_docs.join(bounded(found.select("doc").distinct()), "doc", "left_semi").select("doc", words(F.col("text")).alias("dw")), "texts")
+    iw = stage(all_items.join(bounded(found.select("item").distinct()), "item", "left_semi").select("item", words(F.col("text")).alias("iw")), "texts")
     same = F.slice("dw", F.col("dbegin") + 1, run) == F.slice("iw", F.col("begin") + 1, run)
-    checked = found.join(concerned.select("doc", F.col("w").alias("dw")), "doc").join(bounded(item.select("item", F.col("w").alias("iw"))), "item").filter(same)
+    checked = found.join(bounded(dw), "doc").join(bounded(iw), "item").filter(same)
     return checked.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).distinct()
 
 
