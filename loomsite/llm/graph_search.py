@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsite.llm.vectors import DIM, matrix, unit
-from loomsite.plans.stage import stage
+from loomsite.plans.stage import bounded, stage
 
-#: Neighbours of each vector, graph out-degree, beam width, and the factor by which pruning relaxes distances.
-K, DEGREE, BEAM, ALPHA = 5, 32, 64, 1.2
+#: Neighbours of each vector, graph out-degree, and the factor by which pruning relaxes distances.
+K, DEGREE, ALPHA = 5, 28, 1.2
+#: Beam width of queries, and of the searches for a new row's candidates when a graph is built.
+BEAM, BUILD_BEAM = 32, 28
 #: Rows a shard should hold, and shards that are made in any case if each gets SMALL_SHARD rows.
 SHARD_ROWS, SHARDS, SMALL_SHARD = 32_768, 8, 2_048
 #: Rows on which the shards' centres are fitted, and the largest number of centres.
@@ -19,7 +21,7 @@ FIT_ROWS, MAX_CENTRES = 20_000, 32_768
 #: A query goes to the shards whose centre is at most this much less similar than the nearest one's, at most PROBES.
 MARGIN, PROBES = 0.1, 4
 #: Queries of one search task.
-QUERY_ROWS = 8_192
+QUERY_ROWS = 65_536
 
 
 def _beam_search(graph, x, q, entries, width, own=None, expand=4):
@@ -105,7 +107,7 @@ def _entries(x, count=64):
     return np.array(out)
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
     """(graph, entries) over unit rows: each row's out-neighbours, padded with len(x).
 
     The first block is pruned from all its pairs; further rows come in batches that find candidates by greedy search in
@@ -122,7 +124,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: fl
     while at < n:
         p = order[at : at + min(block, max(block // 4, at))]
         at += len(p)
-        cand, _ = _beam_search(graph, x, x[p], entries, beam // 2)
+        cand, _ = _beam_search(graph, x, x[p], entries, beam)
         graph[p] = _prune(x, p, cand, alpha, degree)
         src, dst = np.repeat(p, degree), graph[p].ravel()
         src, dst = src[dst < n], dst[dst < n]
@@ -179,18 +181,20 @@ def nearest_vectors(vectors: DataFrame, k: int = K, beam: int = BEAM, probes: in
     built in one task and written with its rows; queries search their own shard and those with a centre nearly as near.
     Fewer than k others give fewer rows; an empty table gives an empty result.
     """
-    w = Window.partitionBy("v").orderBy("id")
-    ranked = vectors.select("id", "v").withColumns({"first": F.min("id").over(Window.partitionBy("v")), "r": F.row_number().over(w)})
-    ranked = stage(ranked, "ranked")
-    nodes = stage(ranked.filter("r = 1").select("id", "v"), "nodes")
+    vectors = stage(vectors.select("id", "v"), "vectors")
+    equal = stage(vectors.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("v", "first"), "equal")
+    ranked = stage(vectors.join(bounded(equal), "v", "left").select("id", F.coalesce("first", "id").alias("first"), F.when(F.coalesce("first", "id") == F.col("id"), F.col("v")).alias("v")), "ranked")
+    nodes = ranked.filter("v is not null").select("id", "v")
     found = stage(_search_nodes(nodes, k, beam, probes, shard_rows), "found")
-    copies = ranked.filter(f"r <= {k + 1}").groupBy("first").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    # of each vector the smallest ids; row_number with a limit keeps few rows a task before the shuffle
+    ranks = ranked.select("id", "first").withColumn("r", F.row_number().over(Window.partitionBy("first").orderBy("id"))).filter(f"r <= {k + 1}")
+    copies = stage(ranks.groupBy("first").agg(F.sort_array(F.collect_list("id")).alias("ids")), "copies")
     best = found.groupBy("id", "other").agg(F.max("sim").alias("sim"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))).filter(f"r <= {k}")
     best = best.join(copies.withColumnRenamed("first", "other"), "other").groupBy("id").agg(F.collect_list(F.struct((-F.col("sim")).alias("far"), "other", F.slice("ids", 1, k).alias("ids"))).alias("others"))
     lists = copies.join(best, copies["first"] == best["id"], "left").select("first", "ids", F.sort_array("others").alias("others"))
     flat = F.flatten(F.transform(F.coalesce("others", F.array()), lambda o: F.transform(o.ids, lambda i: F.struct(i.alias("n"), (-o.far).alias("sim")))))
-    lists = lists.select("first", F.col("ids"), flat.alias("far"))
+    lists = stage(lists.select("first", F.col("ids"), flat.alias("far")), "lists")
     own = F.transform(F.filter("ids", lambda i: i != F.col("id")), lambda i: F.struct(i.alias("n"), F.lit(1.0).alias("sim")))
     joined = ranked.select("id", "first").join(lists, "first").select("id", F.posexplode(F.slice(F.concat(own, "far"), 1, k)).alias("pos", "x"))
     return joined.select("id", F.col("x.n").alias("neighbour"), (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.sim").alias("similarity"))
@@ -224,7 +228,7 @@ def _search_nodes(nodes: DataFrame, k: int, beam: int, probes: int, shard_rows:
 
     def build(table: pa.Table) -> pa.Table:
         x = unit(matrix(table.column("v"))).astype(np.float32)
-        graph, entries = build_graph(x, beam=beam)
+        graph, entries = build_graph(x)
         mark = np.zeros(len(x), bool)
         mark[entries] = True
         links = pa.ListArray.from_arrays(pa.array(np.arange(0, graph.size + 1, graph.shape[1], dtype=np.int32)), pa.array(graph.ravel().astype(np.int32)))

@@ -42,6 +42,14 @@ def test_components(spark):
     assert components(spark, pairs) == groups_of(pairs)
 
 
+def test_components_with_hubs(spark):
+    """Vertices beyond the hub degree, joined by broadcast, give the same groups."""
+    rnd = random.Random(4)
+    pairs = [(rnd.choice([7, 900]), i) for i in range(100, 300)] + [(i, i + 1) for i in range(400, 430)] + [(900, 415), (5, 6)]
+    df = spark.createDataFrame(pairs, "a bigint, b bigint")
+    assert {tuple(r) for r in co.connected_components(df, "a", "b", hub=20).collect()} == groups_of(pairs)
+
+
 def test_no_pairs(spark):
     assert components(spark, []) == set() == components(spark, [(1, 1), (None, 4)])
 
