@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsite.functions.vec import clip
+from loomsite.operators.ranges import places
 from loomsite.operators.search_demand import expected_ctr
 
 #: Confidence, risk and effort of recommendation kinds (fixed values); others 62, 25 and 55.
@@ -52,9 +53,9 @@ def estimated_gain(category: Column, volume: Column, impressions: Column, positi
 
 
 def rank_norm(df: DataFrame, value: str, out: str, key: str) -> DataFrame:
-    """df with 100 x place / n among positive values, ties by key; 0 for the others."""
-    w = Window.orderBy(value, key)
-    ranked = df.filter(F.col(value) > 0).select(key, F.row_number().over(w).alias("_r"), F.count("*").over(Window.partitionBy()).alias("_n"))
+    """df with 100 x place / n among positive values, ties by key; 0 for the others. Places come from counts by range."""
+    positive = df.filter(F.col(value) > 0).select(key, F.col(value).cast("double").alias("_x"))
+    ranked = places(positive, ["_x", key], None, "_r", "_n").select(key, "_r", "_n")
     return df.join(ranked, key, "left").withColumn(out, F.coalesce(100.0 * F.col("_r") / F.col("_n"), F.lit(0.0))).drop("_r", "_n")
 
 

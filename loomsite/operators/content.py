@@ -124,6 +124,13 @@ def page_types(pages: DataFrame) -> DataFrame:
     return best.select("page_id", F.when(known, F.col("b.name")).otherwise("other").alias("page_type"), F.when(known, F.least(F.lit(0.95), 0.45 + 0.15 * F.col("b.n"))).otherwise(0.35).alias("confidence"), F.col("b.n").alias("signals"))
 
 
+#: What counts as a statistic, an example, an empty phrase and boilerplate (fixed values).
+STATISTIC = r"\b\d+(?:[,.]\d+)*\s*(?:%|percent|million|billion|thousand|users?|customers?|clients?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|\$|€|£|x|times)\b"
+EXAMPLE = r"\b(?:for example|case study|customer story|benchmark|we tested|our data|in practice|implementation|workflow|step-by-step)\b"
+EMPTY_PHRASE = r"\b(?:learn more|read more|contact us|in today's digital world|it is important to|this article will|whether you are|businesses need)\b"
+BOILERPLATE = r"\b(?:cookie|privacy policy|terms|all rights reserved|subscribe|newsletter|copyright)\b"
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?i){pattern}"))
 
@@ -138,9 +145,7 @@ def information_gain(texts: DataFrame) -> DataFrame:
     t = t.join(same, "_f")
     w = tokens(F.col("text"))
     unique = F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(0.0)
-    stats = _count(F.col("text"), r"\b\d+(?:[,.]\d+)*\s*(?:%|percent|million|billion|thousand|users?|customers?|clients?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|euros?|times)")
-    examples = _count(F.col("text"), r"\b(?:for example|case study|customer story|benchmark|we tested|our data|in practice|implementation|workflow|step-by-step)\b")
-    generic, boiler = _count(F.col("text"), r"\b(?:learn more|read more|contact us|it is important to|this article will)\b"), _count(F.col("text"), r"\b(?:cookie|privacy policy|terms|all rights reserved|subscribe|newsletter|copyright)\b")
+    stats, examples, generic, boiler = (_count(F.col("text"), p) for p in (STATISTIC, EXAMPLE, EMPTY_PHRASE, BOILERPLATE))
     cap = lambda n, x: F.least(F.lit(float(n)), x)
     ext, rare = F.coalesce("external_links", F.lit(0)), F.coalesce("rare_entities", F.lit(0))
     gain = 45 + cap(18, 5.0 * stats) + cap(16, 6.0 * examples) + cap(12, 3.0 * ext) + cap(10, 2.0 * F.coalesce("media", F.lit(0))) + cap(8, 2.0 * F.coalesce("schemas", F.lit(0))) + cap(16, 1.8 * rare) + cap(8, 20 * F.greatest(F.lit(0.0), unique - 0.45))

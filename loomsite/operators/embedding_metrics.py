@@ -6,6 +6,8 @@ inputs give empty results. Distances are kept to six digits before exact percent
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -201,6 +203,53 @@ def near_duplicates(vectors: DataFrame, least: float = NEAR, dim: int = DIM) ->
     return _linked(vectors, least, dim, found, "page_a bigint, page_b bigint, similarity double")
 
 
+def near_duplicate_counts(vectors: DataFrame, bands: list[float], dim: int = DIM) -> DataFrame:
+    """(page_id, band, links): how many other pages each page is near to, by the highest of the ascending `bands` that the
+    cosine (to 12 digits) reaches; pages without any are left out. Blocks are counted where they are compared, no pair leaves them."""
+
+    def found(i, j, s):
+        at = np.searchsorted(np.array(bands), np.round(s, 12), side="right") - 1
+        keep = at >= 0
+        ends, at = np.concatenate([i[keep], j[keep]]), np.concatenate([at[keep], at[keep]])
+        both, n = np.unique(np.stack([ends, at], 1), axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1].astype(np.int32)), pa.array(n)], names=["page_id", "band", "links"])
+
+    parts = _linked(vectors, bands[0] - 1e-9, dim, found, "page_id bigint, band int, links bigint")
+    return parts.groupBy("page_id", "band").agg(F.sum("links").alias("links"))
+
+
+def copy_classes(vectors: DataFrame) -> DataFrame:
+    """(page_id, class_id): the smallest page with exactly the same vector. Only vectors that occur twice meet a join."""
+    v = vectors.filter("page_id is not null and v is not null").select("page_id", "v")
+    equal = v.groupBy("v").agg(F.min("page_id").alias("class_id"), F.count("*").alias("n")).filter("n > 1").select("v", "class_id")
+    return v.join(equal, "v", "left").select("page_id", F.coalesce("class_id", "page_id").alias("class_id"))
+
+
+def rows_above(vectors: DataFrame, asked: DataFrame, least: float, dim: int = DIM) -> DataFrame:
+    """(query_id, page_id, similarity): all rows from `least` on of every stated query row, itself included, however many there are."""
+    u = unit_vectors(vectors).select("page_id", "v")
+    blocks = [[]]
+    for row in unit_vectors(asked).select("page_id", "v").toLocalIterator():
+        if len(blocks[-1]) == QUERY_BLOCK:
+            blocks.append([])
+        blocks[-1].append(row)
+
+    def answer(block):
+        ids, x = np.array([r.page_id for r in block]), np.array([r.v for r in block]).reshape(-1, dim)
+
+        def run(batches):
+            for b in batches:
+                v, own = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), b.column("page_id").to_numpy()
+                for at in range(0, len(v), LINK_ROWS):
+                    s = x @ v[at : at + LINK_ROWS].T
+                    i, j = np.nonzero(np.round(s, 12) >= least)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[at + j]), pa.array(np.clip(s[i, j], -1, 1))], names=["query_id", "page_id", "similarity"])
+
+        return u.mapInArrow(run, "query_id bigint, page_id bigint, similarity double")
+
+    return reduce(DataFrame.unionByName, (answer(b) for b in blocks if b or len(blocks) == 1))
+
+
 def pages_with_twin(vectors: DataFrame, least: float = NEAR, dim: int = DIM) -> DataFrame:
     """(page_id): the pages of near_duplicates(), without making its pairs."""
 

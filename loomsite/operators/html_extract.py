@@ -17,14 +17,16 @@ SCHEMA = (
     "url string, title string, description string, canonical_url string, language string, robots string, noindex boolean, nofollow boolean, og_title string, og_description string, twitter_card string, "
     "h1 string, h1_count int, title_count int, description_count int, meta_refresh string, hreflang array<struct<hreflang:string,href:string>>, headings array<struct<level:int,position:int,text:string>>, paragraphs array<string>, "
     "sequence array<struct<kind:string,text:string>>, links array<struct<href:string,anchor:string,internal:boolean,nofollow:boolean,context:string,empty:boolean,image_only:boolean>>, "
-    "media array<struct<type:string,src:string,alt:string,alt_present:boolean,title:string,captions:boolean>>, schema_types array<string>, dates array<struct<date:string,source:string,kind:string>>, forms int, fields int, ctas array<string>, contact_links int, "
+    "media array<struct<type:string,src:string,alt:string,alt_present:boolean,title:string,captions:boolean>>, schema_types array<string>, dates array<struct<date:string,source:string,kind:string>>, forms int, fields int, ctas array<string>, primary_ctas int, contact_links int, "
     "list_count int, table_count int, stat_count int, external_link_count int, word_count int, body string"
 )
 PARAGRAPH_TAGS = ("p", "li", "blockquote", "h2", "h3", "h4")
 #: Regions whose paragraphs aren't content (fixed values).
 OUTSIDE = ("nav", "footer", "header", "aside", "form", "script", "style", "noscript", "template")
-_CTA = re.compile(r"\b(?:buy|order|sign up|subscribe|get started|start free|book|request a (?:demo|quote)|contact us|download|try|add to (?:cart|basket))\b", re.I)
-_STAT = re.compile(r"\b\d+(?:[.,]\d+)*\s?(?:%|percent|million|billion|thousand)|[$€£]\s?\d+", re.I)
+#: Words of calls to action, those of primary ones, and what counts as a statistic (fixed values).
+_CTA = re.compile(r"\b(?:buy|order|checkout|cart|pricing|price|quote|estimate|demo|book|schedule|contact|call|start|signup|sign\s*up|register|subscribe|download|apply|request|consultation|get\s+started|learn\s+more)\b", re.I)
+_PRIMARY_CTA = re.compile(r"\b(?:buy|order|checkout|quote|estimate|demo|book|schedule|contact|call|signup|sign\s*up|subscribe|apply|get\s+started)\b", re.I)
+_STAT = re.compile(r"\b\d+(?:[,.]\d+)*\s*(?:%|percent|million|billion|thousand|users?|customers?|clients?|\$|€|£|kg|kilograms?|grams?|hours?|minutes?|days?|weeks?|months?|years?)\b", re.I)
 _DATE = re.compile(r"\b\d{4}-\d{2}-\d{2}\b|\b\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) \d{4}\b")
 _SKIP = re.compile(r"^(?:javascript|mailto|tel|data):", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -179,12 +181,13 @@ def extract_page(url: str | None, html: str | None, max_chars: int = 4000, x_rob
     h1 = [h["text"] for h in p.headings if h["level"] == 1]
     words = body.split()
     clean = [x for x in p.links if not _SKIP.match(x["href"])]
+    ctas = [t for t in [*p.buttons, *(x["anchor"] for x in clean)] if _CTA.search(t)]
     return {
         "url": url, "title": next((t for t in p.titles if t), "") or " ".join(words[:12]), "description": p.meta.get("description", "").strip(), "canonical_url": urljoin(url, p.rel["canonical"]) if p.rel.get("canonical") else "",
         "language": p.lang, "robots": robots, "noindex": bool(re.search(r"\bnoindex\b|\bnone\b", said)), "nofollow": bool(re.search(r"\bnofollow\b|\bnone\b", said)), "og_title": p.meta.get("og:title", ""), "og_description": p.meta.get("og:description", ""), "twitter_card": p.meta.get("twitter:card", ""),
         "h1": h1[0] if h1 else "", "h1_count": p.n["h1"], "title_count": len(p.titles), "description_count": p.n["desc"], "meta_refresh": p.meta.get("refresh", ""), "hreflang": p.hreflang, "headings": p.headings, "paragraphs": paragraphs,
         "sequence": [{"kind": n, "text": t[:1200]} for n, t in content], "links": clean, "media": p.media, "schema_types": types, "dates": dates, "forms": p.n["form"], "fields": p.n["field"],
-        "ctas": [t for t in [*p.buttons, *(x["anchor"] for x in clean)] if _CTA.search(t)], "contact_links": sum(x["href"].lower().startswith(("mailto:", "tel:")) for x in p.links), "list_count": p.n["ul"] + p.n["ol"], "table_count": p.n["table"],
+        "ctas": ctas, "primary_ctas": sum(bool(_PRIMARY_CTA.search(t)) for t in ctas), "contact_links": sum(x["href"].lower().startswith(("mailto:", "tel:")) for x in p.links), "list_count": p.n["ul"] + p.n["ol"], "table_count": p.n["table"],
         "stat_count": len(_STAT.findall(body)), "external_link_count": sum(not x["internal"] for x in clean), "word_count": len(words), "body": body[:max_chars],
     }
 

@@ -15,11 +15,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsite.functions.vec import clip, dot
+from loomsite.operators.ranges import places
 from loomsite.plans.stage import is_empty, stage
 
 LOCAL_EDGES = 2_000_000
 #: Anchors that say nothing (fixed values).
-GENERIC_ANCHORS = ("click here", "here", "read more", "learn more", "more", "this", "link", "this page", "details", "see more", "continue", "view", "download")
+GENERIC_ANCHORS = (
+    "click here", "click", "here", "this", "this page", "more", "read more", "learn more", "see more", "find out more", "more info", "go",
+    "details", "link", "this link", "website", "site", "page", "view", "view more",
+)
 
 
 def build_graph(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -191,7 +195,9 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 450, local_ed
 
 
 def is_generic(anchor: Column) -> Column:
-    return F.lower(F.trim(anchor)).isin(*GENERIC_ANCHORS)
+    """Whether an anchor, reduced to ASCII letters, digits and single blanks, is a generic one or has two characters at most."""
+    plain = F.trim(F.regexp_replace(F.lower(anchor), "[^a-z0-9]+", " "))
+    return plain.isin(*GENERIC_ANCHORS) | (F.length(plain) <= 2)
 
 
 def anchor_quality(edges: DataFrame) -> DataFrame:
@@ -222,11 +228,10 @@ def edge_weights(edges: DataFrame, quality: DataFrame, relevance: DataFrame) ->
 def percentile_rank(df: DataFrame, value: str, out: str) -> DataFrame:
     """df with the share of positive values not above the row's; 0 for values that aren't positive.
 
-    Distinct values are counted first, so that only they are ordered.
+    Distinct values are counted first; their places come from counts by range (see ranges.places).
     """
     counts = df.filter(F.col(value) > 0).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    w = Window.orderBy("_v")
-    cum = counts.withColumn("_c", F.sum("_n").over(w)).withColumn("_t", F.sum("_n").over(Window.partitionBy()))
+    cum = places(counts, ["_v"], "_n", "_c", "_t")
     return df.join(cum, F.col(value) == F.col("_v"), "left").withColumn(out, F.coalesce(F.col("_c") / F.col("_t"), F.lit(0.0))).drop("_v", "_n", "_c", "_t")
 
 

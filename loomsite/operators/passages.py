@@ -5,6 +5,8 @@ Null texts count as empty; vectors are of unit length; empty inputs give empty r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,11 +98,15 @@ def cannibalization(keywords: DataFrame, pages: DataFrame) -> DataFrame:
     return g.join(said, "intent").select("intent", "urls", F.col("w.url").alias("winner"), "traffic", F.col("k.keyword").alias("keyword"))
 
 
+#: What names a language or country and what a product variant (fixed values).
+LANGUAGE_OR_COUNTRY = r"(^|/)(en|de|fr|es|it|pt|nl|pl|sk|cz|cs|uk|us|ca|au|in|br|mx)(/|$)|\b(united states|usa|uk|canada|australia|india|germany|france|spain|italy|brazil|mexico)\b"
+PRODUCT_VARIANT = r"/(integrations?|features?|templates?|solutions?|industries?|use-cases?)/|\b(for|integration|template|feature)\b"
+
+
 def classify_conflict(pairs: DataFrame) -> DataFrame:
     """pairs with class. pairs(url_a, url_b, title_a, title_b, similarity, linked)."""
-    both = F.concat_ws(" ", "url_a", "url_b", "title_a", "title_b")
-    geo = both.rlike(r"(?i)/(?:en|de|fr|es|it|pt|nl|pl|sk|cz|cs|uk|us|ca|au|in|br|mx)(?:/|$| )|\b(?:united states|usa|uk|canada|australia|india|germany|france|spain|italy|brazil|mexico)\b")
-    product = both.rlike(r"(?i)/(?:integrations?|features?|templates?|solutions?|industries?|use-cases?)/|\b(?:for|integration|template|feature|solution)\b")
+    said = [F.coalesce(c, F.lit("")) for c in ("url_a", "url_b", "title_a", "title_b")]
+    geo, product = (reduce(lambda x, y: x | y, (c.rlike(f"(?i){p}") for c in said)) for p in (LANGUAGE_OR_COUNTRY, PRODUCT_VARIANT))
     same = (F.col("similarity") >= 0.88) | (jaccard(F.array_distinct(tokens(F.col("title_a"))), F.array_distinct(tokens(F.col("title_b")))) >= 0.62)
     return pairs.withColumn("class", F.when(geo, "localized_variant").when(product, "product_variant").when(F.col("linked") & (F.col("similarity") < 0.9), "healthy_hub_spoke").when(same, "duplicate_competing_page").otherwise("consolidation_candidate"))
 

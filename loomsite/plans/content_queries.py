@@ -155,9 +155,14 @@ def k24(spark, d):
     return ps.repeated_fragments(rec)
 
 
+def _times(pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"len(regexp_extract_all(text, '(?i){quoted}'))"
+
+
 _GAIN = f"""i as (select doc_id, coalesce(text, '') as text, (doc_id % 4)::int as ext, (doc_id % 3)::int as med, (doc_id % 2)::int as sch, (doc_id % 6)::int as rare from documents),
-j as (select *, {_TOK.format('text')} as w, {_FP.format('text')} as f, len(regexp_extract_all(text, '(?i)\\b\\d+(?:[,.]\\d+)*\\s*(?:%|percent|million|billion|thousand|users?|customers?|clients?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|euros?|times)')) as st, len(regexp_extract_all(text, '(?i)\\b(?:for example|case study|customer story|benchmark|we tested|our data|in practice|implementation|workflow|step-by-step)\\b')) as exa,
-  len(regexp_extract_all(text, '(?i)\\b(?:learn more|read more|contact us|it is important to|this article will)\\b')) as gen, len(regexp_extract_all(text, '(?i)\\b(?:cookie|privacy policy|terms|all rights reserved|subscribe|newsletter|copyright)\\b')) as boil from i),
+j as (select *, {_TOK.format('text')} as w, {_FP.format('text')} as f, {_times(c.STATISTIC)} as st, {_times(c.EXAMPLE)} as exa,
+  {_times(c.EMPTY_PHRASE)} as gen, {_times(c.BOILERPLATE)} as boil from i),
 k as (select *, count(*) over (partition by f) as dup, case when len(w) > 0 then len(list_distinct(w)) / len(w)::double else 0 end as un from j)"""
 
 
@@ -250,7 +255,9 @@ def k02(spark, d):
 @query("k03_passage_coverage", f"with {_QC}, m as (select query_id, page_id % 50 as pg, s, row_number() over (partition by query_id order by s desc, page_id % 50) as n from sm) select query_id, {r('max(s)')} as best_similarity, count(distinct case when s >= 0.3 then pg end) as pages, case when {r('max(s)')} < 0.3 then 'gap' when count(distinct case when s >= 0.3 then pg end) >= 4 then 'scattered' when count(distinct case when n <= 3 then pg end) = 1 and count(*) filter (n <= 3) >= 3 then 'focused' else 'covered' end as status from m group by 1")
 def k03(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"), F.col("embedding").alias("v"))
-    best = em.knn_of_queries(v, v.filter("page_id % 100 = 0"), 2000).select("query_id", (F.col("page_id") % 50).alias("page_id"), "similarity")
+    asked = v.filter("page_id % 100 = 0")
+    near = em.knn_of_queries(v, asked, 3).drop("rank").unionByName(em.rows_above(v, asked, 0.3)).select("query_id", "page_id", F.round("similarity", 12).alias("similarity")).distinct()
+    best = near.select("query_id", (F.col("page_id") % 50).alias("page_id"), "similarity")
     return ps.passage_coverage(best, 0.3).withColumn("best_similarity", rounded(F.col("best_similarity")))
 
 

@@ -12,7 +12,11 @@ _E = """n as (select c_custkey as page_id from customer),
 l as (select o_custkey as src, o_orderkey % 1600 as dst, case when o_orderkey % 7 = 0 then ' ' when o_orderkey % 5 = 0 then 'Click here' else 'offer ' || o_orderpriority end as anchor, o_orderkey as pos from orders),
 k as (select * from l where src <> dst and src in (select page_id from n) and dst in (select page_id from n)),
 e as (select src, dst, coalesce(list(trim(anchor) order by pos) filter (trim(anchor) <> ''), []) as anchors, count(*) as anchor_count from k group by src, dst)"""
-_GEN = "('click here', 'here', 'read more', 'learn more', 'more', 'this', 'link', 'this page', 'details', 'see more', 'continue', 'view', 'download')"
+def _generic(a: str) -> str:
+    plain = f"trim(regexp_replace(lower({a}), '[^a-z0-9]+', ' ', 'g'))"
+    return f"({plain} in {g.GENERIC_ANCHORS} or length({plain}) <= 2)"
+
+
 _DEG = """deg as (select page_id, coalesce(i, 0) as in_degree, coalesce(o, 0) as out_degree from n left join (select dst as page_id, count(*) as i from e group by 1) using (page_id) left join (select src as page_id, count(*) as o from e group by 1) using (page_id))"""
 
 
@@ -73,7 +77,7 @@ def g08(spark, d):
     return g.betweenness(edges(spark, d), nodes(spark, d))
 
 
-_Q = f"""q as (select src, dst, case when len(anchors) = 0 then 0.45 else greatest(0.05, least(1.0, list_avg(list_transform(anchors, lambda a: case when lower(a) in {_GEN} then 0.35::double else least(1.0::double, 0.58::double + 0.075 * least(5, len(string_split(a, ' ')))) end)) + least(0.1, 0.035 * ln(1 + len(anchors))))) end as quality from e)"""
+_Q = f"""q as (select src, dst, case when len(anchors) = 0 then 0.45 else greatest(0.05, least(1.0, list_avg(list_transform(anchors, lambda a: case when {_generic('a')} then 0.35::double else least(1.0::double, 0.58::double + 0.075 * least(5, len(string_split(a, ' ')))) end)) + least(0.1, 0.035 * ln(1 + len(anchors))))) end as quality from e)"""
 
 
 @query("g09_anchor_quality", f"with {_E}, {_Q} select src, dst, {r('quality')} as quality from q")
@@ -106,7 +110,7 @@ def g12(spark, d):
     return g.cluster_authorities(table(spark, d, "customer").select(F.col("c_mktsegment").alias("cluster"), F.col("c_custkey").alias("page_id"), F.col("c_acctbal").alias("score")))
 
 
-@query("g13_anchor_analysis", f"with {_E}, o as (select dst, lower(a) as a, count(*) as n from (select dst, unnest(anchors) as a from e) group by 1, 2), t as (select dst, sum(n)::bigint as anchors, count(*) as distinct_anchors, sum(case when a in {_GEN} then n else 0 end) / sum(n)::double as generic_share, arg_min(a, struct_pack(n := -n, a := a)) as top_anchor from o group by 1) select dst, anchors, distinct_anchors, {r('generic_share')} as generic_share, top_anchor from t order by t.generic_share desc, anchors desc, dst limit 25")
+@query("g13_anchor_analysis", f"with {_E}, o as (select dst, lower(a) as a, count(*) as n from (select dst, unnest(anchors) as a from e) group by 1, 2), t as (select dst, sum(n)::bigint as anchors, count(*) as distinct_anchors, sum(case when {_generic('a')} then n else 0 end) / sum(n)::double as generic_share, arg_min(a, struct_pack(n := -n, a := a)) as top_anchor from o group by 1) select dst, anchors, distinct_anchors, {r('generic_share')} as generic_share, top_anchor from t order by t.generic_share desc, anchors desc, dst limit 25")
 def g13(spark, d):
     return g.anchor_analysis(edges(spark, d)).withColumn("generic_share", rounded(F.col("generic_share")))
 
@@ -162,6 +166,6 @@ def g23(spark, d):
     return g.demand_support(table(spark, d, "part").select(k.alias("page_id"), *cols)).select("page_id", rounded(F.col("demand")).alias("demand"), rounded(F.col("support")).alias("support"), "label")
 
 
-@query("g30_link_building", f"with {_E}, x as (select anchor_count, len(anchors) as said, len(list_filter(anchors, lambda a: lower(a) in {_GEN})) as gen, len(list_filter(anchors, lambda a: len(a) >= 12 and lower(a) not in {_GEN})) as de from e) select sum(anchor_count)::bigint as links, count(*) as edges, {r('(sum(anchor_count) - sum(said)) / sum(anchor_count)::double')} as blank_share, {r('sum(gen) / sum(anchor_count)::double')} as generic_share, {r('sum(de) / sum(anchor_count)::double')} as descriptive_share from x")
+@query("g30_link_building", f"with {_E}, x as (select anchor_count, len(anchors) as said, len(list_filter(anchors, lambda a: {_generic('a')})) as gen, len(list_filter(anchors, lambda a: len(a) >= 12 and not {_generic('a')})) as de from e) select sum(anchor_count)::bigint as links, count(*) as edges, {r('(sum(anchor_count) - sum(said)) / sum(anchor_count)::double')} as blank_share, {r('sum(gen) / sum(anchor_count)::double')} as generic_share, {r('sum(de) / sum(anchor_count)::double')} as descriptive_share from x")
 def g30(spark, d):
     return g.link_building(edges(spark, d), nodes(spark, d)).select("links", "edges", *(rounded(F.col(c)).alias(c) for c in ("blank_share", "generic_share", "descriptive_share")))

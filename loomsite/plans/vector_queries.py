@@ -103,7 +103,9 @@ _PU = """xa as (select page_id, arg_max(embedding, struct_pack(a := encoded_at,
 u as (select page_id, section, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as v from xa left join (select page_id, min(section) as section from pages group by page_id) using (page_id)
   where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64 and len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
 _PD = _PU + _U[_U.index(",\ne as"):]
-_DUP = f"k10 as (select * from k where rank <= 10 and similarity >= 0.88 and query_id <> page_id), p as (select least(query_id, page_id) as page_a, greatest(query_id, page_id) as page_b, max(similarity) as similarity from k10 group by 1, 2)"
+_BANDS = [0.88, 0.94, 0.97]
+#: Every pair of different pages with a cosine of 0.88 or more, from both ends.
+_DUP = "p as (select a.page_id, b.page_id as partner_id, round(greatest(-1, least(1, list_dot_product(a.v, b.v))), 12) as similarity from u a, u b where a.page_id <> b.page_id and round(list_dot_product(a.v, b.v), 12) >= 0.88)"
 
 
 def page_vectors(spark, d):
@@ -114,27 +116,26 @@ def page_vectors(spark, d):
     return x.filter((F.size("v") == em.DIM) & fine).join(sections, "page_id", "left")
 
 
-def _near(spark, d):
-    """All pairs of all pages; _DUP keeps the 10 nearest of every hundredth page, so this has more rows than its SQL."""
-    return em.near_duplicates(page_vectors(spark, d), 0.88)
-
-
-@query("v11_near_duplicates", f"with {_PU}, {_KNN}, {_DUP} select page_a, page_b, {r('similarity')} as similarity from p")
+@query("v11_near_duplicates", f"with {_PU}, {_DUP}, c as (select page_id, min(page_id) over (partition by v) as class_id from u), n as (select page_id, count(*) as links from p group by 1) select page_id, class_id, links from c join n using (page_id)")
 def v11(spark, d):
-    return _near(spark, d).select("page_a", "page_b", rounded(F.col("similarity")).alias("similarity"))
+    """Every page with a near duplicate: its class of exact copies and its number of links."""
+    v = page_vectors(spark, d)
+    links = em.near_duplicate_counts(v, _BANDS).groupBy("page_id").agg(F.sum("links").alias("links"))
+    return em.copy_classes(v).join(links, "page_id").select("page_id", "class_id", "links")
 
 
-_ROWS = "w as (select page_a as page_id, page_b as partner_id, similarity from p union all select page_b, page_a, similarity from p)"
 _ACTION = "case when similarity >= 0.97 then 'merge_or_redirect' when similarity >= 0.94 then 'consolidate' else 'differentiate' end"
 
 
-@query("v12_duplicate_rows", f"with {_PU}, {_KNN}, {_DUP}, {_ROWS} select page_id, partner_id, {r('similarity')} as similarity, {_ACTION} as action from w")
+@query("v12_duplicate_rows", f"with {_PU}, {_DUP} select page_id, {_ACTION} as action, count(*) as partners from p group by 1, 2")
 def v12(spark, d):
-    return em.duplicate_rows(_near(spark, d)).select("page_id", "partner_id", rounded(F.col("similarity")).alias("similarity"), "action")
+    """What is to be done about each page's near duplicates, and how many there are for it."""
+    actions = F.array(*map(F.lit, ("differentiate", "consolidate", "merge_or_redirect")))
+    return em.near_duplicate_counts(page_vectors(spark, d), _BANDS).select("page_id", actions[F.col("band")].alias("action"), F.col("links").alias("partners"))
 
 
-@query("v13_outliers", f"""with {_PD}, {_KNN}, {_DUP}, {_ROWS}, st as (select section, count(*) as size, quantile_cont({r('dist_to_section', 6)}, 0.95) as p95 from d group by section),
-x as (select d.*, size, p95, (page_id % 400)::int as word_count, page_id in (select page_id from w) as twin from d join st on st.section is not distinct from d.section),
+@query("v13_outliers", f"""with {_PD}, {_DUP}, st as (select section, count(*) as size, quantile_cont({r('dist_to_section', 6)}, 0.95) as p95 from d group by section),
+x as (select d.*, size, p95, (page_id % 400)::int as word_count, page_id in (select page_id from p) as twin from d join st on st.section is not distinct from d.section),
 y as (select page_id, concat_ws('; ', case when twin then 'near duplicate' end, case when size < 3 then 'small section' end, case when dist_to_section > p95 then 'far from section' end, case when dist_to_site > 0.65 then 'far from site' end, case when word_count < 200 and dist_to_section > 0.8 * p95 then 'thin and drifting' end) as reasons
 from x where dist_to_section > p95 or dist_to_site > 0.65 or twin) select * from y where reasons <> ''""")
 def v13(spark, d):
