@@ -60,6 +60,22 @@ def pairwise_mean(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     return s.select("n", F.when(F.col("n") > 1, (dot(F.col("s"), F.col("s")) - F.col("own")) / (F.col("n") * (F.col("n") - 1))).otherwise(0.0).alias("mean"))
 
 
+def pairwise_percentiles(vectors: DataFrame, shares: list[float], dim: int = DIM) -> DataFrame:
+    """(share, value): linear percentiles of the cosines of all ordered pairs of different rows, kept to four digits; nulls with fewer than two rows.
+
+    Pairs are counted by value where blocks are compared (exact, quadratic in the rows), so none leaves its task.
+    vectors: one row per page.
+    """
+
+    def found(i, j, s):
+        value, n = np.unique(np.floor(s * 1e4 + 0.5) / 1e4, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(value), pa.array(2 * n)], names=["value", "n"])
+
+    counts = _linked(vectors, -2.0, dim, found, "value double, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
+    p = counts.agg(F.percentile("value", F.array(*map(F.lit, shares)), F.col("n")).alias("p"))
+    return p.select(F.explode(F.arrays_zip(F.array(*map(F.lit, shares)).alias("share"), F.col("p").alias("value"))).alias("x")).select("x.share", "x.value")
+
+
 def coherence(vectors: DataFrame, dim: int = DIM) -> DataFrame:
     """(intra, inter, ratio): mean cosine within sections and between them, from the sections' vector sums alone.
 

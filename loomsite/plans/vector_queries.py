@@ -147,3 +147,26 @@ def v13(spark, d):
 @query("v22_centroid_overlap", f"with {_U} select a.section as section_a, b.section as section_b, {r('list_dot_product(a.c, b.c)')} as overlap from gc a, gc b")
 def v22(spark, d):
     return em.centroid_overlap(vectors(spark, d)).select("section_a", "section_b", rounded(F.col("overlap")).alias("overlap"))
+
+
+@query("v04_pairwise_percentiles", f"with {_U}, p as (select {r('greatest(-1, least(1, list_dot_product(a.v, b.v)))')} as s from u a join u b on a.page_id <> b.page_id) select share, {r('quantile_cont(s, share)')} as value from p, (select unnest([0.1::double, 0.5::double, 0.9::double]) as share) group by share".replace(r("quantile_cont(s, share)"), "case share when 0.1 then " + r("quantile_cont(s, 0.1)") + " when 0.5 then " + r("quantile_cont(s, 0.5)") + " else " + r("quantile_cont(s, 0.9)") + " end"))
+def v04b(spark, d):
+    return em.pairwise_percentiles(vectors(spark, d), [0.1, 0.5, 0.9]).select("share", rounded(F.col("value")).alias("value"))
+
+
+@query("v07_calibrated_focus", f"with {_U}, p as (select quantile_cont({r('greatest(-1, least(1, list_dot_product(a.v, b.v)))')}, 0.1) as p10 from u a join u b on a.page_id <> b.page_id), f as (select 1 - avg(dist_to_site) as focus from d) select {r('case when p10 >= 1 then 0 else greatest(0, least(1, (focus - p10) / (1 - p10))) end')} as focus from f, p")
+def v07(spark, d):
+    v = vectors(spark, d)
+    p10 = em.pairwise_percentiles(v, [0.1]).select(F.col("value").alias("p10"))
+    f = em.focus(em.distances(v), [], "dist_to_site").join(F.broadcast(p10))
+    return f.select(rounded(em.calibrated_focus(F.col("focus"), F.col("p10"))).alias("focus"))
+
+
+@query("v14_page_drift", f"with {_U}, p as (select page_id, section, dist_to_section, dist_to_site, row_number() over (order by round(dist_to_section, 9) desc, page_id) as place from d) select place::int as place, page_id, section, {r('dist_to_section')} as dist_to_section, {r('dist_to_site')} as dist_to_site from p where place <= 100")
+def v14(spark, d):
+    """The pages farthest from their section."""
+    from pyspark.sql import Window
+
+    far = [F.desc(F.round("dist_to_section", 9)), "page_id"]
+    top = em.distances(vectors(spark, d)).orderBy(*far).limit(100)
+    return top.select(F.row_number().over(Window.orderBy(*far)).alias("place"), "page_id", "section", rounded(F.col("dist_to_section")).alias("dist_to_section"), rounded(F.col("dist_to_site")).alias("dist_to_site"))
