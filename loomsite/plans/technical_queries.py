@@ -185,3 +185,78 @@ def r28b(spark, d):
 def r29(spark, d):
     rules = spark.createDataFrame([("metadata", "title"), ("metadata", "description"), ("content", "paragraph"), ("links", "link")], "category string, field string")
     return h.recommendation_outcomes(h.detailed_diff(table(spark, d, "history")), rules)
+
+
+def _signals() -> tuple[list[str], list[str]]:
+    """Signals that the query makes up from page ids: flags and numbers (all others come from the pages)."""
+    from loomsite.operators import technical_rules as tr
+
+    _, flags, numbers = tr.columns()
+    own = {"word_count", "title_length", "description_length", "http_status", "traffic", "html_weight_bytes"}
+    return flags, [n for n in numbers if n not in own]
+
+
+def _made(k: str, i: int, name: str) -> str:
+    """SQL of the i-th signal of page id k, the same in both engines."""
+    return f"({k} * {i * 2 + 3} + {i}) % {7 + i % 23} = 0" if name in _signals()[0] else f"cast(case when ({k} * {i * 2 + 3} + {i}) % {9 + i % 19} = 0 then 1 + ({k} + {i}) % 3 else 0 end as double)"
+
+
+_STATES = "case when page_id % 13 = 0 then 'noindex' when page_id % 29 = 0 then 'timed_out' when page_id % 31 = 0 then 'redirect_loop' when page_id % 37 = 0 then 'blocked' else 'indexable' end"
+_WIDE_TEXTS = {
+    "status": _STATES, "noindex_source": "case when page_id % 2 = 0 then 'meta+header' else 'meta' end", "nofollow_source": "case when page_id % 3 = 0 then 'meta+header' else 'meta' end", "canonical_url": "case when page_id % 5 = 0 then concat(url, '-x') else concat(url, '/') end",
+    "requested_url": "case when page_id % 7 = 0 then concat('http://r.example/', cast(page_id as string)) else url end", "redirect_target_url": "url", "og_url": "case when page_id % 4 = 0 then url else '' end", "h1": "case when page_id % 6 = 0 then '' else 'x' end",
+    "previous_status": "case when page_id % 8 = 0 then 'noindex' else 'indexable' end", "current_status": _STATES, "title_print": "lower(coalesce(title, ''))", "serp_title_print": "case when page_id % 9 = 0 then 'other' else '' end",
+    "weight_bucket": "case when page_id % 10 = 0 then 'very_heavy' when page_id % 10 = 1 then 'heavy' else 'light' end", "cls_rating": "case when page_id % 11 = 0 then 'poor' else 'good' end", "lcp_rating": "case when page_id % 12 = 0 then 'poor' end",
+}
+_WIDE_NUMBERS = {"title_length": "length(trim(coalesce(title, '')))", "description_length": "length(trim(coalesce(description, '')))", "http_status": "case when page_id % 17 = 0 then 404 when page_id % 19 = 0 then 500 when page_id % 23 = 0 then 301 when page_id % 41 = 0 then 403 else 200 end", "traffic": "page_id * 7 % 2500", "html_weight_bytes": "page_id * 100003 % 3000000"}
+
+
+def wide_rows(spark, d):
+    flags, numbers = _signals()
+    p = table(spark, d, "pages").groupBy("page_id", "url").agg(F.min("title").alias("title"), F.min("description").alias("description"), F.max("word_count").alias("word_count"))
+    made = [F.expr(_made("page_id", i, n)).alias(n) for i, n in enumerate(flags + numbers)]
+    return p.select("page_id", "url", "title", "word_count", *(F.expr(e).alias(n) for n, e in {**_WIDE_TEXTS, **_WIDE_NUMBERS}.items()), *made, F.when(F.col("page_id") % 14 == 0, F.array(F.lit("missing_title"), F.lit("odd_one"))).alias("metadata_issues"), F.when(F.col("page_id") % 15 == 0, F.array(F.lit("canonical_points_to_4xx"), F.lit("unknown"))).alias("canonical_issues"))
+
+
+def _wide_sql() -> str:
+    from loomsite.operators import technical_rules as tr
+
+    flags, numbers = _signals()
+    texts, _, _ = tr.columns()
+    made = [f"{_made('page_id', i, n)} as {n}" for i, n in enumerate(flags + numbers)]
+    given = [f"{e.replace('as string', 'as varchar')} as {n}" for n, e in {**_WIDE_TEXTS, **_WIDE_NUMBERS}.items()]
+    missing = [f"null::varchar as {t}" for t in texts if t not in _WIDE_TEXTS and t not in ("url", "title")]
+    norm = lambda c: f"nullif(regexp_replace(regexp_replace(lower(trim({c})), '#.*$', ''), '/+$', ''), '')"
+    urls = {"url": "url", "canonical": "canonical_url", "requested": "requested_url", "target": "redirect_target_url", "og": "og_url"}
+    derived = [f"{norm(c)} as n_{k}" for k, c in urls.items()] + [f"lower(regexp_extract(coalesce({c}, ''), '^([a-zA-Z]+)://', 1)) as s_{k}" for k, c in urls.items()]
+    derived += ["contains(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1), '//') as has_double_slash", "len(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda x: x <> '')) as parameter_count"]
+    parts = [f"select url, traffic, '{i}' as issue, '{k}' as category, '{s}' as severity, {f}::double as confidence from z where {c}" for i, k, s, f, c in tr.rules()]
+    parts += ["select url, traffic, status, 'indexability', 'high', 0.95 from z where status not in ('timed_out', 'redirect_loop', 'noindex', 'indexable', '')", "select url, traffic, 'missing_title', 'metadata', 'high', 0.9 from z where page_id % 14 = 0", "select url, traffic, 'odd_one', 'metadata', 'medium', 0.9 from z where page_id % 14 = 0", "select url, traffic, 'canonical_points_to_4xx', 'indexability', 'high', 0.96 from z where page_id % 15 = 0"]
+    return (
+        f"with p as (select page_id, url, min(title) as title, min(description) as description, max(word_count) as word_count from pages group by 1, 2), w as (select page_id, url, title, word_count, {', '.join(given + made + missing)} from p), "
+        f"z as (select *, {', '.join(derived)} from w), i as ({' union all '.join(parts)}) select url, issue, category, severity, confidence, {r(_IMPACT)} as impact from i"
+    )
+
+
+_IMPACT = "case severity when 'critical' then 100 when 'high' then 70 when 'medium' then 40 else 15 end * confidence * (1 + least(3.0::double, coalesce(traffic, 0) / 1000.0::double))"
+
+
+@query("a09_all_rules", _wide_sql())
+def a09_all(spark, d):
+    from loomsite.operators import technical_rules as tr
+
+    return tr.all_issues(wide_rows(spark, d)).withColumn("impact", rounded(F.col("impact")))
+
+
+@query("a09_issues_by_scope", f"with x as ({_wide_sql()}) select category, severity, count(*) as issues, count(distinct url) as pages from x group by 1, 2")
+def a09_scopes(spark, d):
+    from loomsite.operators import technical_rules as tr
+
+    return tr.all_issues(wide_rows(spark, d)).groupBy("category", "severity").agg(F.count("*").alias("issues"), F.count_distinct("url").alias("pages"))
+
+
+@query("a11_issue_catalog")
+def a11(spark, d):
+    from loomsite.operators import technical_rules as tr
+
+    return tr.issue_catalog(spark)
