@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomsite.plans import compare_queries, content_queries, graph_queries, insight_queries, model_queries, page_queries, paragraph_queries, search_queries, serp_queries, technical_queries, vector_queries  # noqa: F401
+from loomsite.plans import compare_queries, content_queries, graph_queries, insight_queries, model_queries, page_insight_queries, page_queries, paragraph_queries, search_queries, serp_queries, technical_queries, vector_queries  # noqa: F401
 from loomsite.plans.registry import QUERIES, SQL
 from loomsite.operators.snapshot_diff import snapshot_changes
 from loomsite.plans.stage import table

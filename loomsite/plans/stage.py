@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
 
@@ -32,6 +34,22 @@ def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_once(df: DataFrame, name: str, *inputs: str) -> DataFrame:
+    """The stage table of this plan over these inputs, written once: a finished table of the same fingerprint is read instead.
+
+    The fingerprint covers the plan without expression ids, the schema and `inputs` (paths and whatever else names their
+    state, such as a version or a time). A table without its success mark is written again.
+    """
+    spark = df.sparkSession
+    plan = re.sub(r"#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    mark = hashlib.sha256("\n".join([plan, df.schema.json(), *inputs]).encode()).hexdigest()[:32]
+    path = f"{shared_dir(spark)}/{name}-{mark}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.select(F.lit(1)).take(1)
 

@@ -255,7 +255,15 @@ def a09_scopes(spark, d):
     return tr.all_issues(wide_rows(spark, d)).groupBy("category", "severity").agg(F.count("*").alias("issues"), F.count_distinct("url").alias("pages"))
 
 
-@query("a11_issue_catalog")
+def _catalog_sql() -> str:
+    from loomsite.operators import technical_rules as tr
+
+    named = {"high": "Error", "medium": "Warning", "low": "Notice"}
+    rows = {(i, k, s) for i, k, s, _, _ in tr.rules()} | {(i, "metadata", s) for i, s in tr.METADATA.items()} | {(i, "indexability", s) for i, (s, _) in tr.CANONICAL.items()}
+    return "select * from (values " + ", ".join(f"('{i}', '{k}', '{s}', '{named[s]}')" for i, k, s in sorted(rows)) + ") t(issue, scope, severity, importance)"
+
+
+@query("a11_issue_catalog", _catalog_sql())
 def a11(spark, d):
     from loomsite.operators import technical_rules as tr
 
