@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomsite.plans.stage import is_empty, stage
+from loomsite.plans.stage import bounded, is_empty, stage
 
 #: Records of one side that one bucket should hold.
 BUCKET_ROWS = 256
@@ -126,7 +126,7 @@ def snapshot_changes(history: DataFrame, group="domain", version="snapshot_id",
     A group's first version yields nothing; an empty table gives an empty result. Columns beyond those named are ignored.
     """
     state = stage(current_state(history, group, version, key, delivered, list(values)), "state")
-    versions = _versions(state)
+    versions = bounded(stage(_versions(state), "versions"))
     signed = todo = _signed(state, versions)
     parts = []
     for attempt in range(attempts):
