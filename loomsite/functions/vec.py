@@ -21,7 +21,8 @@ def l2_normalize(v: Column) -> Column:
 
 
 def clip(c: Column, low: float = -1.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """c between low and high; null stays null (greatest and least alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def cosine(a: Column, b: Column) -> Column:

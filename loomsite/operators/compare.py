@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from loomsite.functions.vec import clip
 from loomsite.operators.ranges import places
 from loomsite.operators.search_demand import expected_ctr
+from loomsite.plans.stage import bounded
 
 #: Confidence, risk and effort of recommendation kinds (fixed values); others 62, 25 and 55.
 CONFIDENCE = {"duplicates": 78.0, "outliers": 66.0, "wrong_home": 64.0, "coverage_gap": 60.0, "cannibalization": 68.0, "linking": 70.0}
 RISK = {"duplicates": 38.0, "outliers": 30.0, "wrong_home": 34.0, "coverage_gap": 16.0, "cannibalization": 40.0, "linking": 12.0}
 EFFORT = {"quick": 20.0, "medium": 50.0, "deep": 80.0}
+#: Url patterns of one block.
+PATTERNS = 256
 FACTORS = {"winnable": 1.0, "hard": 0.6, "unlikely": 0.25, "unknown": 1.0}
 
 
@@ -95,7 +98,7 @@ def scorecards(metrics: DataFrame, lower_is_better: list[str]) -> DataFrame:
     low = F.col("metric").isin(*lower_is_better)
     g = metrics.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     w = Window.partitionBy("metric").orderBy(F.when(low, F.col("value")).otherwise(-F.col("value")), "domain")
-    at = metrics.join(F.broadcast(g), "metric").withColumn("wins", F.row_number().over(w) == 1)
+    at = metrics.join(bounded(g), "metric").withColumn("wins", F.row_number().over(w) == 1)
     s = (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     return at.withColumn("score", F.when(F.col("hi") > F.col("lo"), 100 * F.when(low, 1 - s).otherwise(s))).drop("lo", "hi")
 
@@ -193,7 +196,13 @@ def structural_diff(ours: DataFrame, theirs: DataFrame, columns: list[str]) -> D
 
 
 def match_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(keyword, url): keywords given by hand for url patterns. rows(url), patterns(keyword, pattern); patterns are a short list that goes to all rows."""
-    return rows.join(F.broadcast(patterns), F.rlike(rows["url"], patterns["pattern"])).select("keyword", "url")
+    """(keyword, url): keywords given by hand for url patterns. rows(url), patterns(keyword, pattern).
+
+    Patterns are written by hand: they go to the rows as one array, in blocks of PATTERNS so that no broadcast grows.
+    """
+    blocks = patterns.select("keyword", "pattern").withColumn("_b", F.pmod(F.xxhash64("keyword", "pattern"), F.ceil(F.lit(max(1, patterns.count())) / PATTERNS))).groupBy("_b").agg(F.collect_list(F.struct("keyword", "pattern")).alias("ps"))
+    n = -(-max(1, patterns.count()) // PATTERNS)
+    at = rows.select("url", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_b")).join(bounded(blocks), "_b")
+    return at.select("url", F.explode(F.filter("ps", lambda p: F.rlike(F.col("url"), p.pattern))).alias("p")).select("p.keyword", "url")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomsite.functions.text import ENGLISH_STOP, fingerprint, ngrams, tokens, without
 from loomsite.functions.vec import clip, dot, l2_normalize, mean_vector
-from loomsite.plans.stage import stage
+from loomsite.plans.stage import stage, bounded
 
 #: A capitalised phrase: words with a capital, joined by small words (fixed pattern).
 ENTITY = r"\b(?:[A-Z][\p{L}\p{Nd}_'’-]+|[A-Z]{2,})(?:[ \t]+(?:&|and|of|for|the|[A-Z][\p{L}\p{Nd}_'’-]+|[A-Z]{2,})){0,5}"
@@ -32,7 +32,7 @@ def class_keywords(documents: DataFrame, min_documents: int = 2, top: int = 10)
     kept = counts.join(uses, "term")
     total = kept.groupBy("class").agg(F.sum("n").alias("total"))
     mean = total.agg(F.avg("total").alias("mean"))
-    s = kept.join(F.broadcast(total), "class").join(F.broadcast(mean)).withColumn("score", F.col("n") / F.col("total") * F.log(F.col("mean") / F.col("uses"))).filter("score > 0")
+    s = kept.join(bounded(total), "class").join(F.broadcast(mean)).withColumn("score", F.col("n") / F.col("total") * F.log(F.col("mean") / F.col("uses"))).filter("score > 0")
     w = Window.partitionBy("class").orderBy(F.desc(F.round("score", 12)), "term")
     return s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("class", "term", "score", "rank")
 
@@ -86,7 +86,7 @@ def entity_coverage(found: DataFrame, pages: DataFrame, top: int = 30) -> DataFr
     w = Window.partitionBy("cluster").orderBy(F.desc(F.round("w", 9)), "k")
     best = g.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).select("cluster", "k")
     size = best.groupBy("cluster").agg(F.count("*").alias("expected"))
-    hit = at.select("doc_id", "cluster", "k").distinct().join(F.broadcast(best), ["cluster", "k"]).groupBy("doc_id").agg(F.count("*").alias("covered"))
+    hit = at.select("doc_id", "cluster", "k").distinct().join(bounded(best), ["cluster", "k"]).groupBy("doc_id").agg(F.count("*").alias("covered"))
     return pages.select("doc_id", "cluster").join(size, "cluster").join(hit, "doc_id", "left").select("doc_id", "cluster", "expected", F.coalesce("covered", F.lit(0)).alias("covered"), (F.coalesce("covered", F.lit(0)) / F.col("expected")).alias("coverage"))
 
 

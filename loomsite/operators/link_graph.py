@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from loomsite.functions.vec import clip, dot
 from loomsite.operators.ranges import places
-from loomsite.plans.stage import is_empty, stage
+from loomsite.plans.stage import is_empty, release, stage
 
 LOCAL_EDGES = 2_000_000
 #: Anchors that say nothing (fixed values).
@@ -121,7 +121,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame, weight: str | None = None, pers
         lost = x.join(sources.withColumnRenamed("src", "page_id"), "page_id", "left_anti").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("lost"))
         got = e.join(x.select(F.col("page_id").alias("src"), "x"), "src").groupBy(F.col("dst").alias("page_id")).agg(F.sum(F.col("x") * F.col("share")).alias("got"))
         x = n.join(got, "page_id", "left").join(F.broadcast(lost)).select("page_id", "p", ((1 - damping) * F.col("p") + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p"))).alias("x"))
-        x = stage(x, "rank")  # each round reads the last one twice
+        last, x = x, stage(x, "rank")  # each round reads the last one twice
+        release(last)
     return x.join(F.broadcast(x.agg(F.sum("x").alias("all")))).select("page_id", (F.col("x") / F.col("all")).alias("score"))
 
 
@@ -140,24 +141,28 @@ def hits(edges: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
     e = edges.select("src", "dst", F.lit(1.0).alias("w"))
     if e.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
         return _local(e, nodes, [], solve, ["authority", "hub"])
-    x = nodes.select("page_id", F.lit(1.0).alias("authority"), F.lit(1.0).alias("hub"))
+    x = x0 = nodes.select("page_id", F.lit(1.0).alias("authority"), F.lit(1.0).alias("hub"))
     for _ in range(rounds):
         for target, at, of, out in (("authority", "dst", "src", "hub"), ("hub", "src", "dst", "authority")):
             got = stage(e.join(x.select(F.col("page_id").alias(of), F.col(out).alias("v")), of).groupBy(F.col(at).alias("page_id")).agg(F.sum("v").alias("v")), "sums")
             size = got.agg(F.greatest(F.sqrt(F.sum(F.col("v") * F.col("v"))), F.lit(1e-300)).alias("size"))
             x = x.drop(target).join(got, "page_id", "left").join(F.broadcast(size)).withColumn(target, F.coalesce(F.col("v") / F.col("size"), F.lit(0.0))).drop("v", "size")
-            x = stage(x, "hits")
+            last, x = x0, stage(x, "hits")
+            release(last)
+            release(got)
+            x0 = x
     return x.select("page_id", "authority", "hub")
 
 
 def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 450, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(page_id, betweenness): Brandes' dependencies from the `sources` pages of the highest degree, divided by their number.
 
-    The adjacency goes to every task and is therefore bounded: larger graphs are refused.
+    The adjacency of a graph of up to local_edges edges goes to every task; in larger ones all searches run at once by
+    joins, level by level, each level a table.
     """
-    rows = edges.select("src", "dst").distinct().limit(local_edges + 1).toArrow()
-    if rows.num_rows > local_edges:
-        raise ValueError(f"betweenness needs a graph of at most {local_edges} edges")
+    if edges.limit(local_edges + 1).count() > local_edges:
+        return _staged_betweenness(edges, nodes, sources)
+    rows = edges.select("src", "dst").distinct().toArrow()
     src, dst = rows.column("src").to_numpy(), rows.column("dst").to_numpy()
     ids = np.unique(np.concatenate([src, dst]))
     s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
@@ -194,6 +199,37 @@ def betweenness(edges: DataFrame, nodes: DataFrame, sources: int = 450, local_ed
     return nodes.select("page_id").distinct().join(got, "page_id", "left").select("page_id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
 
 
+def _staged_betweenness(edges: DataFrame, nodes: DataFrame, sources: int) -> DataFrame:
+    e = stage(edges.select("src", "dst").distinct(), "edges")
+    degree = e.select(F.explode(F.array("src", "dst")).alias("page_id")).groupBy("page_id").agg(F.count("*").alias("n"))
+    roots = stage(degree.orderBy(F.desc("n"), "page_id").limit(sources).select(F.col("page_id").alias("root")), "roots")
+    levels = [stage(roots.select("root", F.col("root").alias("page_id"), F.lit(1.0).alias("paths")), "level")]
+    seen = levels[0].select("root", "page_id")
+    while True:
+        on = levels[-1].join(e, F.col("page_id") == F.col("src")).groupBy("root", F.col("dst").alias("page_id")).agg(F.sum("paths").alias("paths"))
+        level = stage(on.join(seen, ["root", "page_id"], "left_anti"), "level")
+        if is_empty(level):
+            break
+        levels.append(level)
+        seen = seen.unionByName(level.select("root", "page_id"))
+    below, parts = None, []
+    for level in reversed(levels):
+        if below is None:
+            level = level.withColumn("dep", F.lit(0.0))
+        else:
+            got = e.join(below.select("root", F.col("page_id").alias("dst"), F.col("paths").alias("p"), "dep"), "dst")
+            got = got.join(level.select("root", F.col("page_id").alias("src"), "paths"), ["root", "src"]).groupBy("root", F.col("src").alias("page_id")).agg(F.sum(F.col("paths") / F.col("p") * (1 + F.col("dep"))).alias("dep"))
+            level = stage(level.join(got, ["root", "page_id"], "left").fillna(0.0, ["dep"]), "level")
+        below = level
+        parts.append(level.filter("page_id <> root").select("page_id", "dep"))
+    total = parts[0]
+    for p in parts[1:]:
+        total = total.unionByName(p)
+    n = max(1, roots.count())
+    got = total.groupBy("page_id").agg((F.sum("dep") / n).alias("b"))
+    return nodes.select("page_id").distinct().join(got, "page_id", "left").select("page_id", F.coalesce("b", F.lit(0.0)).alias("betweenness"))
+
+
 def is_generic(anchor: Column) -> Column:
     """Whether an anchor, reduced to ASCII letters, digits and single blanks, is a generic one or has two characters at most."""
     plain = F.trim(F.regexp_replace(F.lower(anchor), "[^a-z0-9]+", " "))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsite.operators.embedding_metrics import DIM, unit_vectors
+from loomsite.plans.stage import stage
 
 
 def kmeans(vectors: DataFrame, clusters: int, rounds: int = 50, seed: int = 42) -> DataFrame:
@@ -16,7 +17,8 @@ def kmeans(vectors: DataFrame, clusters: int, rounds: int = 50, seed: int = 42)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    u = unit_vectors(vectors).select("page_id", array_to_vector("v").alias("features")).cache()
+    u = unit_vectors(vectors).select("page_id", "v")
+    u = stage(u, "vectors").select("page_id", array_to_vector("v").alias("features"))
     n = u.count()
     if n < 5:
         return u.select("page_id", F.lit(0).alias("cluster"))

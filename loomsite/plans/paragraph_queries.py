@@ -44,7 +44,7 @@ def k08(spark, d):
 
 
 _CH = f"""w as (select page_id, (para_index // 2)::int as chunk_no, len({_TOK.format('text')}) as words, v from pv), we as (select page_id, chunk_no, unnest(v) as x, generate_subscripts(v, 1) as i, greatest(1, words) as w from w), ws as (select page_id, chunk_no, i, sum(x * w) as x from we group by 1, 2, 3), wc as (select page_id, chunk_no, list(x order by i) as s from ws group by 1, 2),
-ck as (select page_id, chunk_no, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) as v from wc), al as (select u.page_id as query_id, u.page_id, chunk_no, greatest(-1, least(1, list_dot_product(u.v, ck.v))) as s from u left join ck using (page_id)), rk as (select *, row_number() over (partition by query_id order by round(s, 9) desc, chunk_no) as k from al),
+ck as (select page_id, chunk_no, list_transform(s, lambda x: x / sqrt(list_dot_product(s, s))) as v from wc), al as (select u.page_id as query_id, u.page_id, chunk_no, case when ck.v is not null then greatest(-1, least(1, list_dot_product(u.v, ck.v))) end as s from u left join ck using (page_id)), rk as (select *, row_number() over (partition by query_id order by round(s, 9) desc, chunk_no) as k from al),
 tw as (select query_id, page_id, max(chunk_no) filter (k = 1) as best_chunk, coalesce(max(s) filter (k = 1), 0) as best, max(s) filter (k = 2) as second from rk where k <= 2 group by 1, 2), st as (select *, case when best >= 0.65 then 'retrievable' when second is not null and best - second <= 0.05 + 1e-6 and best >= 0.55 and second >= 0.55 then 'split_answer' else 'missing' end as status from tw)"""
 
 

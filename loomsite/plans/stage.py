@@ -31,7 +31,16 @@ def stage(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.repartition(*by) if by else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the stage table that df is a scan of; for tables of rounds whose successor has been written. Others stay."""
+    if path := getattr(df, "_stage_path", None):
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stage_once(df: DataFrame, name: str, *inputs: str) -> DataFrame:
