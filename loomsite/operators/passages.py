@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomsite.functions.text import fingerprint, intent_key, jaccard, ngrams, tokens, word_count
+from loomsite.operators.ranges import places
 from loomsite.functions.vec import clip, dot, l2_normalize, mean_vector, sum_vector
 from loomsite.operators.embedding_metrics import knn_of_queries
 
@@ -130,7 +131,7 @@ def paragraph_impact(passages: DataFrame) -> DataFrame:
 
     passages(page_id, para_index, semantic, overlap, heading, internal, external, has_dates, traffic): components in
     [0, 1]; share of the page's relevance, traffic by that share, impact = relevance x ln(1 + attributed); the first
-    tenth by impact is high, up to three tenths medium.
+    tenth by impact (rounded up, equal ones by page and place) is high, up to three tenths medium.
     """
     page = Window.partitionBy("page_id")
     n, i = F.count("*").over(page), F.row_number().over(page.orderBy("para_index")) - 1
@@ -142,8 +143,9 @@ def paragraph_impact(passages: DataFrame) -> DataFrame:
     rel = 0.44 * F.col("semantic") + 0.2 * F.col("overlap") + 0.12 * F.col("heading") + 0.08 * (0.4 + 0.6 * position) + 0.08 * link + 0.04 * F.when(F.col("has_dates"), 1.0).otherwise(0.45) + 0.04 * demand
     at = at.withColumn("relevance", clip(rel, 0.0, 1.0)).withColumn("share", F.col("relevance") / F.sum("relevance").over(page))
     at = at.withColumn("attributed", F.col("share") * F.col("traffic")).withColumn("impact", F.col("relevance") * F.log1p("attributed")).drop("_top")
-    cuts = at.agg(F.percentile_approx("impact", F.array(F.lit(0.9), F.lit(0.7)), 1_000_000).alias("c"))
-    return at.join(F.broadcast(cuts)).withColumn("tier", F.when(F.col("impact") >= F.col("c")[0], "high").when(F.col("impact") >= F.col("c")[1], "medium").otherwise("low")).drop("c")
+    ranked = places(at.withColumn("_x", -F.round("impact", 9)), ["_x", "page_id", "para_index"], None, "_place", "_all").drop("_x")
+    tier = F.when(F.col("_place") <= F.ceil(0.1 * F.col("_all")), "high").when(F.col("_place") <= F.ceil(0.3 * F.col("_all")), "medium").otherwise("low")
+    return ranked.withColumn("tier", tier).drop("_place", "_all")
 
 
 def leave_one_out(passages: DataFrame, targets: DataFrame, dim: int = 64) -> DataFrame:

@@ -261,18 +261,22 @@ def k03(spark, d):
     return ps.passage_coverage(best, 0.3).withColumn("best_similarity", rounded(F.col("best_similarity")))
 
 
-@query("k09_paragraph_impact")
+@query("k09_paragraph_impact", f"""with {_PV}, i as (select page_id, para_index, para_id, (para_id % 100) / 100.0::double as se, (para_id % 50) / 50.0::double as ov, (para_id % 10) / 10.0::double as hd, para_id % 4 as il, para_id % 3 as el, para_id % 2 = 0 as dt, page_id % 700 as tr from pv), m as (select ln(1 + max(tr)) as top from i),
+j as (select *, count(*) over (partition by page_id) as n, row_number() over (partition by page_id order by para_index, para_id) - 1 as k from i), l as (select *, greatest(0, least(1, 0.44::double * se + 0.2::double * ov + 0.12::double * hd + 0.08::double * (0.4::double + 0.6::double * case when n <= 1 then 1 else 1 - k / (n - 1)::double end) + 0.08::double * least(1, (il + 0.5::double * el) / 3) + 0.04::double * case when dt then 1 else 0.45::double end + 0.04::double * case when top > 0 then ln(1 + tr) / top else 0 end)) as rel from j, m),
+o as (select *, rel / sum(rel) over (partition by page_id) as share from l), q as (select *, rel * ln(1 + share * tr) as impact from o), t as (select *, row_number() over (order by round(impact, 9) desc, page_id, para_index) as pl, count(*) over () as al from q)
+select page_id, para_index, {r('rel')} as relevance, {r('share')} as share, {r('share * tr')} as attributed, {r('impact')} as impact, case when pl <= ceil(0.1::double * al) then 'high' when pl <= ceil(0.3::double * al) then 'medium' else 'low' end as tier from t""")
 def k09(spark, d):
     m = lambda n: (F.col("para_id") % n)
     p = passages(spark, d).select("page_id", "para_index", (m(100) / 100.0).alias("semantic"), (m(50) / 50.0).alias("overlap"), (m(10) / 10.0).alias("heading"), m(4).alias("internal"), m(3).alias("external"), (m(2) == 0).alias("has_dates"), (F.col("page_id") % 700).alias("traffic"))
-    return ps.paragraph_impact(p).select("page_id", "para_index", "relevance", "share", "attributed", "impact", "tier")
+    return ps.paragraph_impact(p).select("page_id", "para_index", *(rounded(F.col(c)).alias(c) for c in ("relevance", "share", "attributed", "impact")), "tier")
 
 
-@query("k07_keyword_attribution")
+@query("k07_keyword_attribution", f"""with {_PU}, {_PV}, kw as (select page_id, min(title) as keyword from pages where title is not null group by 1), a as (select keyword, pv.page_id, para_index, 0.72::double * greatest(-1, least(1, list_dot_product(u.v, pv.v))) + 0.28::double * case when len(list_distinct({_TOK.format('keyword')})) > 0 then len(list_intersect(list_distinct({_TOK.format('keyword')}), {_TOK.format('text')})) / len(list_distinct({_TOK.format('keyword')}))::double else 0 end as score
+from kw join u using (page_id) join pv using (page_id)), b as (select *, row_number() over (partition by keyword, page_id order by round(score, 9) desc, para_index) as n from a) select keyword, page_id, para_index, {r('score')} as score, case when score >= 0.45 then 'answered' else 'weak' end as status from b where n = 1""")
 def k07(spark, d):
     p = passages(spark, d)
     k = table(spark, d, "pages").filter("title is not null").groupBy("page_id").agg(F.min("title").alias("keyword")).join(em.unit_vectors(page_vectors(spark, d)).select("page_id", "v"), "page_id")
-    return ps.keyword_attribution(k, p)
+    return ps.keyword_attribution(k, p).withColumn("score", rounded(F.col("score")))
 
 
 @query("k17_title_mismatch", f"""with {_PU}, {_PV}, e2 as (select page_id, unnest(v) as x, generate_subscripts(v, 1) as i from pv), c2 as (select page_id, i, avg(x) as m from e2 group by 1, 2), n2 as (select page_id, sqrt(sum(m * m)) as n from c2 group by 1), c3 as (select page_id, list(m / n order by i) as c from c2 join n2 using (page_id) group by 1)
@@ -280,3 +284,27 @@ select u.page_id, {r('greatest(-1, least(1, list_dot_product(u.v, coalesce(c, u.
 def k17(spark, d):
     u = em.unit_vectors(page_vectors(spark, d)).select("page_id", "v", F.col("v").alias("title_v"))
     return ps.title_mismatch(u, passages(spark, d)).withColumn("similarity", rounded(F.col("similarity")))
+
+
+_JT = f"list_distinct({_TOK.format('{0}')})"
+
+
+def _conflict(pattern: str) -> str:
+    return "(" + " or ".join(f"regexp_matches(coalesce({c}, ''), '(?i){pattern}')" for c in ("url_a", "url_b", "title_a", "title_b")) + ")"
+
+
+@query("k06_conflict_classes", f"""with t as (select page_id, min(url) as url, min(title) as title from pages group by 1), x as (select a.page_id as page_a, b.page_id as page_b, case when a.page_id % 9 = 0 then a.url || '/de/' else a.url end as url_a, b.url as url_b, case when a.page_id % 7 = 0 then coalesce(a.title, '') || ' template' else a.title end as title_a, b.title as title_b, (a.page_id % 100) / 100.0::double as s, a.page_id % 2 = 0 as li from t a join t b on b.page_id = a.page_id + 1),
+y as (select *, {_JT.format('title_a')} as ta, {_JT.format('title_b')} as tb from x) select page_a, page_b, case when {_conflict(ps.LANGUAGE_OR_COUNTRY)} then 'localized_variant' when {_conflict(ps.PRODUCT_VARIANT)} then 'product_variant' when li and s < 0.9 then 'healthy_hub_spoke' when s >= 0.88 or (len(ta) > 0 and len(tb) > 0 and len(list_intersect(ta, tb)) / len(list_distinct(list_concat(ta, tb)))::double >= 0.62) then 'duplicate_competing_page' else 'consolidation_candidate' end as class from y""")
+def k06b(spark, d):
+    t = table(spark, d, "pages").groupBy("page_id").agg(F.min("url").alias("url"), F.min("title").alias("title"))
+    k = F.col("page_a")
+    a = t.select(F.col("page_id").alias("page_a"), F.col("url").alias("url_a"), F.col("title").alias("title_a"))
+    b = t.select(F.col("page_id").alias("page_b"), (F.col("page_id") - 1).alias("page_a"), F.col("url").alias("url_b"), F.col("title").alias("title_b"))
+    x = a.join(b, "page_a").withColumns({"url_a": F.when(k % 9 == 0, F.concat("url_a", F.lit("/de/"))).otherwise(F.col("url_a")), "title_a": F.when(k % 7 == 0, F.concat(F.coalesce("title_a", F.lit("")), F.lit(" template"))).otherwise(F.col("title_a")), "similarity": k % 100 / 100.0, "linked": k % 2 == 0})
+    return ps.classify_conflict(x).select("page_a", "page_b", "class")
+
+
+@query("c06_structured_data", "with b as (select doc_type as type, [source, lang] as keys from documents where doc_type is not null), n as (select type, count(*) as blocks from b group by 1), w as (select * from (values ('faq', 'en'), ('faq', 'zz'), ('faq', 'aa'), ('product', 'de'), ('product', 'yy')) t(type, p)), m as (select w.type, p from w where not exists (select 1 from b where b.type = w.type and list_contains(b.keys, w.p))) select type, blocks, array_to_string(coalesce(list_sort(list(p) filter (p is not null)), []), '|') as missing from n left join m using (type) group by 1, 2")
+def c06(spark, d):
+    b = _docs(spark, d).select(F.col("doc_type").alias("type"), F.array("source", "lang").alias("keys"))
+    return c.structured_data(b, {"faq": ["en", "zz", "aa"], "product": ["de", "yy"]}).select("type", "blocks", F.array_join("missing", "|").alias("missing"))

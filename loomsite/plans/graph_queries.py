@@ -51,20 +51,32 @@ def g03(spark, d):
     return g.degrees(edges(spark, d), nodes(spark, d))
 
 
-@query("g04_pagerank")
+def _pagerank_sql(weight: str, jump: str) -> str:
+    """PageRank as a recursive query of 50 rounds."""
+    return f"""with recursive {_E}, jp as (select page_id, p / sum(p) over () as p from (select c_custkey as page_id, {jump} as p from customer)), sh as (select src, dst, {weight} / sum({weight}) over (partition by src) as share from e), so as (select distinct src from sh),
+pr as (select 0 as i, page_id, p as x from jp union all
+select any_value(w.i) + 1, jp.page_id, any_value(0.15::double * jp.p) + 0.85::double * (coalesce(sum(g.x * g.share), 0) + any_value(w.lost * jp.p)) from jp, (select max(i) as i, coalesce(sum(x) filter (page_id not in (select src from so)), 0) as lost from pr) w left join (select sh.dst, sh.share, pr.x from pr join sh on sh.src = pr.page_id) g on g.dst = jp.page_id where w.i < 50 group by jp.page_id)
+select page_id, {r('x / sum(x) over ()', 8)} as score from pr where i = 50"""
+
+
+@query("g04_pagerank", _pagerank_sql("1.0::double", "1.0::double"))
 def g04(spark, d):
-    return g.pagerank(edges(spark, d), nodes(spark, d))
+    return g.pagerank(edges(spark, d), nodes(spark, d)).withColumn("score", rounded(F.col("score"), 8))
 
 
-@query("g05_weighted_pagerank")
+@query("g05_weighted_pagerank", _pagerank_sql("anchor_count::double", "1 + 3 * ln(1 + greatest(c_acctbal, 0.0))"))
 def g05(spark, d):
     n = table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), (1 + 3 * F.log1p(F.greatest("c_acctbal", F.lit(0.0)))).alias("p"))
-    return g.pagerank(edges(spark, d), n, "anchor_count", "p")
+    return g.pagerank(edges(spark, d), n, "anchor_count", "p").withColumn("score", rounded(F.col("score"), 8))
 
 
-@query("g06_hits")
+@query("g06_hits", f"""with recursive {_E}, ee as (select src as f, dst as t, 0 as k from e union all select dst, src, 1 from e),
+hr as (select 0 as i, page_id, 1.0::double as a, 1.0::double as h from n union all
+select i + 1, page_id, case when i % 2 = 0 then v / greatest(sqrt(sum(v * v) over ()), 1e-300) else a end, case when i % 2 = 1 then v / greatest(sqrt(sum(v * v) over ()), 1e-300) else h end
+from (select o.i, o.page_id, any_value(o.a) as a, any_value(o.h) as h, coalesce(sum(case when o.i % 2 = 0 then q.h else q.a end), 0) as v from hr o left join (select ee.t, hr.a, hr.h from hr join ee on ee.f = hr.page_id and ee.k = hr.i % 2) q on q.t = o.page_id where o.i < 60 group by o.i, o.page_id))
+select page_id, {r('a', 8)} as authority, {r('h', 8)} as hub from hr where i = 60""")
 def g06(spark, d):
-    return g.hits(edges(spark, d), nodes(spark, d))
+    return g.hits(edges(spark, d), nodes(spark, d)).select("page_id", rounded(F.col("authority"), 8).alias("authority"), rounded(F.col("hub"), 8).alias("hub"))
 
 
 @query("g07_click_depth", f"with recursive {_E}, b as (select 1::bigint as page_id, 0 as depth union select e.dst, b.depth + 1 from b join e on e.src = b.page_id where b.depth < 12) select n.page_id, min(b.depth)::int as depth from n left join b using (page_id) group by 1")
