@@ -194,3 +194,33 @@ def structured_data(blocks: DataFrame, recommended: dict[str, list[str]]) -> Dat
     n = one.groupBy("type").agg(F.count("*").alias("blocks"))
     miss = one.select("type", F.explode("lacks").alias("p")).groupBy("type", "p").agg(F.count("*").alias("k")).join(n, "type").filter("k = blocks").groupBy("type").agg(F.array_sort(F.collect_list("p")).alias("missing"))
     return n.join(miss, "type", "left").select("type", "blocks", F.coalesce("missing", F.array().cast("array<string>")).alias("missing"))
+
+
+#: Kinds of numeric claims and how they are written; a number is digits with groups of three and decimals (fixed values).
+CURRENCIES = "USD|EUR|GBP|CZK|PLN|HUF|CHF|CAD|AUD|NZD|SEK|NOK|DKK"
+_NUMBER = r"(\d+(?:[.,]\d+)*)"
+CLAIMS = {
+    "percent": rf"{_NUMBER}\s*(?:%|percent\b|percentage\s+points?\b)", "multiplier": rf"{_NUMBER}\s*x\b", "currency": rf"(?:[$€£]|\b(?:{CURRENCIES}))\s*{_NUMBER}", "amount": rf"{_NUMBER}\s*(?:[$€£]|(?:{CURRENCIES})\b)",
+}
+
+
+def numeric_claims(texts: DataFrame) -> DataFrame:
+    """(id, kind, number, times): the numbers that a text claims as percentages, multiples or sums of money. texts(id, text).
+
+    Numbers are compared without grouping marks: a comma or point before three digits groups, else it is the decimal point.
+    """
+    low = F.coalesce("text", F.lit(""))
+
+    def found(kind: str) -> Column:
+        name = F.lit("currency" if kind == "amount" else kind)
+        return F.transform(F.regexp_extract_all(low, F.lit(f"(?i){CLAIMS[kind]}"), 1), lambda x: F.struct(name.alias("kind"), x.alias("n")))
+
+    at = texts.select("id", F.explode(F.concat(*map(found, CLAIMS))).alias("c"))
+    plain = F.regexp_replace(F.regexp_replace("c.n", r"[.,](\d{3})(?!\d)", "$1"), ",", ".")
+    return at.groupBy("id", F.col("c.kind").alias("kind"), plain.alias("number")).agg(F.count("*").alias("times"))
+
+
+def verified_claims(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """claims with verified: whether the evidence of the same id claims the same number in the same kind. Both as numeric_claims() gives them."""
+    e = evidence.select("id", "kind", "number").distinct().withColumn("_v", F.lit(True))
+    return claims.join(e, ["id", "kind", "number"], "left").withColumn("verified", F.coalesce("_v", F.lit(False))).drop("_v")

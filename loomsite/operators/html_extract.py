@@ -211,3 +211,65 @@ def link_quality(extracted: DataFrame) -> DataFrame:
     x = extracted.select("url", F.explode_outer("links").alias("l"))
     c = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
     return x.groupBy("url").agg(F.count("l").alias("links"), c(F.col("l.internal")).alias("internal"), c(~F.col("l.internal")).alias("external"), c(F.col("l.nofollow")).alias("nofollow"), c(F.col("l.empty")).alias("empty"), c(F.col("l.image_only")).alias("image_only"), c(is_generic(F.col("l.anchor"))).alias("generic"), c(F.col("l.context").isin("nav", "footer", "header", "aside")).alias("in_navigation"))
+
+
+class _Classes(HTMLParser):
+    """The source between the tags that are kept: inside elements with an included class, outside those with an excluded one."""
+
+    def __init__(self, include: frozenset, exclude: frozenset):
+        super().__init__(convert_charrefs=False)
+        self.include, self.exclude, self.out = include, exclude, []
+        self._open: list[tuple[str, bool, bool]] = []
+
+    def _kept(self) -> bool:
+        return not any(bad for _, _, bad in self._open) and (not self.include or any(good for _, good, _ in self._open))
+
+    def handle_starttag(self, tag, attrs):
+        classes = set((dict(attrs).get("class") or "").split())
+        self._open.append((tag, bool(classes & self.include), bool(classes & self.exclude)))
+        if self._kept():
+            self.out.append(self.get_starttag_text())
+        if tag in _VOID:
+            self._open.pop()
+
+    def handle_startendtag(self, tag, attrs):
+        if self._kept() and not set((dict(attrs).get("class") or "").split()) & self.exclude:
+            self.out.append(self.get_starttag_text())
+
+    def handle_endtag(self, tag):
+        if tag in [t for t, _, _ in self._open]:
+            if self._kept():
+                self.out.append(f"</{tag}>")
+            while self._open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if self._kept():
+            self.out.append(data)
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+
+def filtered_html(html: str, include: list[str] = (), exclude: list[str] = ()) -> str:
+    """The parts of a page inside elements of the included classes (all, where none are given) and outside those of the excluded ones.
+
+    An unclosed element ends with the one around it; comments and declarations are left out.
+    """
+    p = _Classes(frozenset(include), frozenset(exclude))
+    p.feed(html or "")
+    p.close()
+    return "".join(p.out)
+
+
+def filter_classes(pages: DataFrame, include: list[str] = (), exclude: list[str] = ()) -> DataFrame:
+    """pages(url, body) with each body reduced by filtered_html(); null bodies stay null."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"url": pdf.url, "body": [None if b is None else filtered_html(b, include, exclude) for b in pdf.body]})
+
+    return pages.select("url", "body").mapInPandas(run, "url string, body string")

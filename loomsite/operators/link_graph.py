@@ -346,3 +346,26 @@ def internal_rel(links: DataFrame) -> DataFrame:
     i = links.groupBy(F.col("dst").alias("page_id")).agg(F.count_if("nofollow").alias("in_nofollow"), F.count_if(~F.col("nofollow")).alias("in_dofollow"))
     o = links.groupBy(F.col("src").alias("page_id")).agg(F.count_if("nofollow").alias("out_nofollow"))
     return i.join(o, "page_id", "full").fillna(0)
+
+
+def authority_rollup(pages: DataFrame, by: str) -> DataFrame:
+    """(by, pages, traffic, authority, gap, alignment) of the rows of authority_gap(): alignment = 1 - mean |gap| weighed by traffic."""
+    t = F.coalesce("traffic", F.lit(0))
+    g = pages.groupBy(by).agg(F.count("*").alias("pages"), F.sum(t).alias("traffic"), F.sum("authority").alias("authority"), F.avg("gap").alias("gap"), F.sum(F.abs("gap") * t).alias("_w"))
+    return g.withColumn("alignment", F.when(F.col("traffic") > 0, 1 - F.col("_w") / F.col("traffic")).otherwise(0.0)).drop("_w")
+
+
+def anchor_lists(edges: DataFrame, top: int = 5) -> DataFrame:
+    """(dst, top_anchors): per target its most frequent anchors in lower case, the first names of equal ones."""
+    per = edges.select("dst", F.explode("anchors").alias("a")).groupBy("dst", F.lower("a").alias("a")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("dst").orderBy(F.desc("n"), "a")
+    best = per.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= top)
+    return best.groupBy("dst").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "a"))), lambda x: x.a).alias("top_anchors"))
+
+
+def worst_anchor_distance(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(dst, distance): the largest distance of an anchor's vector to its target's. edges(dst, anchors); vectors of `anchor` rows (anchor, v) and pages (page_id, v) in one table(page_id, anchor, v)."""
+    a = vectors.filter("anchor is not null").select(F.lower("anchor").alias("a"), F.col("v").alias("va"))
+    p = vectors.filter("anchor is null").select(F.col("page_id").alias("dst"), F.col("v").alias("vp"))
+    one = edges.select("dst", F.explode("anchors").alias("a")).select("dst", F.lower("a").alias("a")).distinct()
+    return one.join(a, "a").join(p, "dst").groupBy("dst").agg(F.max(1 - clip(dot(F.col("va"), F.col("vp")))).alias("distance"))

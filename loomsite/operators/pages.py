@@ -150,3 +150,12 @@ def robots_access(rules: DataFrame, asked: DataFrame) -> DataFrame:
     rule = hit.groupBy("host", "user_agent", "path").agg(F.max(F.struct(F.length("pattern").alias("n"), (F.col("directive") == "allow").alias("allow"))).alias("r"))
     at = asked.join(best, ["host", "user_agent"], "left").join(rule, ["host", "user_agent", "path"], "left")
     return at.select("host", "user_agent", "path", F.coalesce("r.allow", F.lit(True)).alias("allowed"), F.coalesce("agent", F.lit("")).alias("matched_agent"))
+
+
+def crawled_pages(responses: DataFrame, host: str, most: int, include: str | None = None, exclude: str | None = None) -> DataFrame:
+    """A crawl's table of pages: the latest HTML answer of every url in scope, at most `most` pages in the order of their urls.
+
+    `most` is the crawl's own page limit. Adds page_url; answers that aren't HTML with status 200 and a body are left out.
+    """
+    html = (F.col("status") == 200) & F.lower("content_type").startswith("text/html") & (F.length("body") > 0)
+    return latest_responses(responses).filter(html & in_scope(F.col("page_url"), host, include, exclude)).orderBy("page_url").limit(most)

@@ -308,3 +308,23 @@ def k06b(spark, d):
 def c06(spark, d):
     b = _docs(spark, d).select(F.col("doc_type").alias("type"), F.array("source", "lang").alias("keys"))
     return c.structured_data(b, {"faq": ["en", "zz", "aa"], "product": ["de", "yy"]}).select("type", "blocks", F.array_join("missing", "|").alias("missing"))
+
+
+_NUM = "regexp_replace(regexp_replace(n, '[.,](\\d{3})\\b', '\\1', 'g'), ',', '.', 'g')"
+
+
+def _claims(rows: str) -> str:
+    parts = " union all ".join(f"select id, '{'currency' if k == 'amount' else k}' as kind, unnest(regexp_extract_all(text, '(?i){p}', 1)) as n from {rows}" for k, p in c.CLAIMS.items())
+    return f"select id, kind, {_NUM} as number, count(*) as times from ({parts}) group by 1, 2, 3"
+
+
+_CLT = "ct as (select doc_id as id, replace(replace(coalesce(text, ''), ' cm ', ' % '), ' euros', ' EUR') || ' $1,250.50 and ' || doc_id % 40 || '%' as text from documents), ce as (select doc_id as id, 'about ' || doc_id % 35 || ' percent of USD 1250.50' as text from documents)"
+
+
+@query("r26_numeric_claims", f"with {_CLT}, a as ({_claims('ct')}), b as ({_claims('ce')}) select a.id, a.kind, a.number, a.times, b.id is not null as verified from a left join b on a.id = b.id and a.kind = b.kind and a.number = b.number")
+def r26(spark, d):
+    k = F.col("doc_id")
+    t = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(" cm "), F.lit(" % ")), F.lit(" euros"), F.lit(" EUR"))
+    x = _docs(spark, d).select(k.alias("id"), F.concat(t, F.lit(" $1,250.50 and "), (k % 40).cast("string"), F.lit("%")).alias("text"))
+    e = _docs(spark, d).select(k.alias("id"), F.concat(F.lit("about "), (k % 35).cast("string"), F.lit(" percent of USD 1250.50")).alias("text"))
+    return c.verified_claims(c.numeric_claims(x), c.numeric_claims(e))

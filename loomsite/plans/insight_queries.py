@@ -149,3 +149,23 @@ def j13(spark, d):
     context = F.when(k % 2 == 0, F.substring(F.max(F.when(F.col("para_index") == 1, F.col("text"))), 5, 40)).otherwise(F.concat(F.lit("water the old pump "), F.max(F.when(F.col("para_index") == 0, F.col("text")))))
     links = pp.groupBy("page_id").agg(context.alias("context")).select(k.alias("src"), (k + 1).alias("dst"), "context")
     return li.paragraph_of_link(links, pp).withColumn("fit", rounded(F.col("fit")))
+
+
+@query("g19_authority_rollup", f"""with {_E}, {_PM}, x as (select page_id, cluster, traffic, in_degree as authority from pm), y as (select *, {_PCT.format('traffic', 'x')} - {_PCT.format('authority', 'x')} as gap from x a)
+select cluster, count(*) as pages, sum(traffic)::bigint as traffic, sum(authority)::bigint as authority, {r('avg(gap)')} as gap, {r('1 - sum(abs(gap) * traffic) / sum(traffic)')} as alignment from y group by 1""")
+def g19b(spark, d):
+    p = pages(spark, d).select("page_id", "cluster", "traffic", F.col("in_degree").alias("authority"), "in_degree", "depth")
+    x = g.authority_rollup(g.authority_gap(p), "cluster")
+    return x.select("cluster", "pages", "traffic", F.col("authority").cast("bigint").alias("authority"), rounded(F.col("gap")).alias("gap"), rounded(F.col("alignment")).alias("alignment"))
+
+
+@query("g13_anchor_lists", f"with {_E}, o as (select dst, lower(a) as a, count(*) as n from (select dst, unnest(anchors) as a from e) group by 1, 2), kk as (select *, row_number() over (partition by dst order by n desc, a) as k from o) select dst, array_to_string(list(a order by k), '|') as top_anchors from kk where k <= 5 group by 1")
+def g13b(spark, d):
+    return g.anchor_lists(edges(spark, d)).select("dst", F.array_join("top_anchors", "|").alias("top_anchors"))
+
+
+@query("g30_degree_percentiles", f"with {_E}, {_DEG}, o as (select in_degree as value, row_number() over (order by in_degree) - 1 as i, count(*) over () as n from deg) select s as share, value from o, (select unnest([0.5::double, 0.9::double, 0.99::double]) as s) where i = round_even(s * (n - 1), 0)")
+def g30b(spark, d):
+    from loomsite.operators.passages import nearest_rank
+
+    return nearest_rank(g.degrees(edges(spark, d), nodes(spark, d)), "in_degree", [0.5, 0.9, 0.99])

@@ -71,3 +71,9 @@ def s05(spark, d):
 @query("t01_windowed_counts", "select strftime(time_bucket(interval 5 minutes, ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n from events group by 1, 2")
 def t01(spark, d):
     return windowed_counts(table(spark, d, "events")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("e14_filtered_bodies", "select url, count(*) as bodies from responses where status = 200 and url is not null group by url")
+def e14(spark, d):
+    x = hx.filter_classes(table(spark, d, "responses").filter("status = 200 and url is not null").select("url", "body"), exclude=["nav", "footer"])
+    return x.groupBy("url").agg(F.count("*").alias("bodies"))

@@ -148,3 +148,8 @@ def s14(spark, d):
     k = F.col("p_partkey")
     name = F.concat(F.lit("  "), F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", 2, 1000), F.when(k % 2 == 0, "").otherwise(" "))
     return p.query_file(table(spark, d, "part").select(k.alias("line"), F.when(k % 9 == 0, "  ").when(k % 9 == 1, "# note").otherwise(name).alias("text")))
+
+
+@query("s01_crawled_pages", f"with {_LATEST} select page_url, response_id from lr where status = 200 and starts_with(lower(content_type), 'text/html') and length(body) > 0 and regexp_extract({_bare('page_url')}, '^([^/?#]*)', 1) = 'harbourlight-guides.example' and not regexp_matches(lower(regexp_extract(page_url, '^(?:[^:/]+://)?[^/?#]*([^?#]*)', 1)), '\\.(?:jpe?g|png|gif|svg|webp|ico|css|js|json|xml|pdf|zip|gz|mp[34]|woff2?|ttf)$') order by page_url limit 10000")
+def s01(spark, d):
+    return p.crawled_pages(table(spark, d, "responses"), "www.harbourlight-guides.example", 10_000).select("page_url", "response_id")

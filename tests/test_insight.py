@@ -166,3 +166,22 @@ def test_stage_once_and_release(spark):
     stage.release(df)
     with pytest.raises(Exception):
         c.count()
+
+
+def test_filtered_html(spark):
+    from loomsite.operators import html_extract as hx
+
+    html = '<div class="a main"><p>one &amp; two<br>three</p><div class="ad x"><p>no</p></div><img class="ad" src=1><b>four</b></div><p>outside</p>'
+    assert hx.filtered_html(html, exclude=["ad"]) == '<div class="a main"><p>one &amp; two<br>three</p><b>four</b></div><p>outside</p>'
+    assert hx.filtered_html(html, include=["main"], exclude=["ad"]) == '<div class="a main"><p>one &amp; two<br>three</p><b>four</b></div>'
+    assert hx.filtered_html("", ["x"]) == "" and hx.filtered_html("<p>open <i>text", exclude=["x"]) == "<p>open <i>text"
+    df = spark.createDataFrame([("u", html), ("v", None)], "url string, body string")
+    assert {r.url: r.body for r in hx.filter_classes(df, include=["zz"]).collect()} == {"u": "", "v": None}
+
+
+def test_numeric_claims(spark):
+    from loomsite.operators import content
+
+    df = spark.createDataFrame([(1, "Up 12.5 % and 3x, $1,200 or 1.200 EUR, 7 percent"), (2, None), (3, "no numbers")], "id bigint, text string")
+    got = {(r.id, r.kind, r.number): r.times for r in content.numeric_claims(df).collect()}
+    assert got == {(1, "percent", "12.5"): 1, (1, "multiplier", "3"): 1, (1, "currency", "1200"): 2, (1, "percent", "7"): 1}
