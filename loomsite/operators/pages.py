@@ -152,6 +152,13 @@ def robots_access(rules: DataFrame, asked: DataFrame) -> DataFrame:
     return at.select("host", "user_agent", "path", F.coalesce("r.allow", F.lit(True)).alias("allowed"), F.coalesce("agent", F.lit("")).alias("matched_agent"))
 
 
+def agent_access(access: DataFrame, files: DataFrame) -> DataFrame:
+    """access with `access`: allowed or blocked by the rules, allowed where the host's file is missing (4xx), unknown where it fails (5xx). files(host, status)."""
+    st = files.groupBy("host").agg(F.max("status").alias("_st"))
+    at = access.join(st, "host", "left")
+    return at.withColumn("access", F.when(F.col("_st").between(500, 599), "unknown").when(F.col("_st").between(400, 499) | F.col("allowed"), "allowed").otherwise("blocked")).drop("_st")
+
+
 def crawled_pages(responses: DataFrame, host: str, most: int, include: str | None = None, exclude: str | None = None) -> DataFrame:
     """A crawl's table of pages: the latest HTML answer of every url in scope, at most `most` pages in the order of their urls.
 

@@ -115,20 +115,33 @@ def a07(spark, d):
     return t.sitemap_coverage(sm, cr, pg.filter("page_id % 4 <> 0")).select("url", "status", _joined())
 
 
+_FILE = "User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow:\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n# note\nUser-agent: Google\nDisallow: /*.pdf$\nAllow: /a\nDisallow: /a\n"
+_HOSTS = (("x.example", 200), ("gone.example", 404), ("down.example", 503))
+_PATHS = ("/", "/private/x", "/private/open/y", "/a", "/file.pdf", "/file.pdf?x")
+
+
 def _robots(spark):
-    body = "User-agent: *\nDisallow: /private\nAllow: /private/open\nDisallow:\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n# note\nUser-agent: Google\nDisallow: /*.pdf$\nAllow: /a\nDisallow: /a\n"
-    return p.robots_rules(spark.createDataFrame([("x.example", body)], "host string, body string"))
+    return p.robots_rules(spark.createDataFrame([("x.example", _FILE)], "host string, body string"))
 
 
 #: User agents of answer engines and crawlers (fixed values).
 AGENTS = ("GPTBot", "OAI-SearchBot", "ChatGPT-User", "ClaudeBot", "Claude-Web", "anthropic-ai", "PerplexityBot", "Google-Extended", "Googlebot", "Bingbot", "CCBot", "Applebot-Extended", "Amazonbot", "Bytespider")
 
 
-@query("s03_a08_robots_access")
+_ROBOTS_SQL = f"""with ln as (select unnest(range(1, len(l) + 1)) as n, unnest(l) as t from (select string_split('{_FILE}', chr(10)) as l)), kv as (select n, lower(trim(regexp_extract(t, '^([^:]*):', 1))) as k, trim(regexp_extract(t, '^[^:]*:(.*)$', 1)) as v from (select n, trim(regexp_replace(t, '#.*$', '')) as t from ln) where contains(t, ':')),
+gs as (select *, sum(case when k = 'user-agent' and coalesce(pk, 'x') <> 'user-agent' then 1 else 0 end) over (order by n) as g from (select *, lag(k) over (order by n) as pk from kv where k in ('user-agent', 'allow', 'disallow'))), ru as (select 'x.example' as host, lower(a.v) as agent, b.k as directive, b.v as pattern from gs a join gs b on a.g = b.g and a.k = 'user-agent' and b.k <> 'user-agent'),
+hs as (select * from (values {', '.join(f"('{h}', {c})" for h, c in _HOSTS)}) t(host, status)), aq as (select host, user_agent, path from hs, (select unnest({list(AGENTS)}) as user_agent), (select unnest({list(_PATHS)}) as path)),
+ba as (select host, user_agent, arg_max(agent, case when agent = '*' then 0 else length(agent) end) as agent from (select distinct aq.host, user_agent, agent from aq join ru on ru.host = aq.host where agent = '*' or contains(lower(user_agent), agent)) group by 1, 2),
+hi as (select aq.*, length(pattern) as n, directive = 'allow' as al from aq join ba using (host, user_agent) join ru on ru.host = ba.host and ru.agent = ba.agent and pattern <> '' and regexp_matches(path, '^' || replace(regexp_replace(regexp_replace(pattern, '\\$$', ''), '([.?+])', '\\\\\\1', 'g'), '*', '.*') || case when pattern like '%$' then '$' else '' end)),
+be as (select host, user_agent, path, arg_max(al, n * 2 + al::int) as al from hi group by 1, 2, 3)
+select aq.host, aq.user_agent, aq.path, coalesce(al, true) as allowed, coalesce(agent, '') as matched_agent, case when status between 500 and 599 then 'unknown' when status between 400 and 499 or coalesce(al, true) then 'allowed' else 'blocked' end as access from aq join hs using (host) left join ba using (host, user_agent) left join be using (host, user_agent, path)"""
+
+
+@query("s03_a08_robots_access", _ROBOTS_SQL)
 def a08(spark, d):
-    paths = spark.createDataFrame([(x,) for x in ("/", "/private/x", "/private/open/y", "/a", "/file.pdf", "/file.pdf?x")], "path string")
-    agents = spark.createDataFrame([("x.example", a) for a in AGENTS], "host string, user_agent string")
-    return p.robots_access(_robots(spark), agents.withColumn("path", F.explode(F.array(*(F.lit(r.path) for r in paths.collect())))))
+    files = spark.createDataFrame(_HOSTS, "host string, status int")
+    asked = files.select("host", F.explode(F.array(*map(F.lit, AGENTS))).alias("user_agent")).withColumn("path", F.explode(F.array(*map(F.lit, _PATHS))))
+    return p.agent_access(p.robots_access(_robots(spark), asked), files)
 
 
 _RULES = [
