@@ -84,9 +84,15 @@ def g07(spark, d):
     return g.click_depth(stage(edges(spark, d), "edges"), nodes(spark, d), 1)
 
 
-@query("g08_betweenness")
+@query("g08_betweenness", f"""with recursive {_E}, dg as (select page_id, count(*) as c from (select src as page_id from e union all select dst from e) group by 1), rt as (select page_id as root from dg order by c desc, page_id limit 450),
+bf as (select root, root as page_id, 0 as d, 1.0::double as paths, 0 as i from rt union all
+select root, page_id, min(d), sum(paths) filter (d = m), any_value(i) + 1 from (select *, min(d) over (partition by root, page_id) as m from (select root, page_id, d, paths, i from bf union all select root, e.dst, d + 1, paths, i from bf join e on e.src = bf.page_id where d = i)) group by root, page_id having max(i) < 30),
+lv as (select root, page_id, d, paths from bf where i = 30), bk as (select root, page_id, d, paths, 0.0::double as dep, (select max(d) from lv) as i from lv union all
+select a.root, a.page_id, any_value(a.d), any_value(a.paths), case when any_value(a.d) = any_value(a.i) - 1 then any_value(a.paths) * coalesce(sum(s.p), 0) else any_value(a.dep) end, any_value(a.i) - 1
+from bk a left join (select e.src, b.root, sum((1 + b.dep) / b.paths) as p from bk b join e on e.dst = b.page_id where b.d = b.i group by 1, 2) s on s.root = a.root and s.src = a.page_id where a.i > 0 group by a.root, a.page_id),
+t as (select page_id, sum(dep) / (select count(*) from rt) as b from bk where i = 0 and page_id <> root group by 1) select page_id, {r('coalesce(b, 0)')} as betweenness from n left join t using (page_id)""")
 def g08(spark, d):
-    return g.betweenness(edges(spark, d), nodes(spark, d))
+    return g.betweenness(edges(spark, d), nodes(spark, d)).withColumn("betweenness", rounded(F.col("betweenness")))
 
 
 _Q = f"""q as (select src, dst, case when len(anchors) = 0 then 0.45 else greatest(0.05, least(1.0, list_avg(list_transform(anchors, lambda a: case when {_generic('a')} then 0.35::double else least(1.0::double, 0.58::double + 0.075 * least(5, len(string_split(a, ' ')))) end)) + least(0.1, 0.035 * ln(1 + len(anchors))))) end as quality from e)"""
