@@ -52,20 +52,27 @@ def v21(spark, d):
     return s.select("cluster", "n", rounded(F.col("cohesion")).alias("cohesion"), rounded(F.col("site_alignment")).alias("site_alignment"), F.array_join("closest", "|").alias("closest"))
 
 
-@query("c01_entities")
+_ENT = f"""en as (select doc_id, unnest(range(1, len(f) + 1)) as pos, unnest(f) as raw from (select doc_id, regexp_extract_all(coalesce(text, ''), '{c.ENTITY.replace("'", "''")}') as f from documents where doc_id is not null)),
+ec as (select doc_id, pos, trim(regexp_replace(regexp_replace(regexp_replace(raw, '\\s+', ' ', 'g'), '^(?:The|A|An) ', ''), '(?i) (?:and|of|for|the)$', '')) as e from en), ef as (select * from ec where length(e) between 3 and 90 and lower(e) not in ({', '.join("'" + x.replace("'", "''") + "'" for x in c.NO_ENTITY)})),
+et as (select doc_id, arg_min(e, pos) as entity, count(*) as mentions from ef group by doc_id, lower(e))"""
+
+
+@query("c01_entities", f"with {_ENT} select * from et")
 def c01(spark, d):
     return c.entities(_docs(spark, d))
 
 
-@query("c02_entity_report")
+@query("c02_entity_report", f"with {_ENT}, g as (select lower(entity) as entity, count(*) as documents, sum(mentions)::bigint as mentions from et group by 1) select *, {r('least(1.0, 0.6::double * documents / 8 + 0.4::double * mentions / 16)')} as depth from g")
 def c02(spark, d):
-    return c.entity_report(c.entities(_docs(spark, d)))
+    return c.entity_report(c.entities(_docs(spark, d))).withColumn("depth", rounded(F.col("depth")))
 
 
-@query("c03_entity_coverage")
+@query("c03_entity_coverage", f"""with {_ENT}, pg as (select doc_id, source as cluster, coalesce(n_chars, 0) as traffic from documents), a as (select et.doc_id, lower(entity) as k, mentions, cluster, traffic from et join pg using (doc_id)), w as (select cluster, k, sum(pow(mentions::double, 0.72) * (1 + ln(1 + traffic))) as w from a group by 1, 2),
+rk as (select cluster, k, row_number() over (partition by cluster order by round(w, 9) desc, k) as n from w), b as (select cluster, k from rk where n <= 30), sz as (select cluster, count(*) as expected from b group by 1), h as (select doc_id, count(*) as covered from (select distinct doc_id, cluster, k from a) join b using (cluster, k) group by 1)
+select pg.doc_id, pg.cluster, expected, coalesce(covered, 0) as covered, {r('coalesce(covered, 0) / expected::double')} as coverage from pg join sz using (cluster) left join h using (doc_id)""")
 def c03(spark, d):
     pages = _docs(spark, d).select("doc_id", F.col("source").alias("cluster"), F.coalesce("n_chars", F.lit(0)).alias("traffic"))
-    return c.entity_coverage(c.entities(_docs(spark, d)), pages)
+    return c.entity_coverage(c.entities(_docs(spark, d)), pages).withColumn("coverage", rounded(F.col("coverage")))
 
 
 _FR = "b as (select response_id as page_id, max(case when last_modified is not null then try_cast(substr(last_modified, 1, 10) as date) end) as m, max(fetched_at::date) as a from responses group by 1), f as (select page_id, coalesce(m, a) as date, date_diff('day', coalesce(m, a), date '2025-06-01') as age from b), g as (select *, case when age is null then 'unknown' when age < 0 then 'future' when age <= 90 then 'fresh' when age <= 365 then 'aging' when age <= 730 then 'stale' else 'very_stale' end as bucket from f)"
