@@ -319,14 +319,18 @@ def authority_gap(pages: DataFrame) -> DataFrame:
 
 
 def demand_support(pages: DataFrame) -> DataFrame:
-    """pages with demand, support and label. pages has max-scaled t, k, v, r, inlink, wpr, flow, anchor and ctx in [0, 1]."""
+    """pages with demand, support, label, gap and opportunity. pages has traffic and max-scaled t, k, v, r, inlink, wpr, flow, anchor and ctx in [0, 1].
+
+    gap = demand - support, 0 at least; opportunity = gap x (1 + ln(1 + traffic) / 6).
+    """
     d = 42 * F.col("t") + 18 * F.col("k") + 22 * F.col("v") + 18 * F.col("r")
     s = 26 * F.col("inlink") + 28 * F.col("wpr") + 16 * F.col("flow") + 15 * F.col("anchor") + 15 * F.col("ctx")
     label = (
         F.when((d >= 65) & (s < 45), "high_demand_low_support").when((d >= 55) & (s < 60), "demand_support_gap").when(d >= 55, "supported_demand")
         .when((s >= 70) & (d < 35), "over_supported_low_demand").when((d < 35) & (s < 35), "low_demand_low_support").otherwise("balanced")
     )
-    return pages.withColumns({"demand": d, "support": s, "label": label})
+    gap = F.greatest(F.lit(0.0), d - s)
+    return pages.withColumns({"demand": d, "support": s, "label": label, "gap": gap, "opportunity": gap * (1 + F.log1p(F.coalesce("traffic", F.lit(0)).cast("double")) / 6)})
 
 
 def max_scaled(df: DataFrame, column: str, out: str) -> DataFrame:

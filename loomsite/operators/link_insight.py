@@ -205,3 +205,15 @@ def paragraph_of_link(links: DataFrame, paragraphs: DataFrame) -> DataFrame:
     at = l.join(p, "src").withColumns({"fit": fit, "inside": inside}).filter("fit > 0")
     best = at.groupBy("src", "dst").agg(F.min(F.struct((~F.col("inside")).alias("o"), (-F.round("fit", 9)).alias("f"), "para_index", "fit")).alias("b"))
     return best.select("src", "dst", "b.para_index", "b.fit")
+
+
+def link_flow_edges(edges: DataFrame, chosen: DataFrame, pages: DataFrame, most: int = 1600) -> DataFrame:
+    """(src, dst, weight, score): the links between the chosen pages, the `most` with the largest flow. edges(src, dst, anchor_count), chosen(page_id), pages as for link_flow_nodes()."""
+    top = pages.agg(F.max(F.log1p(_n("traffic"))).alias("_top"))
+    ids = chosen.select("page_id").distinct()
+    e = edges.join(F.broadcast(ids.withColumnRenamed("page_id", "src")), "src", "left_semi").join(F.broadcast(ids.withColumnRenamed("page_id", "dst")), "dst", "left_semi")  # as many rows as the graph has pages to draw
+    s = pages.select(F.col("page_id").alias("src"), F.col("pagerank").alias("_pr"), F.col("hub").alias("_hub"))
+    t = pages.select(F.col("page_id").alias("dst"), F.col("authority").alias("_auth"), F.log1p(_n("traffic")).alias("_t"))
+    at = e.join(s, "src").join(t, "dst").join(F.broadcast(top)).withColumn("weight", F.greatest(F.lit(1), _n("anchor_count")))
+    score = 2.5 * _n("_pr") + _n("_hub") + _n("_auth") + F.when(F.col("_top") > 0, F.col("_t") / F.col("_top")).otherwise(0.0) + 0.05 * F.log1p(F.col("weight").cast("double"))
+    return at.withColumn("score", score).select("src", "dst", "weight", "score").orderBy(F.desc(F.round("score", 9)), "src", "dst").limit(most)

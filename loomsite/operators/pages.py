@@ -166,3 +166,22 @@ def crawled_pages(responses: DataFrame, host: str, most: int, include: str | Non
     """
     html = (F.col("status") == 200) & F.lower("content_type").startswith("text/html") & (F.length("body") > 0)
     return latest_responses(responses).filter(html & in_scope(F.col("page_url"), host, include, exclude)).orderBy("page_url").limit(most)
+
+
+#: Names of the meta elements that crawlers read (fixed values).
+ROBOTS_NAMES = ("robots", "googlebot", "bingbot", "slurp", "duckduckbot", "baiduspider", "yandex")
+
+
+def robots_directives(responses: DataFrame) -> DataFrame:
+    """(response_id, noindex, noindex_source, nofollow, nofollow_source) of responses(response_id, body, header): from meta elements, the header or both.
+
+    header is the value of X-Robots-Tag. A source is `meta`, `header`, `meta+header` or empty.
+    """
+    metas = F.filter(F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(r"(?is)(<meta\b[^>]*>)"), 1), lambda m: F.lower(F.trim(F.regexp_extract(m, r"(?is)\b(?:name|http-equiv)\s*=\s*[\"']?([^\"'>]*)", 1))).isin(*ROBOTS_NAMES))
+    content = F.transform(metas, lambda m: F.regexp_extract(m, r"(?is)\bcontent\s*=\s*[\"']?([^\"'>]*)", 1))
+
+    def found(word: str) -> list[Column]:
+        meta, header = F.exists(content, lambda c: c.rlike(rf"(?i)\b{word}\b")), F.coalesce("header", F.lit("")).rlike(rf"(?i)\b{word}\b")
+        return [(meta | header).alias(word), F.when(meta & header, "meta+header").when(meta, "meta").when(header, "header").otherwise("").alias(f"{word}_source")]
+
+    return responses.select("response_id", *found("noindex"), *found("nofollow"))

@@ -106,7 +106,13 @@ def list_counts(rows: DataFrame, column: str) -> DataFrame:
     return rows.select(F.explode(column).alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
 
 
-def demand_hints(keywords: DataFrame, top: int = 50) -> DataFrame:
+def top_traffic_pages(pages: DataFrame, top: int = 50) -> DataFrame:
+    """pages(url, traffic, ...) with is_top: whether the url is among the `top` with most traffic, none without any; equal traffic goes by url."""
+    best = pages.filter("url is not null and traffic > 0").groupBy("url").agg(F.max("traffic").alias("_m")).orderBy(F.desc("_m"), "url").limit(top).select("url", F.lit(True).alias("_top"))
+    return pages.join(F.broadcast(best), "url", "left").withColumn("is_top", F.coalesce("_top", F.lit(False))).drop("_top")  # at most `top` rows
+
+
+def demand_hints(keywords: DataFrame) -> DataFrame:
     """(query, impressions, clicks, volume): keyword rows summed by lower-case query, the largest volume of each."""
     q = F.lower(F.trim("keyword"))
     return keywords.filter("keyword is not null and trim(keyword) <> ''").groupBy(q.alias("query")).agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks"), F.max("volume").alias("volume"))

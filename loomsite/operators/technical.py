@@ -230,3 +230,20 @@ def page_rules() -> list[tuple[str, str, str, float, Column]]:
         ("noindex_page", "indexability", "high", 0.9, F.col("noindex")),
         ("large_html", "performance", "medium", 0.8, F.col("body_size_bytes") > 2_000_000),
     ]
+
+
+def social_tags(pages: DataFrame) -> DataFrame:
+    """(url, issues): canonical and social tags of pages(url, canonical_url, og_title, og_description, og_image, twitter_card, twitter_title, twitter_description, noindex).
+
+    A canonical on another host (`www.` ignored); Open Graph without a title or description, or none at all; the same of
+    Twitter cards with card, title and description.
+    """
+    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    host = lambda c: F.regexp_extract(bare_url(F.col(c)), r"^([^/?#]*)", 1)
+    og_any, og_all = has("og_title") | has("og_description") | has("og_image"), has("og_title") & has("og_description")
+    tw_any, tw_all = has("twitter_card") | has("twitter_title") | has("twitter_description"), has("twitter_card") & has("twitter_title") & has("twitter_description")
+    rules = [
+        ("missing_canonical", ~has("canonical_url")), ("canonical_external_host", has("canonical_url") & (host("url") != host("canonical_url"))), ("incomplete_open_graph", og_any & ~og_all), ("missing_open_graph", ~og_any),
+        ("incomplete_twitter_card", tw_any & ~tw_all), ("missing_twitter_card", ~tw_any), ("noindex", F.col("noindex")),
+    ]
+    return pages.filter("url is not null").select("url", flags(rules).alias("issues"))

@@ -176,12 +176,12 @@ def g22(spark, d):
 _M9 = ", ".join(f"((p_partkey * {a}) % 101) / 100.0::double as {c}" for a, c in zip((3, 5, 7, 11, 13, 17, 19, 23, 29), ("t", "k", "v", "r", "inlink", "wpr", "flow", "anchor", "ctx")))
 
 
-@query("g23_demand_support", f"""with x as (select p_partkey as page_id, {_M9} from part), y as (select page_id, 42 * t + 18 * k + 22 * v + 18 * r as d, 26 * inlink + 28 * wpr + 16 * flow + 15 * anchor + 15 * ctx as s from x)
-select page_id, {r('d')} as demand, {r('s')} as support, case when d >= 65 and s < 45 then 'high_demand_low_support' when d >= 55 and s < 60 then 'demand_support_gap' when d >= 55 then 'supported_demand' when s >= 70 and d < 35 then 'over_supported_low_demand' when d < 35 and s < 35 then 'low_demand_low_support' else 'balanced' end as label from y""")
+@query("g23_demand_support", f"""with x as (select p_partkey as page_id, {_M9} from part), y as (select page_id, (page_id * 13 % 4000) as traffic, 42 * t + 18 * k + 22 * v + 18 * r as d, 26 * inlink + 28 * wpr + 16 * flow + 15 * anchor + 15 * ctx as s from x)
+select page_id, {r('d')} as demand, {r('s')} as support, {r('greatest(0, d - s) * (1 + ln(1 + traffic) / 6)')} as opportunity, case when d >= 65 and s < 45 then 'high_demand_low_support' when d >= 55 and s < 60 then 'demand_support_gap' when d >= 55 then 'supported_demand' when s >= 70 and d < 35 then 'over_supported_low_demand' when d < 35 and s < 35 then 'low_demand_low_support' else 'balanced' end as label from y""")
 def g23(spark, d):
     k = F.col("p_partkey")
     cols = [((k * a) % 101 / 100.0).alias(c) for a, c in zip((3, 5, 7, 11, 13, 17, 19, 23, 29), ("t", "k", "v", "r", "inlink", "wpr", "flow", "anchor", "ctx"))]
-    return g.demand_support(table(spark, d, "part").select(k.alias("page_id"), *cols)).select("page_id", rounded(F.col("demand")).alias("demand"), rounded(F.col("support")).alias("support"), "label")
+    return g.demand_support(table(spark, d, "part").select(k.alias("page_id"), (k * 13 % 4000).alias("traffic"), *cols)).select("page_id", rounded(F.col("demand")).alias("demand"), rounded(F.col("support")).alias("support"), rounded(F.col("opportunity")).alias("opportunity"), "label")
 
 
 @query("g30_link_building", f"with {_E}, x as (select anchor_count, len(anchors) as said, len(list_filter(anchors, lambda a: {_generic('a')})) as gen, len(list_filter(anchors, lambda a: len(a) >= 12 and not {_generic('a')})) as de from e) select sum(anchor_count)::bigint as links, count(*) as edges, {r('(sum(anchor_count) - sum(said)) / sum(anchor_count)::double')} as blank_share, {r('sum(gen) / sum(anchor_count)::double')} as generic_share, {r('sum(de) / sum(anchor_count)::double')} as descriptive_share from x")

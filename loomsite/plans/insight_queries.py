@@ -169,3 +169,12 @@ def g30b(spark, d):
     from loomsite.operators.passages import nearest_rank
 
     return nearest_rank(g.degrees(edges(spark, d), nodes(spark, d)), "in_degree", [0.5, 0.9, 0.99])
+
+
+@query("g25_link_flow_edges", f"""with {_E}, {_PM}, ch as (select page_id from pm order by pagerank desc, page_id limit 200), x as (select e.src, e.dst, greatest(1, anchor_count) as weight, 2.5::double * s.pagerank + s.hub + t.authority + ln(1 + t.traffic) / (select max(ln(1 + traffic)) from pm) + 0.05::double * ln(1 + greatest(1, anchor_count)) as score from e join pm s on s.page_id = src join pm t on t.page_id = dst where src in (select page_id from ch) and dst in (select page_id from ch))
+select src, dst, weight, {r('score', 6)} as score from x order by round(x.score, 9) desc, src, dst limit 1600""")
+def g25b(spark, d):
+    e = stage(edges(spark, d), "edges")
+    p = pages(spark, d, e)
+    chosen = p.orderBy(F.desc("pagerank"), "page_id").limit(200)
+    return li.link_flow_edges(e, chosen, p).withColumn("score", rounded(F.col("score"), 6))

@@ -153,3 +153,13 @@ def s14(spark, d):
 @query("s01_crawled_pages", f"with {_LATEST} select page_url, response_id from lr where status = 200 and starts_with(lower(content_type), 'text/html') and length(body) > 0 and regexp_extract({_bare('page_url')}, '^([^/?#]*)', 1) = 'harbourlight-guides.example' and not regexp_matches(lower(regexp_extract(page_url, '^(?:[^:/]+://)?[^/?#]*([^?#]*)', 1)), '\\.(?:jpe?g|png|gif|svg|webp|ico|css|js|json|xml|pdf|zip|gz|mp[34]|woff2?|ttf)$') order by page_url limit 10000")
 def s01(spark, d):
     return p.crawled_pages(table(spark, d, "responses"), "www.harbourlight-guides.example", 10_000).select("page_url", "response_id")
+
+
+@query("e09_robots_directives", f"""with m as (select response_id, list_transform(list_filter(regexp_extract_all(coalesce(body, ''), '(?is)(<meta\\b[^>]*>)', 1), lambda m: lower(trim(regexp_extract(m, '(?is)\\b(?:name|http-equiv)\\s*=\\s*["'']?([^"''>]*)', 1))) in {p.ROBOTS_NAMES}), lambda m: regexp_extract(m, '(?is)\\bcontent\\s*=\\s*["'']?([^"''>]*)', 1)) as c, case when response_id % 7 = 0 then 'NoIndex, nofollow' when response_id % 5 = 0 then 'nofollow' else '' end as h from
+(select response_id, case when response_id % 3 = 0 then '<META name="googlebot" content="noindex,follow">' when response_id % 4 = 0 then '<meta content=nofollow name=robots><meta name="author" content="noindex">' else '' end || coalesce(body, '') as body from responses)), x as (select response_id, len(list_filter(c, lambda v: regexp_matches(v, '(?i)\\bnoindex\\b'))) > 0 as mi, regexp_matches(h, '(?i)\\bnoindex\\b') as hi, len(list_filter(c, lambda v: regexp_matches(v, '(?i)\\bnofollow\\b'))) > 0 as mf, regexp_matches(h, '(?i)\\bnofollow\\b') as hf from m)
+select response_id, mi or hi as noindex, case when mi and hi then 'meta+header' when mi then 'meta' when hi then 'header' else '' end as noindex_source, mf or hf as nofollow, case when mf and hf then 'meta+header' when mf then 'meta' when hf then 'header' else '' end as nofollow_source from x""")
+def e09(spark, d):
+    k = F.col("response_id")
+    meta = F.when(k % 3 == 0, '<META name="googlebot" content="noindex,follow">').when(k % 4 == 0, '<meta content=nofollow name=robots><meta name="author" content="noindex">').otherwise("")
+    x = table(spark, d, "responses").select("response_id", F.concat(meta, F.coalesce("body", F.lit(""))).alias("body"), F.when(k % 7 == 0, "NoIndex, nofollow").when(k % 5 == 0, "nofollow").otherwise("").alias("header"))
+    return p.robots_directives(x)

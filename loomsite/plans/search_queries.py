@@ -189,3 +189,8 @@ def d18(spark, d):
 @query("f07_demand_hints", "select lower(trim(p_name)) as query, sum(p_size)::bigint as impressions, count(*) as clicks, max(p_partkey) as volume from part where trim(p_name) <> '' group by 1")
 def f07(spark, d):
     return s.demand_hints(table(spark, d, "part").select(F.col("p_name").alias("keyword"), F.col("p_size").alias("impressions"), F.lit(1).alias("clicks"), F.col("p_partkey").alias("volume")))
+
+
+@query("f07_top_traffic_pages", "with t as (select c_name as url, c_acctbal as traffic from customer), k as (select url, row_number() over (order by traffic desc, url) as n from t where traffic > 0) select t.url, t.traffic, coalesce(n <= 50, false) as is_top from t left join k using (url)")
+def f07b(spark, d):
+    return s.top_traffic_pages(table(spark, d, "customer").select(F.col("c_name").alias("url"), F.col("c_acctbal").alias("traffic"))).select("url", "traffic", "is_top")

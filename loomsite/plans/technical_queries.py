@@ -281,3 +281,14 @@ def a11(spark, d):
     from loomsite.operators import technical_rules as tr
 
     return tr.issue_catalog(spark)
+
+
+@query("a03_social_tags", f"""with p as (select distinct page_id, url from pages where url is not null), x as (select page_id, url, case page_id % 4 when 0 then '' when 1 then 'https://other.example/x' when 2 then replace(url, '://', '://www.') else url end as c, page_id % 3 = 0 as ot, page_id % 5 < 3 as od, page_id % 7 = 0 as oi, page_id % 2 = 0 as tc, page_id % 6 < 4 as tt, page_id % 8 < 6 as td, page_id % 11 = 0 as ni from p)
+select page_id, url, concat_ws('|', case when c = '' then 'missing_canonical' end, case when c <> '' and regexp_extract({_bare('url')}, '^([^/?#]*)', 1) <> regexp_extract({_bare('c')}, '^([^/?#]*)', 1) then 'canonical_external_host' end, case when (ot or od or oi) and not (ot and od) then 'incomplete_open_graph' end, case when not (ot or od or oi) then 'missing_open_graph' end, case when (tc or tt or td) and not (tc and tt and td) then 'incomplete_twitter_card' end, case when not (tc or tt or td) then 'missing_twitter_card' end, case when ni then 'noindex' end) as issues from x""")
+def a03b(spark, d):
+    k = F.col("page_id")
+    yes = lambda c: F.when(c, "x")
+    p = table(spark, d, "pages").filter("url is not null").select("page_id", "url").distinct()
+    canonical = F.when(k % 4 == 0, "").when(k % 4 == 1, "https://other.example/x").when(k % 4 == 2, F.replace("url", F.lit("://"), F.lit("://www."))).otherwise(F.col("url"))
+    x = p.select("page_id", "url", canonical.alias("canonical_url"), yes(k % 3 == 0).alias("og_title"), yes(k % 5 < 3).alias("og_description"), yes(k % 7 == 0).alias("og_image"), yes(k % 2 == 0).alias("twitter_card"), yes(k % 6 < 4).alias("twitter_title"), yes(k % 8 < 6).alias("twitter_description"), (k % 11 == 0).alias("noindex"))
+    return t.social_tags(x).join(p, "url").select("page_id", "url", _joined())
