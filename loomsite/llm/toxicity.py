@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect
 from collections.abc import Iterable
 from math import exp, log
 
@@ -125,14 +126,15 @@ def _bits(word: str) -> int:
 
 
 class Lexicon(dict):
-    """What is known of a word: (bits, log-odds and its shares by category or None, the same of pairs it begins), or None.
+    """What is known of a word: (bits, its log-odds and what they say or None, the same of pairs it begins, whether it may tell anything), or None.
 
     `odds` has the fitted words and pairs of words: {gram: (log-odds, what it says for abusive, hateful, sexual)}. Words are looked up in
     the general lists when they first occur; the memory is emptied when it grows too large.
     """
 
     def __init__(self, odds: dict[str, tuple[float, ...]] | None = None):
-        self.odds, self.pairs, self.odd = odds or {}, {}, set()
+        self.odds, self.pairs = odds or {}, {}
+        self.odd, self.you, self.groups = set(), set(), set()
         for gram, x in self.odds.items():
             if " " in gram:
                 first, second = gram.split(" ")
@@ -141,11 +143,17 @@ class Lexicon(dict):
     def __missing__(self, word):
         if len(self) > 200_000:
             self.clear()
-            self.odd.clear()
+            for known in (self.odd, self.you, self.groups):
+                known.clear()
         if _ODD_WORD.fullmatch(word):
             self.odd.add(word)
         bits, odds, pairs = _bits(word), self.odds.get(word), self.pairs.get(word)
-        self[word] = known = (bits, odds, pairs) if bits or odds or pairs else None
+        if bits & 256:
+            self.you.add(word)
+        if bits & 128:
+            self.groups.add(word)
+        may = bool(bits & 63 or (odds and odds[0] > 0) or (pairs and any(x[0] > 0 for x in pairs.values())))
+        self[word] = known = (bits, odds, pairs, may) if bits or odds or pairs else None
         return known
 
     def __reduce__(self):
@@ -186,7 +194,7 @@ class Sentence:
             k = known[i]
             if k is None:
                 continue
-            bits, odds, pairs = k
+            bits, odds, pairs, _ = k
             any_ |= bits
             if odds is not None:
                 if odds[0] > 0:
@@ -221,7 +229,7 @@ class Sentence:
 
 
 def _parts(text: str, lexicon: Lexicon):
-    """(words, what is known of each, sentences, disguises) of a text."""
+    """(words, what is known of each, the sentences that tell anything, ends of sentences, disguises) of a text."""
     t, hidden = lowered(text)
     words = _TOKEN.findall(t)
     known = list(map(lexicon.__getitem__, words))
@@ -229,15 +237,18 @@ def _parts(text: str, lexicon: Lexicon):
         t, hidden = plain(text)
         words = _TOKEN.findall(t)
         known = list(map(lexicon.__getitem__, words))
-    out, a, group = [], 0, False
     ends = [i for i, k in enumerate(known) if k is not None and k[0] & 2048]
-    for b in (*ends, len(words)):
-        if b > a:
-            s = Sentence(words, known, a, b, group)
-            group = bool(s.any & 128)
+    out, b = [], -1
+    for i in (i for i, k in enumerate(known) if k is not None and k[3]):
+        if i < b:
+            continue
+        e = bisect(ends, i)
+        a, b = ends[e - 1] + 1 if e else 0, ends[e] if e < len(ends) else len(words)
+        before = ends[e - 2] + 1 if e > 1 else 0
+        s = Sentence(words, known, a, b, e > 0 and not lexicon.groups.isdisjoint(words[before:a]))
+        if s.tells:
             out.append(s)
-        a = b + 1
-    return words, known, out, hidden
+    return words, known, out, ends, hidden
 
 
 def features(text: str | None, lexicon: Lexicon = _GENERAL) -> np.ndarray:
@@ -245,11 +256,10 @@ def features(text: str | None, lexicon: Lexicon = _GENERAL) -> np.ndarray:
     out = np.zeros((len(CATEGORIES), len(FEATURES)), np.float32)
     if not text:
         return out
-    _, known, parts, hidden = _parts(text, lexicon)
-    telling = [s for s in parts if s.tells]
+    words, known, telling, _, hidden = _parts(text, lexicon)
     upper = sum(map(str.isupper, text)) / len(text)
     out[:, 15:18] = upper, min(5, text.count("!")), min(20, hidden)
-    out[:, 21:] = min(20, sum(s.context for s in telling)), min(20, sum(1 for s in parts if s.any & 256))
+    out[:, 21:] = min(20, sum(s.context for s in telling)), min(20, sum(map(lexicon.you.__contains__, words)))
     if not telling:
         return out
     for c in range(len(CATEGORIES)):
@@ -269,13 +279,16 @@ def features(text: str | None, lexicon: Lexicon = _GENERAL) -> np.ndarray:
 
 def gram_shares(text: str | None, lexicon: Lexicon) -> dict[str, list[float]]:
     """Every word and pair of neighbouring words of a text with the shares of the categories in its most telling sentence."""
-    out: dict = {}
-    words, _, parts, _ = _parts(text, lexicon) if text else ([], [], [], 0)
-    for s in sorted(parts, key=lambda s: s.tell if s.tells else -99.0):
-        share = s.share if s.tells else [1 / 3] * 3
+    if not text:
+        return {}
+    words, _, telling, ends, _ = _parts(text, lexicon)
+    out = dict.fromkeys(words, [1 / 3] * 3)
+    cut = set(ends)
+    out |= dict.fromkeys((f"{w} {v}" for i, (w, v) in enumerate(zip(words, words[1:])) if i not in cut and i + 1 not in cut), [1 / 3] * 3)
+    for s in sorted(telling, key=lambda s: s.tell):
         w = words[s.a : s.a + s.n]
-        out |= dict.fromkeys((*w, *map(" ".join, zip(w, w[1:]))), share)
-    return {g: x for g, x in out.items() if not g[0].isdecimal()}
+        out |= dict.fromkeys((*w, *map(" ".join, zip(w, w[1:]))), s.share)
+    return {g: x for g, x in out.items() if not g[0].isdecimal() and g not in _ENDS}
 
 
 _AT = {f: i for i, f in enumerate(FEATURES)}
@@ -295,17 +308,26 @@ def shares(x: np.ndarray) -> np.ndarray:
     return told / told.max(axis=1, keepdims=True)
 
 
-def _rows(x: np.ndarray, y: np.ndarray):
-    """Rows for the trees, all categories together: features, judgement and weight of each document and category.
+def _rows(x: np.ndarray) -> np.ndarray:
+    """Rows for the trees, all categories together, with the category's number as the last feature."""
+    code = np.broadcast_to(np.arange(x.shape[1], dtype=np.float32)[None, :, None], (*x.shape[:2], 1))
+    return np.concatenate([x, code], axis=2).reshape(-1, x.shape[2] + 1)
+
+
+def _judged(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Judgement and weight of each document and category, in the order of _rows().
 
     A judgement names no category. A toxic document counts for a category whose share is at least half of the largest
-    one's, against it where it is less than a quarter, and is left out in between.
+    one's, against it where it is less than a quarter, and is left out in between. Documents that tell nothing of any
+    category are one row each, of the categories in turn, with the weight of all.
     """
     part, toxic = shares(x), y[:, None] >= 0.5
     label = (toxic & (part >= 0.5)).astype(float)
     weight = np.where(toxic & (part >= 0.25) & (part < 0.5), 0.0, 1.0)
-    code = np.broadcast_to(np.arange(x.shape[1], dtype=np.float32)[None, :, None], (*x.shape[:2], 1))
-    return np.concatenate([x, code], axis=2).reshape(-1, x.shape[2] + 1), label.ravel(), weight.ravel()
+    silent = (x[..., [_AT["strong"], _AT["weak"], _AT["odds"]]] == 0).all(axis=(1, 2)) & ~toxic[:, 0]
+    weight[silent] = 0.0
+    weight[np.flatnonzero(silent), np.arange(silent.sum()) % x.shape[1]] = x.shape[1]
+    return label.ravel(), weight.ravel()
 
 
 def _distinct(x, y, w, start):
@@ -320,7 +342,7 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple:
     x: rows x categories x FEATURES; y: mean judgement of each document. Four invented rows, two at each end, keep the
     calibration sensible where there are few judgements; no trees without any judgement.
     """
-    rows, label, weight = _rows(x, y)
+    rows, (label, weight) = _rows(x), _judged(x, y)
     start, part = evidence(rows[:, :-1]), np.repeat(fold, x.shape[1])
 
     used = weight > 0
@@ -336,14 +358,14 @@ def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple:
             seen[part == k] = margins(trees(part != k), rows[part == k], start[part == k])
     model = trees(used) if used.any() else ([], [])
     ends = np.array([-6.0, -3.0, 3.0, 6.0])
-    points = isotonic(np.concatenate([seen[used], ends]), np.concatenate([label[used], [0, 0, 1, 1]]), np.ones(used.sum() + 4))
+    points = isotonic(np.concatenate([seen[used], ends]), np.concatenate([label[used], [0, 0, 1, 1]]), np.concatenate([weight[used], np.ones(4)]))
     return model, points
 
 
 def probabilities(model: tuple, x: np.ndarray) -> np.ndarray:
     """Calibrated probabilities, rows x categories."""
     trees, points = model
-    rows, _, _ = _rows(x, np.zeros(len(x)))
+    rows = _rows(x)
     return calibrated(points, margins(trees, rows, evidence(rows[:, :-1]))).reshape(x.shape[:2])
 
 
