@@ -99,7 +99,7 @@ def j09(spark, d):
     return _knn(spark, d, 2).filter("query_id <> page_id").withColumn("n", F.row_number().over(w)).filter("n = 1").select("query_id", "page_id", rounded(F.col("similarity")).alias("similarity"))
 
 
-_PU = """xa as (select page_id, arg_max(embedding, struct_pack(a := encoded_at, b := embedding)) as embedding from audit_pages group by page_id),
+_PU = """xa as (select page_id, arg_max(struct_pack(e := embedding), struct_pack(a := encoded_at, b := embedding)).e as embedding from audit_pages group by page_id),
 u as (select page_id, section, list_transform(embedding, lambda x: x::double / sqrt(list_dot_product(embedding::double[], embedding::double[]))) as v from xa left join (select page_id, min(section) as section from pages group by page_id) using (page_id)
   where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64 and len(list_filter(embedding, lambda x: x <> 0)) > 0)"""
 _PD = _PU + _U[_U.index(",\ne as"):]
