@@ -125,7 +125,7 @@ union all select x.page_id, u.page_id from (select page_id, unnest(duplicate_par
 e as (select distinct a, b from (select a, b from l union all select b, a from l) where a is not null and b is not null and a <> b),
 r as (select a as page_id, a as g from e union select e.b, r.g from r join e on e.a = r.page_id)
 select min(g) as group_id, page_id from r group by page_id""",
-        "p7_found": f"""with a as (select page_id as id, arg_max(embedding, struct_pack(t := encoded_at, e := embedding)) as embedding from audit_pages group by 1), q as (select para_id as id, max(embedding) as embedding from paragraphs where para_id is not null group by 1),
+        "p7_found": f"""with a as (select page_id as id, arg_max(struct_pack(e := embedding), struct_pack(t := encoded_at, e := embedding)).e as embedding from audit_pages group by 1), q as (select para_id as id, max(embedding) as embedding from paragraphs where para_id is not null group by 1),
 v as (select 'page' as k, id, {_UNIT} as v from a where {_FINE} union all select 'paragraph', id, {_UNIT} from q where {_FINE}),
 n as (select x.k, x.id, count(*) as n, min(y.id) as f from v x join v y on x.k = y.k and list_dot_product(x.v, y.v) >= 0.75 group by 1, 2) select k as record_kind, f as cluster_first, id as record_id from n where n >= 5""",
         "p8_found": f"with {_LEAKS} select * from lk",
