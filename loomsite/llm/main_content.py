@@ -21,6 +21,8 @@ SIGMA, SIGMA_RATIO = 1.5, 0.2
 MOST_CUT = 48.0
 #: How much a headline and a main element speak for a region, and navigation, forms and comments against it.
 PRIOR = 3.0
+#: Pages whose lines a task holds at once.
+PARSE_ROWS = 512
 #: A site's lines outside the main content are known by at least so many pages and this share of its pages.
 KNOWN_PAGES, KNOWN_SHARE = 2, 0.02
 
@@ -178,7 +180,7 @@ def _parsed(responses: DataFrame, with_text: bool = False) -> DataFrame:
     """(response_id, site, page, keys, main, after) per HTML response, and on demand its lines."""
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (batch.iloc[at : at + PARSE_ROWS] for batch in batches for at in range(0, len(batch), PARSE_ROWS)):
             got = [main_lines(b) for b in pdf.body]
             out = {"response_id": pdf.response_id, "site": pdf.site, "page": pdf.page, "keys": [line_keys(g[0]) for g in got], "main": [g[1] for g in got], "after": [g[2] for g in got]}
             yield pd.DataFrame(out | ({"text": [g[0] for g in got]} if with_text else {}))
