@@ -17,6 +17,9 @@ from loomsite.plans.stage import bounded, stage
 
 #: Similarities from which a topic is covered, and partly covered; shares of competitors that make a gap critical, and high.
 COVERED, PARTIAL, CRITICAL, HIGH = 0.78, 0.62, 0.8, 0.6
+#: Heatmap: passages of one own block, how many times as many one of a page has, rows compared at once, and groups of own
+#: blocks. Own blocks go to every block of a page, these to every group: large blocks and few groups keep the shuffle small.
+HEAT_BLOCK, HEAT_PAGE, HEAT_ROWS, HEAT_GROUPS = 8192, 4, 64, 4
 #: Intents of page types (fixed values).
 TYPE_INTENTS = {
     "article": "informational", "blog_post": "informational", "docs": "informational", "faq": "informational", "listing": "commercial-investigation", "search": "commercial-investigation",
@@ -109,18 +112,57 @@ def question_coverage(questions: DataFrame, own: DataFrame, dim: int = DIM) -> D
     return found.withColumn("status", F.when(s >= COVERED, "strong").when(s >= PARTIAL, "partial").otherwise("missing"))
 
 
-def passage_heatmap(own: DataFrame, competitors: DataFrame, most: int = 6) -> DataFrame:
+def _packed(rows: DataFrame, by: list[str], dim: int) -> DataFrame:
+    """(by, ids, x): the rows of each block as one, vectors as bytes. rows(by, id, v), all vectors of `dim` values."""
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def pack(t: pa.Table) -> pa.Table:
+        v = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        ids = pa.array([t.column("id").to_pylist()], pa.list_(t.schema.field("id").type))
+        return pa.table({c: t.column(c)[:1] for c in by} | {"ids": ids, "x": pa.array([v.tobytes()])})
+
+    return rows.select(*by, "id", "v").groupBy(*by).applyInArrow(pack, ", ".join(f"{c} {kinds[c]}" for c in by) + f", ids array<{kinds['id']}>, x binary")
+
+
+def passage_heatmap(own: DataFrame, competitors: DataFrame, most: int = 6, dim: int = DIM, block: int = HEAT_BLOCK) -> DataFrame:
     """(id, url, similarity, impact, band): each own passage against each of the `most` best ranked competitors' pages.
 
     own(id, v) is one page's passages; competitors(url, rank, v). impact = similarity weighed by the rank (first 1, tenth .1).
+    Both sides are packed into blocks by hash (own of about `block` rows), a page's equal vectors once; every own block meets
+    every block of a page and only a passage's best value leaves it. Exact; all passages are compared with all of the pages'.
+    A vector that isn't of `dim` finite values counts as missing; a passage or page without any has no similarity.
     """
-    r = F.when(F.col("rank") > 0, F.col("rank")).otherwise(999)
-    pages = competitors.groupBy("url").agg(F.min(r).alias("r")).orderBy("r", "url").limit(most)
-    theirs = competitors.select("url", "v").join(F.broadcast(pages), "url").groupBy("url", "r").agg(F.collect_list("v").alias("vs")).agg(F.collect_list(F.struct("url", "r", "vs")).alias("ps"))  # one row with `most` pages
-    cells = own.select("id", F.col("v").alias("a")).join(F.broadcast(theirs)).select("id", "a", F.explode("ps").alias("p")).select("id", "a", "p.url", "p.r", "p.vs")
-    s = F.array_max(F.transform("vs", lambda v: F.round(clip(dot(F.col("a"), v)), 12)))
+    r, v = F.when(F.col("rank") > 0, F.col("rank")).otherwise(999), F.when((F.size("v") == dim) & F.forall("v", lambda i: F.abs(i) < float("inf")), F.col("v").cast("array<double>")).alias("v")
+    own, theirs = own.filter("id is not null").select("id", v), competitors.filter("url is not null").select("url", r.alias("r"), v)
+    parts = lambda n, rows: F.greatest(F.lit(1).cast("bigint"), F.ceil(n / rows))
+    pages = theirs.groupBy("url").agg(F.min("r").alias("r"), parts(F.count("v"), HEAT_PAGE * block).alias("n")).orderBy("r", "url").limit(most)
+    at = theirs.filter("v is not null").select("url", "v").join(F.broadcast(pages.select("url", "n")), "url").withColumn("c", F.pmod(F.xxhash64("v"), "n"))
+    theirs = _packed(at.select("url", "c", "v").repartition("url", "c").distinct().withColumn("id", F.lit(0)), ["url", "c"], dim)
+    theirs = theirs.select("url", "c", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(HEAT_GROUPS - 1).cast("bigint"))).alias("g"))
+    size = own.agg(parts(F.count("*"), block).alias("n"))
+    none = F.array_repeat(F.lit(float("nan")), dim)
+    rows = own.join(F.broadcast(size)).select("id", F.coalesce("v", none).alias("v"), F.pmod(F.xxhash64("id"), "n").alias("b"))
+    meets = pages.select("url", "r", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("c"))
+    pairs = _packed(rows, ["b"], dim).select((F.col("b") % HEAT_GROUPS).alias("g"), "ids", "x").join(F.broadcast(meets)).join(theirs, ["url", "c", "g"], "left")
+
+    def run(batches):
+        for t in batches:
+            for k in range(t.num_rows):
+                x = np.frombuffer(t.column("x")[k].as_buffer()).reshape(-1, dim)
+                best = np.full(len(x), np.nan)
+                if t.column("y")[k].is_valid:
+                    y = np.frombuffer(t.column("y")[k].as_buffer()).reshape(-1, dim).T
+                    s = np.empty((min(len(x), HEAT_ROWS), y.shape[1]))
+                    for i in range(0, len(x), HEAT_ROWS):
+                        n = len(x[i : i + HEAT_ROWS])
+                        np.matmul(x[i : i + n], y, out=s[:n]).max(axis=1, out=best[i : i + n])
+                same = lambda c: t.column(c).take(pa.array(np.full(len(x), k)))
+                yield pa.RecordBatch.from_arrays([t.column("ids")[k].values, same("url"), same("r"), pa.array(best, mask=np.isnan(best))], names=["id", "url", "r", "s"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    cells = pairs.select("ids", "url", "r", "x", "y").mapInArrow(run, f"id {kinds['ids'][6:-1]}, url {kinds['url']}, r {kinds['r']}, s double").groupBy("id", "url", "r").agg(F.max("s").alias("s"))
     weight = F.when(F.col("r") < 999, F.greatest(F.lit(0.0), (11 - F.least(F.col("r"), F.lit(10))) / 10)).otherwise(0.0)
-    at = cells.select("id", "url", s.alias("similarity"), weight.alias("w"))
+    at = cells.select("id", "url", F.round(clip(F.col("s")), 12).alias("similarity"), weight.alias("w"))
     x = F.col("similarity")
     return at.select("id", "url", "similarity", (F.greatest(F.lit(0.0), x) * F.col("w")).alias("impact"), F.when(x >= COVERED, "strong").when(x >= PARTIAL, "partial").otherwise("weak").alias("band"))
 

@@ -1,6 +1,7 @@
 """The operators of link_insight, paragraph_quality, serp, patterns, page_insight, technical_rules and ranges: nulls, ties, repeats and empty tables."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -101,6 +102,44 @@ def test_best_match_in_blocks(spark):
     assert len(none) == 30 and {r.status for r in none} == {"missing"}
 
 
+def test_heatmap(spark):
+    rnd, a, b = random.Random(5), unit(60, 1), unit(200, 2)
+    urls = [f"p{i}" for i in range(9)]
+    rows = [(u := rnd.choice(urls), rnd.choice([None, 0, 1, 4, 12]) if u > "p3" else 2, [float(x) for x in v]) for v in b]
+    rows += rows[:40] + [(None, 1, rows[0][2]), ("p0", 1, None), ("p0", 1, [1.0, 2.0]), ("p0", 1, [float("nan")] * 64), ("blank", 1, None)]
+    own = vectors(spark, a).unionByName(spark.createDataFrame([(70, None), (71, [1.0]), (None, [1.0] * 64)], "id bigint, v array<double>"))
+    own = own.unionByName(own.filter("id < 3"))
+    rank = {u: min(r or 999 for w, r, _ in rows if w == u) for u in {w for w, _, _ in rows if w}}
+    best = sorted(rank, key=lambda u: (rank[u], u))[:6]
+    assert "blank" in best
+    theirs = {u: np.array([v for w, _, v in rows if w == u and v and len(v) == 64 and v[0] == v[0]]) for u in best}
+    for block in (16, 8192):
+        cells = serp.passage_heatmap(own, spark.createDataFrame(rows, "url string, rank int, v array<double>"), block=block).collect()
+        got = {(r.id, r.url): r for r in cells}
+        assert len(cells) == len(got) and set(got) == {(i, u) for i in [*range(60), 70, 71] for u in best}
+        for (i, u), r in got.items():
+            if i >= 60 or u == "blank":
+                assert (r.similarity, r.impact, r.band) == (None, 0, "weak")
+            else:
+                s = float((theirs[u] @ a[i]).max())
+                w = 0 if rank[u] == 999 else max(0, (11 - min(rank[u], 10)) / 10)
+                assert abs(r.similarity - s) < 1e-11 and abs(r.impact - max(0, s) * w) < 1e-11 and r.band == ("strong" if s >= 0.78 else "partial" if s >= 0.62 else "weak")
+    empty = spark.createDataFrame([], "url string, rank int, v array<double>")
+    assert serp.passage_heatmap(own, empty).count() == 0 and serp.passage_heatmap(own.limit(0), spark.createDataFrame(rows, empty.schema)).count() == 0
+
+
+def test_heatmap_of_many_passages(spark):
+    """45 million comparisons end in seconds; they took minutes value by value, in as many tasks as the passages had parts."""
+    v = em.l2_normalize(F.array(*((F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2001)) - 1000) / 1000.0 for i in range(64))))
+    own = spark.range(1500).select("id", v.alias("v"))
+    theirs = spark.range(10_000, 40_000).select(F.concat(F.lit("p"), F.col("id") % 6).alias("url"), F.lit(1).alias("rank"), v.alias("v"))
+    began = time.time()
+    got = {(r.id, r.url): r.similarity for r in serp.passage_heatmap(own, theirs).collect()}
+    assert time.time() - began < 40
+    x, y = (np.array([r.v for r in d.orderBy(k).collect()]) for d, k in ((own.limit(5), "id"), (theirs.filter("url = 'p2'"), "url")))
+    assert len(got) == 9000 and all(abs(got[i, "p2"] - (y @ x[i]).max()) < 1e-11 for i in range(5))
+
+
 def test_retrievability_and_headings(spark):
     x = unit(4, 9)
     p = spark.createDataFrame([(1, 0, 10, x[0].tolist()), (1, 0, None, x[1].tolist()), (1, 1, 5, x[2].tolist())], "page_id bigint, chunk_no int, words int, v array<double>")
